@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup
+from . import neardup, tokens
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,12 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(sft.select("pair_id", text.alias("whole")), "pair_id", "whole", similarity=0.8, k=5, least_words=5).withColumnRenamed("id", "pair_id")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p6_ids": p6_ids,
 }
