@@ -31,10 +31,12 @@ from ._words import Words, chunks, mix, shingles
 #: Records in the sample that orders the pivots, and slots of the two tables made from it.
 SAMPLE, SLOTS = 20_000, 1 << 20
 #: Members a region may be expected to have before it is split by a further pivot, and how often it may be split.
-REGION, DEPTH = 200, 3
+REGION, DEPTH = 600, 3
 #: Bits of a shingle's hash that are kept, below them of the pivot order.
 BITS = np.uint64(44)
 _LOW = np.uint64((1 << 44) - 1)
+#: Words of the parity sketch that goes into the regions, and of the one that candidates are compared by next.
+NARROW, WIDE = 3, 16
 #: Bits of the set that tells which records occur in a candidate pair.
 FILTER = 1 << 23
 
@@ -72,13 +74,13 @@ def _class_ids(s: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
         return mix(a + mix(b + size.astype(np.uint64)))
 
 
-def _parity(s: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two words whose bits are the parities of the shingles hashed to them: the bits that differ are never more than the shingles that differ."""
-    h = mix(s + np.uint64(0x2545F4914F6CDD1D))
+def _parity(s: np.ndarray, start: np.ndarray, words: int, seed: int) -> np.ndarray:
+    """words integers per set whose bits are the parities of the shingles hashed to them: never more bits differ than shingles do."""
+    h = mix(s + np.uint64(seed))
     bit = np.uint64(1) << (h & np.uint64(63))
-    high = (h >> np.uint64(6)) & np.uint64(1) == 1
+    at = (h >> np.uint64(6)) % np.uint64(words)
     zero = np.uint64(0)
-    return np.bitwise_xor.reduceat(np.where(high, bit, zero), start), np.bitwise_xor.reduceat(np.where(high, zero, bit), start)
+    return np.stack([np.bitwise_xor.reduceat(np.where(at == np.uint64(w), bit, zero), start) for w in range(words)], axis=1)
 
 
 def _regions(s: np.ndarray, start: np.ndarray, size: np.ndarray, job: Join, base: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -153,13 +155,13 @@ def _postings(job: Join):
                 fresh = np.array([c not in seen and not seen.add(c) for c in cid.tolist()])
                 if not fresh.any():
                     continue
-                p, q = _parity(s, start)
-                start, size, cid, p, q = start[fresh], size[fresh], cid[fresh], p[fresh], q[fresh]
+                parity = _parity(s, start, NARROW, 1)[fresh]
+                start, size, cid = start[fresh], size[fresh], cid[fresh]
                 for key, row, at in _regions(s, start, size, job, 0):
                     if len(key):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(x.view(np.int64)) for x in (key, cid[row], p[row], q[row], (size[row] << 24 | at).astype(np.int64))],
-                            names=["key", "cid", "p", "q", "nr"],
+                            [pa.array(x.view(np.int64)) for x in (key, cid[row], *(np.ascontiguousarray(parity[row, w]) for w in range(NARROW)), (size[row] << 24 | at).astype(np.int64))],
+                            names=["key", "cid", *(f"p{w}" for w in range(NARROW)), "nr"],
                         )
 
     return run
@@ -179,8 +181,8 @@ def _members(job: Join):
     return run
 
 
-def _whole_sets(job: Join, wanted: np.ndarray):
-    """The sets of the records that occur in a candidate pair; wanted: bits of their classes."""
+def _of_wanted(job: Join, wanted: np.ndarray, whole: bool):
+    """Wide sketches with sizes, or whole sets, of the records that occur in a candidate pair; wanted: bits of their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -195,11 +197,25 @@ def _whole_sets(job: Join, wanted: np.ndarray):
                 bit = cid % np.uint64(FILTER)
                 hit = (wanted[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
                 rows = [i for i in np.flatnonzero(hit).tolist() if cid[i] not in seen and not seen.add(int(cid[i]))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cid[rows].view(np.int64)), pa.array([np.sort(s[start[i] : end[i]]).tobytes() for i in rows], pa.binary())],
-                        names=["cid", "elements"],
-                    )
+                if not rows:
+                    continue
+                if whole:
+                    content = [(np.sort(s[start[i] : end[i]]) & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for i in rows]
+                else:
+                    sketch, size = _parity(s, start, WIDE, 2), (end - start).astype(np.uint64)
+                    content = [size[i].tobytes() + sketch[i].tobytes() for i in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(cid[rows].view(np.int64)), pa.array(content, pa.binary())], names=["cid", "content"])
+
+    return run
+
+
+def _near_sketches(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE + 1) for c in ("content_a", "content_b"))
+            apart = np.bitwise_count(a[:, 1:] ^ b[:, 1:]).sum(axis=1)
+            keep = pa.array(apart <= (1 - similarity) / (1 + similarity) * (a[:, 0] + b[:, 0]).astype(np.float64) + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column("ca").filter(keep), batch.column("cb").filter(keep)], names=["ca", "cb"])
 
     return run
 
@@ -207,11 +223,12 @@ def _whole_sets(job: Join, wanted: np.ndarray):
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("elements_a").to_pylist(), batch.column("elements_b").to_pylist()
+            a, b = batch.column("content_a").to_pylist(), batch.column("content_b").to_pylist()
             keep, value = [], []
             for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                z = np.sort(np.concatenate([x, y]))
+                packed = np.zeros(((len(x) + len(y)) // 5, 8), np.uint8)
+                packed[:, :5] = np.frombuffer(x + y, np.uint8).reshape(-1, 5)
+                z = np.sort(packed.view(np.uint64).ravel())
                 shared = int(np.count_nonzero(z[1:] == z[:-1]))
                 if shared >= similarity * (len(z) - shared) - 1e-9:
                     keep.append(i)
@@ -257,28 +274,31 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float =
     def over(frame: DataFrame, make, schema: str) -> DataFrame:
         return frame.mapInArrow(lambda batches: make(shared.value)(batches), schema)
 
-    postings = over(rows, _postings, "key long, cid long, p long, q long, nr long")
-    n, r = F.shiftright("nr", 24), F.col("nr").bitwiseAND(F.lit((1 << 24) - 1))
-    side = postings.withColumns({"n": n.cast("int"), "r": r.cast("int")}).drop("nr")
-    a = side.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cid", "p", "q", "n", "r")])
-    b = side.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "p", "q", "n", "r")])
+    sketch = [f"p{w}" for w in range(NARROW)]
+    postings = over(rows, _postings, f"key long, cid long, {', '.join(f'{p} long' for p in sketch)}, nr long")
+    side = postings.withColumns({"n": F.shiftright("nr", 24).cast("int"), "r": F.col("nr").bitwiseAND(F.lit((1 << 24) - 1)).cast("int")})
+    a, b = (side.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", *sketch, "n", "r")]) for x in "ab")
     both, t = F.col("n_a") + F.col("n_b"), similarity / (1 + similarity)
     room = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
-    apart = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) + F.bit_count(F.col("q_a").bitwiseXOR(F.col("q_b")))
+    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in sketch), F.lit(0))
     near = (F.col("cid_a") < F.col("cid_b")) & (room + (DEPTH - 1) >= t * both - 1e-6) & (apart <= (1 - 2 * t) * both + 1e-6)
     met = a.join(b.hint("merge"), "key").where(near)
     candidates = materialize(met.select(F.col("cid_a").alias("ca"), F.col("cid_b").alias("cb")).distinct(), "near-candidates")
 
-    bit = F.pmod(F.col("cid"), F.lit(FILTER)) if FILTER & (FILTER - 1) else F.col("cid").bitwiseAND(F.lit(FILTER - 1))
-    ids = candidates.select(F.explode(F.array("ca", "cb")).alias("cid")).select(bit.alias("bit"))
-    marked = ids.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
-    wanted = np.zeros(FILTER // 64, np.uint64)
-    wanted[marked.column("word").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
-    bits = spark.sparkContext.broadcast(wanted)
-    sets = rows.mapInArrow(lambda batches: _whole_sets(shared.value, bits.value)(batches), "cid long, elements binary").dropDuplicates(["cid"])
-    first = sets.select(F.col("cid").alias("ca"), F.col("elements").alias("elements_a"))
-    second = sets.select(F.col("cid").alias("cb"), F.col("elements").alias("elements_b"))
-    links = candidates.join(first, "ca").join(second, "cb").select("ca", "cb", "elements_a", "elements_b").mapInArrow(_verify(similarity), "ca long, cb long, jaccard double")
+    def with_content(pairs: DataFrame, whole: bool) -> DataFrame:
+        """The pairs with what is needed of both records, whose classes are found in the text again by a bit set of fixed size."""
+        ids = pairs.select(F.explode(F.array("ca", "cb")).alias("cid")).select(F.col("cid").bitwiseAND(F.lit(FILTER - 1)).alias("bit"))
+        marked = ids.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+        wanted = np.zeros(FILTER // 64, np.uint64)
+        wanted[marked.column("word").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
+        bits = spark.sparkContext.broadcast(wanted)
+        found = rows.mapInArrow(lambda batches: _of_wanted(shared.value, bits.value, whole)(batches), "cid long, content binary").dropDuplicates(["cid"])
+        first = found.select(F.col("cid").alias("ca"), F.col("content").alias("content_a"))
+        second = found.select(F.col("cid").alias("cb"), F.col("content").alias("content_b"))
+        return pairs.join(first, "ca").join(second, "cb").select("ca", "cb", "content_a", "content_b")
+
+    closer = materialize(with_content(candidates, False).mapInArrow(_near_sketches(similarity), "ca long, cb long"), "near-closer")
+    links = with_content(closer, True).mapInArrow(_verify(similarity), "ca long, cb long, jaccard double")
     members = over(rows, _members, "cid long, id long").distinct()
     return links, members
 
