@@ -50,7 +50,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """hash, doc, start and end of each word; start and end are offsets into text, which joins the chunk's texts. first: the chunk's first row."""
 
-    __slots__ = ("hash", "doc", "start", "end", "text", "offset", "first", "docs")
+    __slots__ = ("hash", "doc", "start", "end", "text", "offset", "first", "docs", "points")
 
     def __init__(self, texts: list[str], first: int):
         self.first, self.docs = first, len(texts)
@@ -58,6 +58,7 @@ class Words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offset = np.concatenate([[0], np.cumsum(lengths + 1)])
         points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.points = points
         inside = np.zeros(len(points) + 2, np.int8)
         inside[1:-1] = _classes()[points]
         edge = np.diff(inside)

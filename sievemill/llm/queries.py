@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup, tokens
+from . import leakage, neardup, residue, tokens
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +24,36 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(sft.select("pair_id", text.alias("whole")), "pair_id", "whole", similarity=0.8, k=5, least_words=5).withColumnRenamed("id", "pair_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sft, asked = table(spark, sf_dir, "synthetic_sft"), table(spark, sf_dir, "verify_results")
+    return leakage.leaks(sft, "pair_id", ["input", "output"], asked, "question_id", "question")
+
+
+def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which evaluation items leaked, and into how many pairs."""
+    return p4_found(spark, sf_dir).groupBy("question_id").agg(F.count("*").alias("n_pairs"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without residue."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return documents.join(p8_found(spark, sf_dir), "doc_id", "left_anti")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p4_found": p4_found,
+    "p4_items": p4_items,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
+    "p8_kept": p8_kept,
 }
