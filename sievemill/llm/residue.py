@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from ._words import Words, chunks, hash_word, mix
 
 #: Records from which trusted and unlabelled passages are taken to fit the model, at most; features of the model; EM rounds.
-TRUSTED_RECORDS, UNLABELLED_RECORDS, FEATURES, ROUNDS = 60_000, 4_000, 1 << 18, 8
+TRUSTED_RECORDS, UNLABELLED_RECORDS, FEATURES, ROUNDS = 60_000, 4_000, 1 << 21, 8
 #: A feature's largest weight; the smoothing; the prior share of residue; the log odds from which a passage is a case.
-CLIP, SMOOTH, PRIOR, ODDS = 4.0, 0.3, 0.01, 0.0
+CLIP, SMOOTH, PRIOR, ODDS = 4.0, 100.0, 0.01, 0.0
 
 # Starts of messages and fillers that are residue with certainty.
 MESSAGES = r"""
@@ -99,6 +99,9 @@ NOT_SLOTS = set(
     summary sup svg table tbody td template textarea tfoot th thead title tr u ul video answer think
     sic edit citation needed emphasis added truncated more cut continued ref refs note notes see and others et al""".split()
 )
+# Words of navigation lines and names of tags; a passage of such words alone is neither content nor residue.
+NAVIGATION = """html body head h1 h2 h3 div span br menu search log in login sign home articles trials contact about back to top skip main content share print cite save
+    next previous help news authors figures references download pdf menü suche startseite kontakt inicio buscar accueil recherche""".split()
 _NAME = r"[^\W\d_][\w.\- ]{0,40}"
 _SLOT = re.compile(
     rf"(?P<double>\{{\{{\s*[\w. |]+\s*\}}\}})|(?P<code><%=?[^%\n]{{1,60}}%>|\{{%[^%\n]{{1,60}}%\}})|(?P<dollar>\$\{{\s*[\w.]+\s*\}})|(?P<printf>%\(\w+\)[sdf])"
@@ -110,7 +113,9 @@ _MAYBE_SLOT = re.compile(r"[{<\[«@%$#]|__|XX|YYYY").search
 #: Marks that belong to no ordinary text; the other kinds are trusted only with a word that asks to be filled in.
 _CERTAIN = {"double", "code", "dollar", "printf", "at", "percent", "under", "dollars", "brace", "ref", "date"}
 _FILL = re.compile(r"(?i)\b(insert|your|todo|tbd|fixme|here|placeholder|name|date|title|enter|add|dose|site|author|patient|citation)\b|nachname|vorname|nombre|prénom|datum|fecha")
-_NUMBER, _CODE, _FIRST, _SHORT = (hash_word(f"feature{n}") for n in ("number", "code", "first", "short"))
+_NAVIGATION = np.sort(np.array([hash_word(w) for w in NAVIGATION], np.uint64))
+_NUMBER, _CODE, _FIRST = (hash_word(f"feature{n}") for n in ("number", "code", "first"))
+_TAG = re.compile(r"</?[a-z][a-z0-9]{0,9}[^<>]{0,200}>")
 
 
 def slots(text: str) -> Iterator[tuple[list[int], bool]]:
@@ -140,6 +145,8 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     after = np.append(points[1:], 10)
     stop = np.flatnonzero((points == 10) | (ends & ((after == 32) | (after == 10) | (after == 60))))
     passage = np.searchsorted(stop, words.start)
+    other = np.searchsorted(_NAVIGATION, words.hash)
+    other = _NAVIGATION[np.minimum(other, len(_NAVIGATION) - 1)] != words.hash
     digit = np.concatenate([[0], np.cumsum((points >= 48) & (points <= 57))])
     n_digits, size = digit[words.end] - digit[words.start], words.end - words.start
     h = np.where(n_digits > 0, np.uint64(_NUMBER), words.hash)
@@ -149,12 +156,12 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         two = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
     joined = passage[1:] == passage[:-1]
-    count = np.bincount(passage)
-    short = np.flatnonzero((count > 0) & (count <= 8))
-    p = np.concatenate([passage, passage[1:][joined], passage[first], short])
-    f = np.concatenate([h, two[joined], mix(h[first] ^ np.uint64(_FIRST)), np.full(len(short), _SHORT, np.uint64)])
-    doc = np.full(len(count), -1)
+    p = np.concatenate([passage, passage[1:][joined], passage[first]])
+    f = np.concatenate([h, two[joined], mix(h[first] ^ np.uint64(_FIRST))])
+    doc = np.full(int(passage[-1]) + 1, -1)
     doc[passage] = words.doc
+    content = np.bincount(passage, weights=other)[p] > 0
+    p, f = p[content], f[content]
     return p, (f % np.uint64(FEATURES)).astype(np.int64), doc
 
 
@@ -192,7 +199,7 @@ def _examples(unlabelled: float):
                 start = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
                 end = np.append(start[1:], len(p))
                 for (q, span), a, b in zip(_spans(words, p, p[start]), start.tolist(), end.tolist(), strict=True):
-                    sure = bool(_MESSAGE.match(span))
+                    sure = bool(_MESSAGE.match(_TAG.sub(" ", span)))
                     if sure or draw[words.first + doc[q]] < unlabelled:
                         put(1 if sure else 0, np.unique(f[a:b]))
             yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int32()), "f": pa.array(content, pa.binary())})
@@ -214,7 +221,9 @@ def learn(trusted: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray
         yes = np.bincount(f, weights=label[example], minlength=FEATURES)
         no = np.bincount(f, weights=(1 - label)[example], minlength=FEATURES)
         seen = yes + no > 0
-        a, b = (yes + SMOOTH) / (label.sum() + 2 * SMOOTH), (no + SMOOTH) / ((1 - label).sum() + 2 * SMOOTH)
+        # both classes are smoothed towards the common rate: what residue never showed counts against it, the more the more usual it is
+        rate = SMOOTH * (yes + no) / len(sizes)
+        a, b = (yes + rate) / (label.sum() + SMOOTH), (no + rate + 0.3) / ((1 - label).sum() + SMOOTH)
         weight = np.where(seen, np.clip(np.log(a / b), -CLIP, CLIP), 0.0)
         odds = np.log(PRIOR / (1 - PRIOR)) + np.bincount(example, weights=weight[f], minlength=len(sizes))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
