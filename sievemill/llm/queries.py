@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, neardup, residue, tokens
+from . import leakage, neardup, residue, tokens, truncated
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,28 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(sft.select("pair_id", text.alias("whole")), "pair_id", "whole", similarity=0.8, k=5, least_words=5).withColumnRenamed("id", "pair_id")
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of problem 3, redelivered ones included; source: what the share of cut answers is given for."""
+    report, results = table(spark, sf_dir, "model_comparison_report"), table(spark, sf_dir, "verify_results")
+    a = report.select(F.lit("model_comparison_report").alias("table_name"), F.col("sample_id").alias("row_id"), F.col("quantization").alias("source"), F.length("scratch_1b_base_response").alias("n_chars"), F.col("scratch_1b_base_response").alias("text"))
+    b = results.select(F.lit("verify_results").alias("table_name"), F.col("result_id").alias("row_id"), F.col("model_tag").alias("source"), F.length("response").alias("n_chars"), F.col("response").alias("text"))
+    return a.unionByName(b)
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer once: redelivered rows have the same text, and lose it before they are brought together."""
+    return truncated.judge(_answers(spark, sf_dir)).dropDuplicates(["table_name", "row_id"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("cut").select("table_name", "row_id")
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut answers by quantization (model_comparison_report) and model_tag (verify_results)."""
+    return truncated.rates(_judged(spark, sf_dir), ["table_name", "source"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sft, asked = table(spark, sf_dir, "synthetic_sft"), table(spark, sf_dir, "verify_results")
     return leakage.leaks(sft, "pair_id", ["input", "output"], asked, "question_id", "question")
@@ -51,6 +73,8 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_items": p4_items,
     "p6_ids": p6_ids,
