@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, neardup, residue, tokens, truncated
+from . import leakage, neardup, pairs, residue, tokens, truncated
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "synthetic_sft").select(F.lit("synthetic_sft").alias("table_name"), F.col("pair_id").alias("row_id"), F.col("instruction").alias("question"), F.col("output").alias("text"))
+    b = table(spark, sf_dir, "verify_results").select(F.lit("verify_results").alias("table_name"), F.col("result_id").alias("row_id"), F.col("prompt").alias("question"), F.col("response").alias("text"))
+    return a.unionByName(b)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(_pairs(spark, sf_dir))
+
+
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_found(spark, sf_dir).groupBy("table_name", "defect").agg(F.count("*").alias("n_pairs"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +85,8 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_counts": p1_counts,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
