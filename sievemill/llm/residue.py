@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ._words import Words, chunks, hash_word, mix
 
 #: Records from which trusted and unlabelled passages are taken to fit the model, at most; features of the model; EM rounds.
-TRUSTED_RECORDS, UNLABELLED_RECORDS, FEATURES, ROUNDS = 60_000, 4_000, 1 << 21, 8
+TRUSTED_RECORDS, UNLABELLED_RECORDS, FEATURES, ROUNDS = 15_000, 4_000, 1 << 21, 8
 #: A feature's largest weight; the smoothing; the prior share of residue; the log odds from which a passage is a case.
 CLIP, SMOOTH, PRIOR, ODDS = 4.0, 100.0, 0.01, 0.0
 
@@ -109,7 +109,7 @@ _SLOT = re.compile(
     rf"|(?P<angle><(?P<a>{_NAME})>)|(?P<guillemet>«(?P<g>[^\W\d_]{{2,30}})»)|(?P<square>(?<![\w\]])\[(?P<q>{_NAME}(?::[^\]\n]{{1,40}})?)\](?![\w(]))"
     r"|(?P<ref>#(?:REF|NAME|VALUE|N/A|DIV/0|NULL|NUM)[!?]?)|(?P<date>(?<!\w)(?:XX/XX/XX(?:XX)?|XX\.XX\.XX(?:XX)?|XX-XX-XX(?:XX)?|DD/MM/YYYY|MM/DD/YYYY|YYYY-MM-DD|XXXX+)(?!\w))"
 )
-_MAYBE_SLOT = re.compile(r"[{<\[«@%$#]|__|XX|YYYY").search
+_MAYBE_SLOT = re.compile(r"[{«$]|@@|<[^\W\d_/|]|<%|\[[^\W\d_]|%[%(]|#[A-Z]|__|XX|YYYY").search
 #: Marks that belong to no ordinary text; the other kinds are trusted only with a word that asks to be filled in.
 _CERTAIN = {"double", "code", "dollar", "printf", "at", "percent", "under", "dollars", "brace", "ref", "date"}
 _FILL = re.compile(r"(?i)\b(insert|your|todo|tbd|fixme|here|placeholder|name|date|title|enter|add|dose|site|author|patient|citation)\b|nachname|vorname|nombre|prénom|datum|fecha")
@@ -135,19 +135,24 @@ def slots(text: str) -> Iterator[tuple[list[int], bool]]:
         yield [hash_word(f.replace(" ", "")) for f in features], kind in _CERTAIN or bool(_FILL.search(inner)) or upper
 
 
+def _stops(points: np.ndarray) -> np.ndarray:
+    """Where passages end: at line ends, and at . ! ? or an ideographic full stop before white space or a tag."""
+    at = np.flatnonzero((points == 46) | (points == 10) | (points == 33) | (points == 63) | (points == 0x3002))
+    after = points[np.minimum(at + 1, len(points) - 1)]
+    return at[(points[at] == 10) | (after == 32) | (after == 10) | (after == 60) | (at == len(points) - 1)]
+
+
 def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passage and feature, sorted by passage, and the passage's text for each passage number."""
     points = words.points
     if not len(words.hash):
         none = np.zeros(0, np.int64)
         return none, none, none
-    ends = np.isin(points, np.array([33, 46, 63, 0x3002], np.uint32))
-    after = np.append(points[1:], 10)
-    stop = np.flatnonzero((points == 10) | (ends & ((after == 32) | (after == 10) | (after == 60))))
+    stop = _stops(points)
     passage = np.searchsorted(stop, words.start)
     other = np.searchsorted(_NAVIGATION, words.hash)
     other = _NAVIGATION[np.minimum(other, len(_NAVIGATION) - 1)] != words.hash
-    digit = np.concatenate([[0], np.cumsum((points >= 48) & (points <= 57))])
+    digit = np.concatenate([[0], np.cumsum((points >= 48) & (points <= 57), dtype=np.int32)])
     n_digits, size = digit[words.end] - digit[words.start], words.end - words.start
     h = np.where(n_digits > 0, np.uint64(_NUMBER), words.hash)
     code = (n_digits == 3) & (size == 3) & np.isin(points[words.start], [52, 53])
@@ -168,9 +173,7 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _spans(words: Words, passages: np.ndarray, wanted: np.ndarray) -> list[tuple[int, str]]:
     """The text of the wanted passages."""
     points = words.points
-    ends = np.isin(points, np.array([33, 46, 63, 0x3002], np.uint32))
-    after = np.append(points[1:], 10)
-    stop = np.flatnonzero((points == 10) | (ends & ((after == 32) | (after == 10) | (after == 60))))
+    stop = _stops(points)
     begin, end = np.concatenate([[0], stop + 1]), np.append(stop, len(points))
     return [(int(p), words.text[begin[p] : end[p] + 1].strip()) for p in wanted]
 
@@ -201,7 +204,7 @@ def _examples(unlabelled: float):
                 for (q, span), a, b in zip(_spans(words, p, p[start]), start.tolist(), end.tolist(), strict=True):
                     sure = bool(_MESSAGE.match(_TAG.sub(" ", span)))
                     if sure or draw[words.first + doc[q]] < unlabelled:
-                        put(1 if sure else 0, np.unique(f[a:b]))
+                        put(1 if sure else 0, f[a:b])
             yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int32()), "f": pa.array(content, pa.binary())})
 
     return run
@@ -251,9 +254,7 @@ def score(words: Words, texts: list[str], weight: np.ndarray) -> np.ndarray:
     out = np.full(words.docs, prior)
     p, f, doc = features(words)
     if len(p):
-        # a feature counts once in a passage, as in learning
-        key = np.unique(p * FEATURES + f)
-        odds = np.bincount(key // FEATURES, weights=weight[key % FEATURES], minlength=len(doc)) + prior
+        odds = np.bincount(p, weights=weight[f], minlength=len(doc)) + prior
         real = doc >= 0
         np.maximum.at(out, doc[real], odds[real])
     for i, t in enumerate(texts):
