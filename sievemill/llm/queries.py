@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, neardup, pairs, residue, tokens, truncated
+from . import leakage, mixture, neardup, pairs, residue, sampling, tokens, truncated
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +70,34 @@ def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_found(spark, sf_dir).groupBy("question_id").agg(F.count("*").alias("n_pairs"))
 
 
+_SAMPLED = (("model_comparison_report", "sample_id"), ("verify_results", "result_id"))
+
+
+def _both(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    parts = [make(table(spark, sf_dir, name), key, "category", table(spark, sf_dir, "category_targets")).select(F.lit(name).alias("table_name"), "*") for name, key in _SAMPLED]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir, sampling.sample)
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir, sampling.report)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id").distinct()
 
@@ -93,7 +117,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_items": p4_items,
+    "p5_sample": p5_sample,
+    "p5_report": p5_report,
     "p6_ids": p6_ids,
+    "p7_mixture": p7_mixture,
+    "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_kept": p8_kept,
 }
