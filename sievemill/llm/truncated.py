@@ -33,18 +33,17 @@ EMPTY_MARKUP = re.compile(r"<[^<>\n]{1,60}>|&(?:nbsp|#160|#8203|zwnj);|[​-‏
 
 # What a transfer may append where it cut, and what may follow a complete sentence.
 CUT_MARK = re.compile(
-    r"(?:\s*(?:…|\.{2,}|\[\s*(?:\.{2,}|…)\s*\]|<\s*(?:\.{2,}|…)\s*>|\(\s*(?:\.{2,}|…)\s*\)|[\[(<{](?:truncated|cut(?: off)?|more|continued|cont\.?|snip|output truncated|max(?:imum)? (?:tokens|length)[^\])>}]{0,20}|read more)[\])>}]|read more|-->))+\s*$", re.I
+    r"(?:…|\.{2,}|\[\s*(?:\.{2,}|…)\s*\]|<\s*(?:\.{2,}|…)\s*>|\(\s*(?:\.{2,}|…)\s*\)|[\[(<{](?:truncated|cut(?: off)?|more|continued|cont\.?|snip|output truncated|max(?:imum)? (?:tokens|length)[^\])>}]{0,20}|read more)[\])>}]|read more|-->)$", re.I
 )
 BROKEN = re.compile(r"(?:&#?\w{0,8}|<[/!]?[A-Za-z][^<>\s]{0,30}(?:\s[^<>]{0,80})?|\\u[0-9a-fA-F]{0,3}|\\|�+|%[0-9A-Fa-f]?)$")
-END_MARK = re.compile(r"(?:\s*(?:</?(?:s|p|div|br|answer|response|end|eos)\s*/?>|<\|[^|<>]{1,30}\|>|\[(?:END|EOS|DONE|/INST)\]|###|---|\*\*\*))+\s*$", re.I)
-CLOSER = re.compile(r"(?:\s*(?:\[[^\[\]\n]{1,40}\]|\([^()\n]{1,60}\)|[\"'”’»)\]*_`]))+$")
+END_MARK = re.compile(r"(?:</?(?:s|p|div|br|answer|response|end|eos)\s*/?>|<\|[^|<>]{1,30}\|>|\[(?:END|EOS|DONE|/INST)\]|###|---|\*\*\*)$", re.I)
+QUOTES = "\"'”’»*_`"
 STOP = ".!?。！？؟।"
 ITEM = re.compile(r"^\s*(?:[-*•–·]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+(.*\S)\s*$")
 # Abbreviations that never end a sentence.
 ABBREVIATION = re.compile(r"(?:^|[\s(\[])(?:e\.g|i\.e|cf|vs|viz|approx|ca|fig|figs|no|nos|dr|prof|mr|mrs|ms|st|p|pp|vol|ed|eds|ref|eq|sec|resp|incl|bzw|z\.b|d\.h|p\.ej|ex|c)\.$", re.I)
 #: A number after a word or sign that asks for more, or a lone zero: a decimal cut at its point.
 _HALF = re.compile(r"(?:[<>=≤≥±~]|\b(?:from|between))\s*\d+\.$|(?<![\w.,])0\.$")
-_LOOP = re.compile(r"(.{1,60}?)\1{5,}\S{0,30}\s*$", re.S)
 
 
 def is_blank(text: str | None) -> bool:
@@ -57,12 +56,35 @@ def is_blank(text: str | None) -> bool:
     return not any(c.isalnum() for c in bare) or bool(PLACEHOLDER.match(bare)) or bool(HARNESS.match(bare))
 
 
-def _tail(text: str) -> tuple[str, bool]:
-    """The text without a mark that tells of a cut, and whether there was one."""
-    m = CUT_MARK.search(text[-120:])
-    if m is None:
-        return text, False
-    return text[: len(text) - min(120, len(text)) + m.start()], True
+def _without_end_marks(s: str) -> str:
+    s = s.rstrip()
+    while s and s[-1] in ">]#-*" and (m := END_MARK.search(s[-40:])) is not None:
+        s = s[: len(s) - len(m.group(0))].rstrip()
+    return s
+
+
+def _tail(s: str) -> tuple[str, bool]:
+    """The text without marks that tell of a cut, and whether there were any."""
+    marked = False
+    while s and (s[-1] in "…)]>}" or s.endswith("..") or s[-4:].lower() == "more") and (m := CUT_MARK.search(s[-40:])) is not None:
+        s, marked = s[: len(s) - len(m.group(0))].rstrip(), True
+    return s, marked
+
+
+def _without_closers(s: str) -> str:
+    """The text without quotes, references and short remarks in brackets at its end."""
+    while s:
+        last = s[-1]
+        if last in QUOTES:
+            s = s[:-1].rstrip()
+        elif last in ")]":
+            at = s.rfind("(" if last == ")" else "[", max(0, len(s) - 62))
+            if at < 0 or "\n" in s[at:]:
+                return s
+            s = s[:at].rstrip()
+        else:
+            return s
+    return s
 
 
 def _number_key(text: str) -> str:
@@ -82,13 +104,10 @@ def ending(text: str | None) -> tuple[str, str]:
     """
     if is_blank(text):
         return "whole", ""
-    s = text.rstrip()
-    while (m := END_MARK.search(s[-60:])) is not None and m.end() > m.start():
-        s = s[: len(s) - min(60, len(s)) + m.start()].rstrip()
-        if not s:
-            return "whole", ""
+    s = _without_end_marks(text)
+    if not s:
+        return "whole", ""
     s, marked = _tail(s)
-    s = s.rstrip()
     if not s:
         return "cut", ""
     line = s[s.rfind("\n") + 1 :]
@@ -97,29 +116,36 @@ def ending(text: str | None) -> tuple[str, str]:
     if last in STOP:
         if last == "." and ABBREVIATION.search(s[-14:]):
             return "cut", ""
-        if last == "." and not marked and (m := re.search(r"(\S+)\.$", s[-40:])) and _LOOP.search(s[-400:]) is None:
-            token = m.group(1).strip("([\"'")
+        if last == "." and not marked and (last_token := s[-40:].split()[-1][:-1]):
+            token = last_token.strip("([\"'")
             # an integer that may be half of a decimal, or a token too short for a word
             if _HALF.search(s[-60:]):
                 return "cut", ""
-            if re.fullmatch(r"\d+|[A-Za-z]", token):
+            if token.isdigit() or (len(token) == 1 and token.isascii() and token.isalpha()):
                 return "number", _number_key(s[-200:])
             inside = s[s.rfind("(") :] if "(" in s[-80:] else ""
             if inside and ")" not in inside and len(inside) < 80 and re.match(r"\((?:n|95|see|mean|fig|table|ref|p|range|median|about|age)", inside, re.I):
                 return "cut", ""
         return "whole", ""
-    body = CLOSER.sub("", s)
+    body = _without_closers(s)
     if body != s and body and body[-1] in STOP:
         return "whole", ""
-    if item is not None and not marked and BROKEN.search(s[-40:]) is None:
+    if marked or BROKEN.search(s[-40:]) is not None:
+        return "cut", ""
+    if item is not None:
         return "item", item.group(1).lower()
-    if BROKEN.search(s[-40:]) is None and not marked and item is None and (m := re.search(r"([^\W\d_]+)$", s)) is not None:
-        return "word", m.group(1).lower()
-    return "cut", ""
+    word = re.search(r"[^\W\d_]+$", s[-60:])
+    return ("word", word.group(0).lower()) if word is not None else ("cut", "")
+
+
+#: A whole number or a letter that ends a sentence, and a decimal, both after white space.
+_ENDS_SO = re.compile(r"\s(?:\d+|[A-Za-z])\.(?=\s+[A-Z0-9\"(])")
+_DECIMAL = re.compile(r"\s\d+\.\d")
 
 
-_ENDS_SO = re.compile(r"(\S+\s+\S+)\s+(?:\d+|[A-Za-z])[.](?=\s+[A-Z0-9\"(]|\n)")
-_DECIMAL = re.compile(r"(\S+\s+\S+)\s+\d+\.\d")
+def _before(text: str, at: int) -> str:
+    """The two tokens before a place."""
+    return _masked(" ".join(text[max(0, at - 80) : at].split()[-2:]))
 
 
 def _knowledge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +164,10 @@ def _knowledge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if is_blank(text):
                 continue
             words.update(text.split()[:-1])
-            held.update(("number", k) for k in map(_masked, _ENDS_SO.findall(text)))
-            held.update(("decimal", k) for k in map(_masked, _DECIMAL.findall(text)))
+            for m in _DECIMAL.finditer(text):
+                held["decimal", _before(text, m.start())] += 1
+            for m in _ENDS_SO.finditer(text):
+                held["number", _before(text, m.start())] += 1
             if "\n" in text:
                 held.update(("item", m.group(1).lower()) for line in text.split("\n")[:-1] if (m := ITEM.match(line)) is not None)
             if len(words) > HELD:
