@@ -37,3 +37,13 @@ def occurrences(text: Column, part: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences: split after . ! or ? before white space."""
     return F.filter(F.split(F.regexp_replace(text, r"([.!?])[ \t\n\r\f]+", "$1\u0001"), "\u0001"), lambda s: F.trim(s) != "")
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once per row, also where it stands inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def runs(w: Column, k: int) -> Column:
+    """Runs of k consecutive words, joined by blanks; none if there are fewer words."""
+    return let(w, lambda x: F.when(F.size(x) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, k), " "))).otherwise(F.array().cast("array<string>")))

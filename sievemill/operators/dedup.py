@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import n_words, words
+from ..functions.words import let, n_words, runs, words
 from ..session import materialize
 
-#: Permutations of a signature; bands and rows of a band by threshold.
-PERMUTATIONS, BANDS = 128, {0.85: (8, 16), 0.7: (14, 9)}
+#: Bands and rows of a band by threshold; their product is at most 128 permutations.
+BANDS = {0.85: (8, 16), 0.7: (14, 9)}
 
 
 def shingle_set(text: Column, k: int = 5) -> Column:
     """Distinct runs of k lower-cased words; with fewer words, the words themselves."""
-    w = words(F.lower(text))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.array_distinct(F.when(F.size(w) >= k, runs).otherwise(w))
+    return let(words(F.lower(text)), lambda w: F.array_distinct(F.when(F.size(w) >= k, runs(w, k)).otherwise(w)))
 
 
 def hashed(shingle: Column) -> Column:
@@ -24,16 +22,16 @@ def hashed(shingle: Column) -> Column:
     return F.conv(F.substring(F.md5(shingle), 1, 15), 16, 10).cast("long")
 
 
-def signature(text: Column, n: int = PERMUTATIONS, k: int = 5) -> Column:
-    """MinHash: for each seed the smallest of the shingles' values under that seed's mixing."""
-    values = F.transform(shingle_set(text, k), hashed)
-    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda seed: F.array_min(F.transform(values, lambda v: F.xxhash64(seed, v))))
+def banded(df: DataFrame, key: str, text: str, threshold: float = 0.85, k: int = 5) -> DataFrame:
+    """key and band: one hash per band of a MinHash signature, told apart by the band's number.
 
-
-def bands(sig: Column, threshold: float = 0.85) -> Column:
-    """One hash per band, told apart by the band's number."""
+    The signature is one aggregation of the exploded shingles, the minimum under each seed; texts without words have none.
+    """
     b, r = BANDS[threshold]
-    return F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.array_join(F.transform(F.slice(sig, i * r + 1, r), lambda v: v.cast("string")), ",")))
+    rows = df.select(F.col(key), F.explode(shingle_set(F.col(text), k)).alias("s")).select(key, F.xxhash64("s").alias("v"))
+    signed = rows.groupBy(key).agg(*[F.min(F.xxhash64(F.lit(seed), "v")).alias(f"m{seed}") for seed in range(b * r)])
+    bands = F.array(*[F.xxhash64(F.lit(i), *[f"m{j}" for j in range(i * r, (i + 1) * r)]) for i in range(b)])
+    return signed.select(key, F.explode(bands).alias("band"))
 
 
 def exact(df: DataFrame, text: str, order: list[str]) -> DataFrame:
@@ -47,7 +45,7 @@ def band_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> D
     hashes = df.where(F.size(words(text)) > 0).select(F.col(key).alias("k"), F.sha2(F.array_join(words(F.lower(text)), " "), 256).alias("h"), F.col(text).alias("t"))
     leader = hashes.groupBy("h").agg(F.min("k").alias("k"))
     one = hashes.join(leader, ["h", "k"], "left_semi")
-    keyed = materialize(one.select("k", F.explode(bands(signature(F.col("t")), threshold)).alias("band")), "bands")
+    keyed = materialize(banded(one, "k", "t", threshold), "bands")
     x, y = keyed.select(F.col("k").alias("a"), "band"), keyed.select(F.col("k").alias("b"), "band")
     near = x.join(y, "band").where(F.col("a") < F.col("b")).select("a", "b").distinct()
     copies = hashes.join(leader.withColumnRenamed("k", "a"), "h").where(F.col("a") < F.col("k")).select("a", F.col("k").alias("b"))
@@ -83,7 +81,7 @@ def near(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFra
 
 def jaccard_pairs(df: DataFrame, key: str, text: str, least: float, k: int = 5) -> DataFrame:
     """Exact pairs a < b with shared and united shingles. Only shingles held by at most a tenth as prefixes generate pairs."""
-    sets = df.select(F.col(key).alias("k"), F.explode(F.transform(shingle_set(F.col(text), k), hashed)).alias("s"))
+    sets = df.select(F.col(key).alias("k"), F.explode(shingle_set(F.col(text), k)).alias("s")).select("k", hashed(F.col("s")).alias("s"))
     size = sets.groupBy("k").agg(F.count("*").alias("n"))
     rank = Window.partitionBy("k").orderBy("f", "s")
     frequency = sets.groupBy("s").agg(F.count("*").alias("f"))
@@ -114,6 +112,6 @@ def paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n", leas
 
 def cross_leaks(train: DataFrame, val: DataFrame, key: str, text: str, threshold: float = 0.7) -> DataFrame:
     """Keys of val that share a band with train."""
-    hit = train.where(F.size(words(text)) > 0).select(F.explode(bands(signature(F.col(text)), threshold)).alias("band")).distinct()
-    own = val.where(F.size(words(text)) > 0).select(key, F.explode(bands(signature(F.col(text)), threshold)).alias("band"))
+    hit = banded(train, key, text, threshold).select("band").distinct()
+    own = banded(val, key, text, threshold)
     return own.join(hit, "band", "left_semi").select(key).distinct()

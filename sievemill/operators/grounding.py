@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import partial_ratio_80_udf, ratio_udf, token_set_ratio_udf
-from ..functions.words import words
+from ..functions.words import runs, words
 from .dedup import hashed
 
 
@@ -45,8 +45,7 @@ def passage_hits(df: DataFrame, key: str, text: str, items: DataFrame, item: str
     """Per record and item the shared distinct runs of k words, by an equi-join of their hashes."""
     def grams(frame: DataFrame, ident: str, col: str) -> DataFrame:
         w = words(F.regexp_replace(F.lower(F.coalesce(F.col(col), F.lit(""))), "[^a-z0-9]+", " "))
-        runs = F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: hashed(F.array_join(F.slice(w, i, k), " ")))).otherwise(F.array().cast("array<long>"))
-        return frame.select(F.col(ident), F.explode(F.array_distinct(runs)).alias("g"))
+        return frame.select(F.col(ident), F.explode(F.array_distinct(runs(w, k))).alias("g")).select(ident, hashed(F.col("g")).alias("g"))
 
     return grams(df, key, text).join(grams(items, item, item_text), "g").groupBy(key, item).agg(F.count("*").alias("n_shared"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.words import n_words, words
+from ..functions.words import n_words, runs, words
 
 
 def coherent(text: Column, least_chars: int = 10, at_least: bool = True) -> Column:
@@ -21,8 +21,7 @@ def native_coherent(text: Column) -> Column:
     """The part of the check without back-references: no word trigram four times or more, letters and digits at least a fifth."""
     plain = F.trim(F.coalesce(text, F.lit("")))
     w = words(F.lower(plain))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))
-    most = F.aggregate(F.array_sort(grams), F.struct(F.lit("").alias("g"), F.lit(0).alias("n"), F.lit(0).alias("m")), _longest_run, lambda s: s["m"])
+    most = F.aggregate(F.array_sort(runs(w, 3)), F.struct(F.lit("").alias("g"), F.lit(0).alias("n"), F.lit(0).alias("m")), _longest_run, lambda s: s["m"])
     share = F.length(F.regexp_replace(plain, r"[^A-Za-z0-9]", "")) / F.greatest(F.length(plain), F.lit(1))
     return (F.length(plain) > 0) & ~((F.size(w) >= 6) & (most >= 4)) & (share >= 0.2)
 

@@ -35,5 +35,6 @@ def salted_join(large: DataFrame, small: DataFrame, on: list[str], salts: int =
 def sessions(df: DataFrame, user: str, time: str, gap_seconds: int) -> DataFrame:
     """Rows with the number of their session: a new one after a pause of more than gap_seconds."""
     w = Window.partitionBy(user).orderBy(time)
-    pause = F.unix_micros(time) - F.unix_micros(F.lag(time).over(w))
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    pause = at - F.lag(at).over(w)
     return df.withColumn("session_no", F.sum(F.coalesce(pause > gap_seconds * 1_000_000, F.lit(True)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))

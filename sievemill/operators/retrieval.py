@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import words
+from ..functions.words import let, words
 
 # How a path names its source type and its document; the first match counts.
 PATH_PATTERNS = [r"(PMC\d+)", r"(NCT\d{8})", r"(PMID_?\d+)", r"([a-z]+_\d+)"]
@@ -91,7 +91,7 @@ def fixed_chunks(df: DataFrame, key: str, text: str, size: int = 100) -> DataFra
 def with_overlap(chunks: DataFrame, key: str, k: int) -> DataFrame:
     """The last k words of the previous, unextended chunk before each chunk; n_tokens counts again."""
     before = F.lag("chunk").over(Window.partitionBy(key).orderBy("chunk_index"))
-    tail = F.slice(words(F.coalesce(before, F.lit(""))), F.greatest(F.size(words(F.coalesce(before, F.lit("")))) - k + 1, F.lit(1)), k)
+    tail = let(words(before), lambda w: F.slice(w, F.greatest(F.size(w) - k + 1, F.lit(1)), k))
     text = F.when(before.isNotNull(), F.concat_ws(" ", F.array_join(tail, " "), F.col("chunk"))).otherwise(F.col("chunk"))
     return chunks.withColumn("__x", text).select(key, "chunk_index", "total_chunks", F.col("__x").alias("chunk"), F.size(words("__x")).cast("long").alias("n_tokens"))
 
