@@ -191,17 +191,18 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array([g[0] for g in got]), pa.array([g[1] for g in got])], names=[*(c for c in batch.schema.names if c != "text"), "ends", "key"])
 
 
-def judge(rows: DataFrame, text_col: str = "text") -> DataFrame:
+def judge(rows: DataFrame, text_col: str = "text", corpus: DataFrame | None = None) -> DataFrame:
     """rows without the text, and cut (boolean), broken (its last word or item is an unknown proper prefix of known ones).
 
-    rows: one value per row, with any further columns. Null, blank and placeholder values are not cut. A loop of repeated
+    rows: one value per row, with any further columns. corpus: the same values in a column text, where they are cheaper to
+    read than rows. Null, blank and placeholder values are not cut. A loop of repeated
     words is cut unless it ends with a full stop. Repeated rows stay.
     """
     keep = [c for c in rows.columns if c != text_col]
     texts = rows.select(*keep, F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
     ends = materialize(texts.mapInArrow(_endings, f"{schema}, ends string, key string"), "cut-endings")
-    known = texts.select("text").mapInArrow(_knowledge, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    known = (texts if corpus is None else corpus).select("text").mapInArrow(_knowledge, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     known = materialize(known, "cut-known")
     # what is asked: the distinct last words, items and number endings, against known words and items and all their prefixes
     asked = ends.where(F.col("ends").isin("item", "number", "word")).select(F.col("ends").alias("kind"), "key").distinct()
