@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEPARATOR = "<|endoftext|>"
-RAW = "id string, source string, source_category string, title string, text string, content_tier string, _corrupt_record string"
+RAW = "id string, source string, source_category string, title string, text string, content_tier string"
 
 
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents with file and ord, files that could not be parsed) of a tree of JSON files, in order of their paths."""
-    raw = spark.read.schema(RAW).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path).select("*", F.col("_metadata.file_path").alias("file"))
-    good = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record").withColumn("ord", F.xxhash64("file"))
-    return good, raw.where(F.col("_corrupt_record").isNotNull()).select("file", "_corrupt_record")
+    """(documents with file and ord, files that could not be parsed) of a tree of JSON files, one document each."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).select(F.col("value").alias("__json"), F.col("_metadata.file_path").alias("file"))
+    parsed = parse_lines(files, "__json", RAW)
+    return parsed.where("_ok").drop("_ok", "__json").withColumn("ord", F.xxhash64("file")), parsed.where(~F.col("_ok")).select("file")
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str = SEPARATOR) -> DataFrame:
