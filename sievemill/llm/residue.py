@@ -227,7 +227,8 @@ def learn(trusted: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray
         # both classes are smoothed towards the common rate: what residue never showed counts against it, the more the more usual it is
         rate = SMOOTH * (yes + no) / len(sizes)
         a, b = (yes + rate) / (label.sum() + SMOOTH), (no + rate + 0.3) / ((1 - label).sum() + SMOOTH)
-        weight = np.where(seen, np.clip(np.log(a / b), -CLIP, CLIP), 0.0)
+        with np.errstate(divide="ignore"):
+            weight = np.where(seen, np.clip(np.log(a / b), -CLIP, CLIP), 0.0)
         odds = np.log(PRIOR / (1 - PRIOR)) + np.bincount(example, weights=weight[f], minlength=len(sizes))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         new[: len(trusted)] = 1.0
