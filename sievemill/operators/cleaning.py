@@ -224,8 +224,7 @@ def clean(df: DataFrame, key: str = "doc_id", strict: bool = False, with_udfs: b
 
 def survival(before: DataFrame, after: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Per abbreviation: records that had a variant before cleaning, and those of them with the canonical form after it."""
-    spark = before.sparkSession
-    terms = spark.createDataFrame([(n, rf"(?i)\b(?:{v})\b", n) for n, _, v in ABBREVIATIONS], "term string, pattern string, form string")
     both = before.select(key, F.col(text).alias("raw")).join(after.select(key, F.col(text).alias("clean")), key)
-    hits = both.crossJoin(F.broadcast(terms)).where(F.regexp(F.col("raw"), F.col("pattern")))  # a fixed list of 12 terms
-    return hits.groupBy("term").agg(F.count("*").alias("n_checked"), F.sum(F.contains("clean", "form").cast("long")).alias("n_survived"))
+    found = [F.when(F.col("raw").rlike(rf"(?i)\b(?:{v})\b"), F.struct(F.lit(n).alias("term"), F.contains("clean", F.lit(n)).alias("there"))) for n, _, v in ABBREVIATIONS]
+    hits = both.select(F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return hits.groupBy("x.term").agg(F.count("*").alias("n_checked"), F.sum(F.col("x.there").cast("long")).alias("n_survived"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -172,8 +173,7 @@ def context_block(chunks: Column) -> Column:
 
 def sweep(spark, sizes: list[int], tops: list[int], models: list[str]) -> DataFrame:
     """All settings of a configuration sweep: three short lists."""
-    a, b, c = (spark.createDataFrame([(x,) for x in v], f"{n} {t}") for v, n, t in ((sizes, "chunk_size", "int"), (tops, "top_k", "int"), (models, "model", "string")))
-    return a.crossJoin(b).crossJoin(c)
+    return spark.createDataFrame(list(product(sizes, tops, models)), "chunk_size int, top_k int, model string")
 
 
 def hit_rate(matches: DataFrame, facts: DataFrame, item: str, fact: str) -> DataFrame:

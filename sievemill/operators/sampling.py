@@ -32,10 +32,9 @@ def cap(df: DataFrame, key: str, category: str, seed: int = 42, caps: dict[str,
     """Rows that stay: of each capped group floor(share x rows before capping), the others untouched."""
     caps = caps or CAPS
     marked = df.withColumn("cap_category", cap_category(F.col(category)))
-    total = marked.agg(F.count("*").alias("__total"))
+    total = marked.count()
     share = F.coalesce(*[F.when(F.col("cap_category") == k, F.lit(v)) for k, v in caps.items()])
-    capped = marked.where(F.col("cap_category").isNotNull()).crossJoin(F.broadcast(total))  # one row
-    kept = top_by_draw(capped, ["cap_category"], key, seed, F.floor(F.col("__total") * share)).drop("__total")
+    kept = top_by_draw(marked.where(F.col("cap_category").isNotNull()), ["cap_category"], key, seed, F.floor(F.lit(total) * share))
     return marked.where(F.col("cap_category").isNull()).unionByName(kept)
 
 
@@ -44,9 +43,8 @@ def split(df: DataFrame, key: str, stratum: str, val_share: float = 0.1, seed: i
     name = F.coalesce(stratum, F.lit("unknown"))
     rows = df.withColumn("__st", name)
     sizes = rows.groupBy("__st").agg(F.count("*").alias("__n")).where("__n > 1")
-    whole = sizes.agg(F.sum("__n").alias("__all"))
     exact = F.ceil(F.col("__all") * val_share) * F.col("__n") / F.col("__all")
-    quota = sizes.crossJoin(F.broadcast(whole)).withColumn("__q", F.floor(exact)).withColumn("__rest", exact - F.floor(exact))  # one row
+    quota = sizes.withColumn("__all", F.sum("__n").over(Window.partitionBy())).withColumn("__q", F.floor(exact)).withColumn("__rest", exact - F.floor(exact))  # one row per stratum
     left = F.ceil(F.col("__all") * val_share) - F.sum("__q").over(Window.partitionBy())
     place = F.row_number().over(Window.orderBy(F.desc("__rest"), "__st"))
     quota = quota.withColumn("__quota", F.col("__q") + (place <= left).cast("long")).select("__st", "__quota")

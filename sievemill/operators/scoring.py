@@ -157,8 +157,8 @@ def capability_gap(rows: DataFrame, model: str) -> DataFrame:
 def ablation(rows: DataFrame, model: str, base: str, metrics: list[str]) -> DataFrame:
     """Each metric's mean per model less that of the base model."""
     one = rows.groupBy(model).agg(*[F.avg(m).alias(m) for m in metrics])
-    reference = one.where(F.col(model) == base).select(*[F.col(m).alias(f"__{m}") for m in metrics])
-    return one.crossJoin(F.broadcast(reference)).select(model, *[(F.col(m) - F.col(f"__{m}")).alias(f"delta_{m}") for m in metrics])  # one row
+    own = [F.max(F.when(F.col(model) == base, F.col(m))).over(Window.partitionBy()) for m in metrics]  # one row per model
+    return one.select(model, *[(F.col(m) - b).alias(f"delta_{m}") for m, b in zip(metrics, own, strict=True)])
 
 
 def benchmark_errors(q: DataFrame, trap_low: float = 0.10, trap_high: float = 0.15) -> DataFrame:

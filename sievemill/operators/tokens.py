@@ -28,17 +28,18 @@ def winner(df: DataFrame, name: str, single: str, mean: str) -> DataFrame:
     return df.agg(F.max_by(name, F.struct(F.col(single), -F.col(mean))).alias("winner"))
 
 
-def min_max(column: str, higher_is_better: bool) -> Column:
-    """Place in the column's range from 0 to 1; 1 where all are equal."""
-    w = Window.partitionBy()
-    low, high = F.min(column).over(w), F.max(column).over(w)
-    at = (F.col(column) - low) / (high - low)
-    return F.when(high == low, F.lit(1.0)).otherwise(at if higher_is_better else 1.0 - at)
+def min_max(column: str, low: float, high: float, higher_is_better: bool) -> Column:
+    """Place in the range from 0 to 1; 1 where all are equal."""
+    if low is None or high == low:
+        return F.lit(1.0)
+    at = (F.col(column) - F.lit(low)) / F.lit(high - low)
+    return at if higher_is_better else 1.0 - at
 
 
 def weighted_rank(df: DataFrame, name: str, weights: list[tuple[str, float, bool]]) -> DataFrame:
     """Candidates by the weighted sum of their places; weights are (column, weight, higher is better)."""
-    score = sum((min_max(c, up) * w for c, w, up in weights), F.lit(0.0))
+    ends = df.agg(*[f(c).alias(f"{n}{i}") for i, (c, _, _) in enumerate(weights) for n, f in (("low", F.min), ("high", F.max))]).first()
+    score = sum((min_max(c, ends[f"low{i}"], ends[f"high{i}"], up) * w for i, (c, w, up) in enumerate(weights)), F.lit(0.0))
     return df.select(name, score.alias("score")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), name)))
 
 

@@ -555,3 +555,89 @@ def minmax_rank(spark, d):
 def vocabulary_difference(spark, d):
     a, b = (table(spark, d, t).select(F.explode(words(F.lower(c))).alias("word")).distinct() for t, c in (("synthetic_sft", "instruction"), ("eval_questions", "question")))
     return TK.vocabulary_difference(a, b, ["word"])
+
+
+_FIRST = f"coalesce(list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?]){BLANK}', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, chr(32)) <> '')[1], '')"
+
+
+@query("input_excerpts", f"SELECT doc_id, CASE WHEN {_U.format(43)} < 0.2 THEN CASE WHEN length(f) > 150 THEN substr(f, 1, 147) || '...' ELSE f END ELSE '' END AS input FROM (SELECT doc_id, {_FIRST} AS f FROM documents)")
+def input_excerpts(spark, d):
+    return docs(spark, d).select("doc_id", P.input_excerpt(F.coalesce("text", F.lit("")), 43, "doc_id").alias("input"))
+
+
+@query("size_advice", "SELECT source, CASE WHEN n >= 80 THEN 'large' WHEN n > 32 THEN 'medium' ELSE 'small' END AS advice FROM (SELECT source, sum(coalesce(n_chars, 0)) / 1000.0::DOUBLE AS n FROM documents GROUP BY 1)")
+def size_advice(spark, d):
+    n = docs(spark, d).groupBy("source").agg((F.sum(F.coalesce("n_chars", F.lit(0))) / 1000.0).alias("n"))
+    return n.select("source", ST.size_advice(F.col("n")).alias("advice"))
+
+
+@query("parsed_numbers", r"SELECT DISTINCT t, replace(regexp_extract(t, '([\d,]+(?:\.\d+)?)', 1), ',', '')::DOUBLE * CASE upper(regexp_extract(t, '([KMGT])i?B', 1)) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'G' THEN 1e9 ELSE 1.0 END AS value FROM (SELECT unnest(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)? ?(?:mg|ml|MB|GB|percent|months)')) AS t FROM documents)")
+def parsed_numbers(spark, d):
+    t = docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)? ?(?:mg|ml|MB|GB|percent|months)"), F.lit(0))).alias("t")).distinct()
+    return t.withColumn("value", ST.parse_number(F.col("t")))
+
+
+@query("near_dup_rate")
+def near_dup_rate(spark, d):
+    df = docs(spark, d)
+    n, kept = df.agg(F.count("*").alias("n")), D.near(df, "doc_id", "text").agg(F.count("*").alias("k"))
+    both = n.withColumn("j", F.lit(1)).join(kept.withColumn("j", F.lit(1)), "j")
+    return both.select((F.col("n") - F.col("k")).alias("n_near"), ST.near_dup_rate(F.col("n") - F.col("k"), F.col("k"), F.col("n") - F.col("k")).alias("rate"))
+
+
+@query("delta_texts")
+def delta_texts(spark, d):
+    old, new = (ST.counts(table(spark, d, t), "category") for t in ("verify_results", "model_comparison_report"))
+    return ST.compare(old, new, "category", "n").select("category", ST.delta_text(F.col("old_value"), F.col("new_value")).alias("change"))
+
+
+@query("split_token_stats", f"""WITH s AS (SELECT pair_id, len({w('instruction')})::BIGINT AS p, len({w('output')})::BIGINT AS r FROM (SELECT DISTINCT pair_id, instruction, output FROM synthetic_sft)),
+  t AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('42:' || pair_id), pair_id) <= floor(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM s)
+  SELECT split, count(*)::BIGINT AS n, avg(p)::DOUBLE AS avg_prompt, min(p) AS min_prompt, max(p) AS max_prompt, avg(r)::DOUBLE AS avg_response, max(r) AS max_response FROM t GROUP BY 1""")
+def split_token_stats(spark, d):
+    one = SP.head_split(sft(spark, d).dropDuplicates(["pair_id"]), "pair_id").select("split", n_words("instruction").alias("p"), n_words("output").alias("r"))
+    return one.groupBy("split").agg(F.count("*").alias("n"), F.avg("p").alias("avg_prompt"), F.min("p").alias("min_prompt"), F.max("p").alias("max_prompt"), F.avg("r").alias("avg_response"), F.max("r").alias("max_response"))
+
+
+@query("symbol_pairs", f"SELECT pair, sum(n)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, length(word)::BIGINT), lambda i: substr(word, i, 2))) AS pair, n FROM {_WORDS}) GROUP BY 1")
+def symbol_pairs(spark, d):
+    return TK.pair_counts(E.word_counts(docs(spark, d), "text"), "word", "n")
+
+
+@query("degraded_terms", f"SELECT word, a, b FROM (SELECT word, ceil(length(word) / 4.0)::BIGINT AS a, (1 + length(word) // 5)::BIGINT AS b FROM {_WORDS}) WHERE b > a")
+def degraded_terms(spark, d):
+    t = E.word_counts(docs(spark, d), "text").select("word", F.ceil(F.length("word") / 4).alias("a"), (1 + F.floor(F.length("word") / 5)).cast("long").alias("b"))
+    return TK.degraded(t, "a", "b")
+
+
+@query("best_tokenizer", f"""WITH t AS (SELECT ceil(length(word) / 4.0) AS a, 1 + length(word) // 5 AS b FROM {_WORDS}), c AS (SELECT 'a' AS name, sum((a = 1)::INT) AS s, avg(a) AS m FROM t UNION ALL SELECT 'b', sum((b = 1)::INT), avg(b) FROM t)
+  SELECT name AS winner FROM c ORDER BY s DESC, m LIMIT 1""")
+def best_tokenizer(spark, d):
+    t = E.word_counts(docs(spark, d), "text").select(F.ceil(F.length("word") / 4).alias("a"), (1 + F.floor(F.length("word") / 5)).cast("long").alias("b"))
+    each = t.unpivot([], ["a", "b"], "name", "n").groupBy("name").agg(F.sum((F.col("n") == 1).cast("long")).alias("s"), F.avg("n").alias("m"))
+    return TK.winner(each, "name", "s", "m")
+
+
+@query("file_digests")
+def file_digests(spark, d):
+    return TK.file_digest(spark, f"{d}/region.parquet").select("sha256", "length")
+
+
+@query("drug_registry")
+def drug_registry(spark, d):
+    return E.drugs(E.word_counts(docs(spark, d), "text"))
+
+
+@query("gene_registry")
+def gene_registry(spark, d):
+    return E.genes(E.word_counts(docs(spark, d), "text"))
+
+
+@query("protein_registry", f"SELECT folded AS canonical, n AS frequency FROM (SELECT lower(word) AS folded, sum(n)::BIGINT AS n FROM {_WORDS} GROUP BY 1) WHERE regexp_full_match(folded, '[a-z]{{4,}}ase') AND folded NOT IN ({', '.join(repr(x) for x in E.NOT_DRUGS)}) AND n >= 2")
+def protein_registry(spark, d):
+    return E.proteins(E.word_counts(docs(spark, d), "text"))
+
+
+@query("institution_registry")
+def institution_registry(spark, d):
+    return E.institutions(docs(spark, d), "text")

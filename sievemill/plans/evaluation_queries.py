@@ -352,3 +352,71 @@ def completion(spark, d):
 def duration_projection(spark, d):
     n = table(spark, d, "documents").groupBy("lang").agg(F.sum("n_chars").alias("n")).withColumn("rate", F.lit(1000.0))
     return TL.projection(n, "n", "rate").drop("rate")
+
+
+@query("log_parse", "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, true AS ok FROM events WHERE props IS NOT NULL")
+def log_parse(spark, d):
+    from ..sources.io import parse_lines
+
+    return parse_lines(table(spark, d, "events").where(F.col("props").isNotNull()).select("event_id", "props"), "props", "k long").select("event_id", "k", F.col("_ok").alias("ok"))
+
+
+@query("complete_models", "SELECT model_tag, count(DISTINCT question_id)::BIGINT AS n_files FROM verify_results WHERE question_id IN ('DRUG-001', 'GENE-001', 'EPI-001') GROUP BY 1 HAVING count(DISTINCT question_id) = 3")
+def complete_models(spark, d):
+    from ..sources.io import complete_models as complete
+
+    return complete(table(spark, d, "verify_results"), "model_tag", "question_id", ["DRUG-001", "GENE-001", "EPI-001"])
+
+
+@query("corpus_grounding", f"SELECT pair_id, count(DISTINCT g)::BIGINT AS n_grounded FROM ({_grams('synthetic_sft', 'pair_id', 'output')}) WHERE g IN (SELECT g FROM ({_grams('documents', 'doc_id', 'text')})) GROUP BY 1")
+def corpus_grounding(spark, d):
+    """Runs of eight words of each answer that the corpus holds, by a semi-join: no corpus is too large for it."""
+    from ..functions.words import runs, words
+    from ..operators.dedup import hashed
+
+    def grams(df, key, text):
+        w = words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), W, " "))
+        return df.select(key, F.explode(F.array_distinct(runs(w, 8))).alias("g")).select(key, hashed(F.col("g")).alias("g"))
+
+    pairs = grams(table(spark, d, "synthetic_sft").dropDuplicates(["pair_id"]), "pair_id", "output")
+    corpus = grams(table(spark, d, "documents"), "doc_id", "text").select("g").distinct()
+    return pairs.join(corpus, "g", "left_semi").groupBy("pair_id").agg(F.count("*").alias("n_grounded"))
+
+
+@query("independence_report")
+def independence_report(spark, d):
+    sft = table(spark, d, "synthetic_sft").dropDuplicates(["pair_id"])
+    return VA.independence(VA.question_leaks(sft, "pair_id", "instruction", questions(spark, d), "question_id", "question", 0.0), "score")
+
+
+@query("validation_cascade")
+def validation_cascade(spark, d):
+    sft = table(spark, d, "synthetic_sft").dropDuplicates(["pair_id"])
+    leaked = VA.passage_hits(sft, "pair_id", "output", questions(spark, d), "question_id", "question").select("pair_id", F.lit(True).alias("leaked")).distinct()
+    marked = sft.join(leaked, "pair_id", "left").select("pair_id", PR.pair_format(F.col("instruction"), F.col("output")).alias("format_ok"), F.col("leaked").isNull().alias("independent"))
+    _, rejected = VA.cascade(marked, [("format_ok", "bad_format"), ("independent", "benchmark_leakage")])
+    return rejected.select("pair_id", "reason")
+
+
+@query("entity_contexts")
+def entity_contexts(spark, d):
+    r = results(spark, d).select("result_id", "response")
+    found = E.candidates(r, "result_id", "response").where("etype = 'trials'")
+    return found.join(r, "result_id").select("result_id", "entity", E.context(F.col("response"), F.col("entity")).alias("context"))
+
+
+@query("context_stats", f"SELECT avg(n)::DOUBLE AS mean_tokens, max(n) AS max_tokens, count(*)::BIGINT AS n FROM (SELECT tokens_generated::BIGINT AS n FROM {_R}) WHERE n > 0")
+def context_stats(spark, d):
+    return results(spark, d).where("tokens_generated > 0").agg(F.avg("tokens_generated").alias("mean_tokens"), F.max(F.col("tokens_generated").cast("long")).alias("max_tokens"), F.count("*").alias("n"))
+
+
+@query("annotations")
+def annotations(spark, d):
+    m = modes(spark, d)
+    return m.select("result_id", SC.annotation(F.col("primary_mode"), F.col("severity"), F.col("accuracy"), F.col("f")).alias("note"))
+
+
+@query("coherent_fabrication")
+def coherent_fabrication(spark, d):
+    rows = results(spark, d).withColumnRenamed("coherent", "is_coherent")
+    return SC.fabrication_of_coherent(rows, _looked(spark, d), "result_id")
