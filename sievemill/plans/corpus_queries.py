@@ -172,7 +172,7 @@ def clean_punct(spark, d):
     return digest(docs(spark, d), C.canonical_punctuation(F.col("text")))
 
 
-@query("clean_whitespace", digest_sql(rx(rx("array_to_string(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t\\r\\f]+', ' ', 'g'))), chr(10))", r"\n{3,}", "\n\n"), r"^\n+|\n+$")))
+@query("clean_whitespace", digest_sql(rx(rx("array_to_string(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t\\r\\f]+', ' ', 'g'), ' ')), chr(10))", r"\n{3,}", "\n\n"), r"^\n+|\n+$")))
 def clean_whitespace(spark, d):
     return digest(docs(spark, d), C.normal_whitespace(F.col("text")))
 
@@ -182,7 +182,7 @@ def rejoin_breaks(spark, d):
     return digest(docs(spark, d), C.rejoin_breaks(F.col("text")))
 
 
-@query("title_embed", digest_sql("CASE WHEN length(trim(coalesce(title, ''))) > 0 THEN title || chr(10) || chr(10) || text ELSE text END"))
+@query("title_embed", digest_sql("CASE WHEN length(trim(coalesce(title, ''), ' ')) > 0 THEN title || chr(10) || chr(10) || text ELSE text END"))
 def title_embed(spark, d):
     return digest(docs(spark, d), C.embed_title(F.col("title"), F.col("text")))
 
@@ -338,14 +338,14 @@ def sft(spark, d):
     return table(spark, d, "synthetic_sft")
 
 
-@query("pair_format", f"SELECT pair_id, coalesce(length(trim(instruction)) > 0 AND len({w('output')}) BETWEEN 10 AND 200, false) AS is_valid FROM synthetic_sft")
+@query("pair_format", f"SELECT pair_id, coalesce(length(trim(instruction, ' ')) > 0 AND len({w('output')}) BETWEEN 10 AND 200, false) AS is_valid FROM synthetic_sft")
 def pair_format(spark, d):
     return sft(spark, d).select("pair_id", PR.pair_format(F.col("instruction"), F.col("output")).alias("is_valid"))
 
 
 @query("quality_report", f"""SELECT coalesce(metadata.category, 'unknown') AS category, count(*)::BIGINT AS n_pairs, greatest(250 - count(*), 0)::BIGINT AS shortfall, count(*) < 50 AS is_thin,
   sum(len({w('output')}))::BIGINT AS n_words, min(len({w('output')}))::BIGINT AS min_words, max(len({w('output')}))::BIGINT AS max_words,
-  sum(len(list_filter(string_split(regexp_replace(coalesce(output, ''), '([.!?]){BLANK}', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')))::BIGINT AS n_sentences FROM synthetic_sft GROUP BY 1""")
+  sum(len(list_filter(string_split(regexp_replace(coalesce(output, ''), '([.!?]){BLANK}', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '')))::BIGINT AS n_sentences FROM synthetic_sft GROUP BY 1""")
 def quality_report(spark, d):
     return P.quality(sft(spark, d), F.col("metadata.category"), F.col("output"))
 
@@ -360,7 +360,7 @@ def topic_gate(spark, d):
     return docs(spark, d).select("doc_id", PR.topic(F.col("text"), ["als", "sod1", "riluzole", "motor neuron", "tdp-43"]).alias("on_topic"))
 
 
-_FORMAT = f"CASE WHEN trim(coalesce(input, '')) <> '' THEN format('{FT.WITH_INPUT.replace('%s', '{}')}', coalesce(instruction, ''), coalesce(input, '')) ELSE format('{FT.WITHOUT_INPUT.replace('%s', '{}')}', coalesce(instruction, '')) END"
+_FORMAT = f"CASE WHEN trim(coalesce(input, ''), ' ') <> '' THEN format('{FT.WITH_INPUT.replace('%s', '{}')}', coalesce(instruction, ''), coalesce(input, '')) ELSE format('{FT.WITHOUT_INPUT.replace('%s', '{}')}', coalesce(instruction, '')) END"
 
 
 @query("alpaca_format", f"SELECT pair_id, sha256({_FORMAT}) AS digest FROM synthetic_sft")
@@ -368,7 +368,7 @@ def alpaca_format(spark, d):
     return sft(spark, d).select("pair_id", F.sha2(FT.prompt(F.col("instruction"), F.col("input")), 256).alias("digest"))
 
 
-@query("chat_messages", "SELECT pair_id, unnest(['system', 'user', 'assistant']) AS role, unnest(['Answer.', CASE WHEN trim(coalesce(input, '')) <> '' THEN instruction || chr(10) || chr(10) || 'Context: ' || input ELSE instruction END, output]) AS content FROM synthetic_sft")
+@query("chat_messages", "SELECT pair_id, unnest(['system', 'user', 'assistant']) AS role, unnest(['Answer.', CASE WHEN trim(coalesce(input, ''), ' ') <> '' THEN instruction || chr(10) || chr(10) || 'Context: ' || input ELSE instruction END, output]) AS content FROM synthetic_sft")
 def chat_messages(spark, d):
     m = FT.chat("Answer.", F.col("instruction"), F.col("input"), F.col("output"))
     return sft(spark, d).select("pair_id", F.explode(m).alias("m")).select("pair_id", "m.role", "m.content")
