@@ -46,23 +46,20 @@ def partial_ratio(a: str | None, b: str | None, least: float = 0.0) -> float:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
-    n, starts = len(a), range(-len(a) + 1, len(b))
-    if least > 0:
-        # at least this share of a stands in the window in order: of its pieces, more than may be broken, one stands unbroken
-        lost = int(n * (1 - least / 100) * 2) + 1
-        size = max(1, n // (lost + 1))
-        near: set[int] = set()
-        for p in range(0, n - size + 1, size):
-            at = b.find(a[p : p + size])
-            while at >= 0:
-                near.update(range(at - p - lost, at - p + lost + 1))
-                at = b.find(a[p : p + size], at + 1)
-        starts = sorted(s for s in near if -n < s < len(b))
-    bits, best = _table(a), 0.0
-    for s in starts:
-        window = b[max(0, s) : s + n]
-        if 200.0 * min(n, len(window)) / (n + len(window)) > best:
-            best = max(best, 200.0 * _common(bits, n, window) / (n + len(window)))
+    # a window that moves by one place changes its common subsequence by one at most: it moves as far as the best, or least, allows
+    n, bits = len(a), _table(a)
+    most = -1
+    goal = least * n / 100 if least > 0 else 0.0
+    s, end = 0, len(b) - n
+    while s <= end:
+        common = _common(bits, n, b[s : s + n])
+        most = max(most, common)
+        s += max(1, int(max(goal, most + 1) - common))
+    best = 100.0 * most / n if most >= 0 else 0.0
+    for m in range(n - 1, 0, -1):  # shorter windows at both ends
+        if 200.0 * m / (n + m) <= max(best, least - 1e-9):
+            break
+        best = max(best, 200.0 * _common(bits, n, b[:m]) / (n + m), 200.0 * _common(bits, n, b[-m:]) / (n + m))
     return best
 
 

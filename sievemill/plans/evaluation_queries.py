@@ -329,7 +329,7 @@ def run_summary(spark, d):
 
 @query("resume_continuity")
 def resume_continuity(spark, d):
-    e = table(spark, d, "events").withColumn("step", F.col("event_id") % 500)
+    e = table(spark, d, "events").withColumn("step", F.floor(F.col("event_id") / 20))
     return TL.continuity(e, "event_id", "step", "value", F.col("event_type") == "purchase")
 
 
