@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space between words: the ASCII kinds that every regex dialect agrees on.
@@ -44,6 +44,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with the column computed once per row, however often later expressions name it: they are not merged into a generator."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def runs(w: Column, k: int) -> Column:
     """Runs of k consecutive words, joined by blanks; none if there are fewer words."""
     return let(w, lambda x: F.when(F.size(x) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, k), " "))).otherwise(F.array().cast("array<string>")))

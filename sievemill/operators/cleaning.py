@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.words import n_words, words
+from ..functions.words import n_words, once, words
 
 # Patterns of what is removed.
 URL = r"https?://\S+|www\.\S+"
@@ -106,12 +106,15 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(fix_unicode, na_action="ignore")
 
 
-_COMPILED = [(name, full, re.compile(rf"\b(?:{variants})\b", re.I)) for name, full, variants in ABBREVIATIONS]
+_COMPILED = [(name, full, re.compile(rf"\b(?:{variants})\b", re.I), {re.split(r"[-\\/]", v)[0].lower() for v in variants.split("|")}) for name, full, variants in ABBREVIATIONS]
 
 
 def expand(text: str) -> str:
     """Each abbreviation in its canonical form; the first use is spelt out unless that stands within the NEAR characters before."""
-    for name, full, pattern in _COMPILED:
+    low = text.lower()
+    for name, full, pattern, starts in _COMPILED:
+        if not any(s in low for s in starts):  # what no variant begins with needs no search
+            continue
         used = full is None
         pieces, at = [], 0
         for m in pattern.finditer(text):
@@ -125,6 +128,7 @@ def expand(text: str) -> str:
             at = m.end()
         if at:
             text = "".join(pieces) + text[at:]
+            low = text.lower()
     return text
 
 
@@ -202,19 +206,18 @@ def clean(df: DataFrame, key: str = "doc_id", strict: bool = False, with_udfs: b
     full = df.where(~blank)
     if with_udfs:
         full = full.withColumn("text", html_text("text"))
+    # branches over one text: each step is computed once, whatever its source
     scientific = F.coalesce(F.col("source_category").isin(SCIENTIFIC_CATEGORIES) | source.isin(SCIENTIFIC_SOURCES), F.lit(False))
-    out = F.when(scientific, strip_sections(text)).otherwise(text)
-    out = strip_volatile(strip_citations(out), strict)
-    out = F.when(source.isin(TRIAL_SOURCES), strip_trial_status(out)).otherwise(out)
-    out = F.when(source == "patient_narratives", mask_pii(out)).otherwise(out)
-    full = full.withColumn("text", out)
+    full = once(full, "text", strip_volatile(strip_citations(F.when(scientific, strip_sections(text)).otherwise(text)), strict))
+    full = once(full, "text", F.when(source.isin(TRIAL_SOURCES), strip_trial_status(text)).when(source == "patient_narratives", mask_pii(text)).otherwise(text))
     if with_udfs:
         full = full.withColumn("text", nfc("text"))
-    full = full.withColumn("text", normal_whitespace(rejoin_breaks(canonical_punctuation(text))))
+    full = once(full, "text", normal_whitespace(rejoin_breaks(canonical_punctuation(text))))
     if with_udfs:
         english = F.lit(True) if strict else F.coalesce(F.lower("lang") == "en", F.lit(False))
-        full = full.withColumn("text", F.when(english, abbreviations("text")).otherwise(text))
-    full = full.withColumn("is_english", looks_english(text)).withColumn("text", embed_title(F.col("title"), text)).withColumn("word_count", n_words(text))
+        full = once(full, "text", F.when(english, abbreviations("text")).otherwise(text))
+    full = full.withColumn("is_english", looks_english(text)).withColumn("text", embed_title(F.col("title"), text))
+    full = once(full, "word_count", n_words(text))
     short = F.col("word_count") < min_words
     rejected = reject(df.where(blank), key, "source", "clean", F.lit("empty_text")).unionByName(
         reject(full.where(short), key, "source", "clean", F.lit("too_short"), F.create_map(F.lit("word_count"), F.col("word_count").cast("string"), F.lit("threshold"), F.lit(str(min_words))))

@@ -18,8 +18,8 @@ def shingle_set(text: Column, k: int = 5) -> Column:
 
 
 def hashed(shingle: Column) -> Column:
-    """The first 60 bits of the md5."""
-    return F.conv(F.substring(F.md5(shingle), 1, 15), 16, 10).cast("long")
+    """64 bits that stand for the shingle."""
+    return F.xxhash64(shingle)
 
 
 def banded(df: DataFrame, key: str, text: str, threshold: float = 0.85, k: int = 5) -> DataFrame:
@@ -82,6 +82,7 @@ def near(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFra
 def jaccard_pairs(df: DataFrame, key: str, text: str, least: float, k: int = 5) -> DataFrame:
     """Exact pairs a < b with shared and united shingles. Only shingles held by at most a tenth as prefixes generate pairs."""
     sets = df.select(F.col(key).alias("k"), F.explode(shingle_set(F.col(text), k)).alias("s")).select("k", hashed(F.col("s")).alias("s"))
+    sets = materialize(sets, "shingles")  # read four times
     size = sets.groupBy("k").agg(F.count("*").alias("n"))
     rank = Window.partitionBy("k").orderBy("f", "s")
     frequency = sets.groupBy("s").agg(F.count("*").alias("f"))
