@@ -40,16 +40,26 @@ def exact(df: DataFrame, text: str, order: list[str]) -> DataFrame:
     return df.join(first.select(*[F.col("__first")[c].alias(c) for c in order]), order, "left_semi")
 
 
-def band_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
-    """Pairs a < b that share a band. Equal texts are joined through one representative, so copies do not multiply."""
+def leaders(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(leaders, copies): k and t of the first record of each sequence of lower-cased words, and pairs a < b of a leader and
+    each later record of the same words. Records without words are in neither."""
     hashes = df.where(F.size(words(text)) > 0).select(F.col(key).alias("k"), F.sha2(F.array_join(words(F.lower(text)), " "), 256).alias("h"), F.col(text).alias("t"))
     leader = hashes.groupBy("h").agg(F.min("k").alias("k"))
-    one = hashes.join(leader, ["h", "k"], "left_semi")
+    copies = hashes.drop("t").join(leader.withColumnRenamed("k", "a"), "h").where(F.col("a") < F.col("k")).select("a", F.col("k").alias("b"))
+    return hashes.join(leader, ["h", "k"], "left_semi").select("k", "t"), copies
+
+
+def shared_bands(one: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Pairs a < b of the rows (k, t) that share a band."""
     keyed = materialize(banded(one, "k", "t", threshold), "bands")
     x, y = keyed.select(F.col("k").alias("a"), "band"), keyed.select(F.col("k").alias("b"), "band")
-    near = x.join(y, "band").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    copies = hashes.join(leader.withColumnRenamed("k", "a"), "h").where(F.col("a") < F.col("k")).select("a", F.col("k").alias("b"))
-    return near.unionByName(copies)
+    return x.join(y, "band").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+
+
+def band_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
+    """Pairs a < b that share a band. Equal texts are joined through one representative, so copies do not multiply."""
+    one, copies = leaders(df, key, text)
+    return shared_bands(one, threshold).unionByName(copies)
 
 
 def first_kept(pairs: DataFrame, nodes: DataFrame, key: str, most_rounds: int = 100) -> DataFrame:
@@ -75,8 +85,10 @@ def first_kept(pairs: DataFrame, nodes: DataFrame, key: str, most_rounds: int =
 
 
 def near(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
-    """The keys that near-duplicate removal keeps."""
-    return first_kept(band_pairs(df, key, text, threshold), df, key)
+    """The keys that near-duplicate removal keeps. A copy falls with its leader: to the leader, or to what the leader fell to."""
+    one, copies = leaders(df, key, text)
+    nodes = df.join(copies.select(F.col("b").alias(key)), key, "left_anti")
+    return first_kept(shared_bands(one, threshold), nodes, key)
 
 
 def jaccard_pairs(df: DataFrame, key: str, text: str, least: float, k: int = 5) -> DataFrame:

@@ -116,6 +116,13 @@ def test_near_and_exact_pairs(spark):
     assert pairs == expected
 
 
+def test_copies_fall_with_their_leader(spark):
+    base = [f"w{i}" for i in range(400)]
+    near = " ".join(base[:-1] + ["x"])
+    df = spark.createDataFrame([(1, " ".join(base)), (2, near), (3, near), (4, near.upper()), (5, "other words stay here too"), (6, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in D.near(df, "doc_id", "text").collect()) == [1, 5, 6]
+
+
 def test_paragraphs(spark):
     p50, p49 = " ".join(["a"] * 50), " ".join(["b"] * 49)
     df = spark.createDataFrame([(1, f"{p50}\n\n{p49}"), (2, f"{p49}\n\n{p50}\n\n{p50}"), (3, p50), (4, None)], "doc_id long, text string")
