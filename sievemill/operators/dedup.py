@@ -84,15 +84,21 @@ def first_kept(pairs: DataFrame, nodes: DataFrame, key: str, most_rounds: int =
     return keys if dropped is None else keys.join(dropped.select(F.col("n").alias(key)), key, "left_anti")
 
 
-def near(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
-    """The keys that near-duplicate removal keeps. A copy falls with its leader: to the leader, or to what the leader fell to."""
+def near(df: DataFrame, key: str, text: str, threshold: float = 0.8, strict: bool = False) -> DataFrame:
+    """The keys that near-duplicate removal keeps. A copy falls with its leader: to the leader, or to what the leader fell to.
+
+    Leaders are linked by an exact join at threshold; strict links those that share a band for 0.85, and misses pairs by chance.
+    """
     one, copies = leaders(df, key, text)
     nodes = df.join(copies.select(F.col("b").alias(key)), key, "left_anti")
-    return first_kept(shared_bands(one, threshold), nodes, key)
+    return first_kept(shared_bands(one) if strict else jaccard_pairs(one, "k", "t", threshold), nodes, key)
 
 
-def jaccard_pairs(df: DataFrame, key: str, text: str, least: float, k: int = 5) -> DataFrame:
-    """Exact pairs a < b with shared and united shingles. Only shingles held by at most a tenth as prefixes generate pairs."""
+def jaccard_pairs(df: DataFrame, key: str, text: str, least: float, k: int = 5, apart: str | None = None) -> DataFrame:
+    """Exact pairs a < b with shared and united shingles. Only shingles held by at most a tenth as prefixes generate pairs.
+
+    apart: a field of the key in which the two records of a pair must differ.
+    """
     sets = df.select(F.col(key).alias("k"), F.explode(shingle_set(F.col(text), k)).alias("s")).select("k", hashed(F.col("s")).alias("s"))
     sets = materialize(sets, "shingles")  # read four times
     size = sets.groupBy("k").agg(F.count("*").alias("n"))
@@ -101,7 +107,8 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, least: float, k: int = 5)
     ranked = sets.join(frequency, "s").withColumn("r", F.row_number().over(rank)).join(size, "k")
     prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
     x, y = prefix.select(F.col("k").alias("a"), "s", F.col("n").alias("na")), prefix.select(F.col("k").alias("b"), "s", F.col("n").alias("nb"))
-    found = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
+    asked = F.col("a")[apart] != F.col("b")[apart] if apart else F.lit(True)
+    found = x.join(y, "s").where(asked & (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
     shared = found.join(sets.select(F.col("k").alias("a"), "s"), "a").join(sets.select(F.col("k").alias("b"), "s"), ["b", "s"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n_shared"))
     return shared.withColumn("n_union", F.col("na") + F.col("nb") - F.col("n_shared")).where(F.col("n_shared") >= least * F.col("n_union")).select("a", "b", "n_shared", "n_union")
 
@@ -123,8 +130,13 @@ def paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n", leas
     return built.where(~lost).select(key, text, "n_removed", n_words(text).alias("word_count")), built.where(lost).select(key)
 
 
-def cross_leaks(train: DataFrame, val: DataFrame, key: str, text: str, threshold: float = 0.7) -> DataFrame:
-    """Keys of val that share a band with train."""
-    hit = banded(train, key, text, threshold).select("band").distinct()
-    own = banded(val, key, text, threshold)
-    return own.join(hit, "band", "left_semi").select(key).distinct()
+def cross_leaks(train: DataFrame, val: DataFrame, key: str, text: str, threshold: float = 0.7, strict: bool = False) -> DataFrame:
+    """Keys of val whose text is linked to one of train, by an exact join at threshold; strict: by a shared band, which misses pairs by chance."""
+    if strict:
+        hit = banded(train, key, text, threshold).select("band").distinct()
+        return banded(val, key, text, threshold).join(hit, "band", "left_semi").select(key).distinct()
+    (ours, _), (theirs, copies) = leaders(train, key, text), leaders(val, key, text)
+    both = [one.dropDuplicates(["k"]).select(F.struct(F.lit(side).alias("side"), "k").alias("k"), "t") for side, one in enumerate((ours, theirs))]
+    pairs = jaccard_pairs(both[0].unionByName(both[1]), "k", "t", threshold, apart="side")
+    hit = materialize(pairs.select(F.col("b.k").alias("a")).distinct(), "leaks")
+    return hit.unionByName(copies.join(hit, "a", "left_semi").select(F.col("b").alias("a"))).select(F.col("a").alias(key)).distinct()

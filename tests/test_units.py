@@ -123,6 +123,19 @@ def test_copies_fall_with_their_leader(spark):
     assert sorted(r["doc_id"] for r in D.near(df, "doc_id", "text").collect()) == [1, 5, 6]
 
 
+def test_no_link_is_lost(spark):
+    rows = []
+    for i in range(30):  # 92 of 100 shingles are shared, J = 92 / 108; below, 84 are, J = 84 / 116
+        base = [f"w{i}x{j}" for j in range(104)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:96] + [f"y{i}x{j}" for j in range(8)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in D.near(df, "doc_id", "text").collect()) == [2 * i for i in range(30)]
+    cut = [(2 * i, " ".join([f"w{i}x{j}" for j in range(88)] + [f"z{i}x{j}" for j in range(16)])) for i in range(30)]
+    val = spark.createDataFrame(cut + [(1000, cut[0][1]), (1001, "none of these words is there")], "doc_id long, text string")
+    train = df.where("doc_id % 2 = 0")
+    assert sorted(r["doc_id"] for r in D.cross_leaks(train, val, "doc_id", "text").collect()) == [2 * i for i in range(30)] + [1000]
+
+
 def test_paragraphs(spark):
     p50, p49 = " ".join(["a"] * 50), " ".join(["b"] * 49)
     df = spark.createDataFrame([(1, f"{p50}\n\n{p49}"), (2, f"{p49}\n\n{p50}\n\n{p50}"), (3, p50), (4, None)], "doc_id long, text string")
