@@ -6,6 +6,7 @@ integer as a bit row, so a comparison takes one step per character of the longer
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +76,37 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(ratio(left, right), ratio(common, left) if common else 0.0, ratio(common, right) if common else 0.0)
 
 
+class Tokens:
+    """A text as token_set_ratio sees it: its distinct tokens, the length of these joined, and its characters by slot."""
+
+    def __init__(self, text: str | None):
+        self.tokens = frozenset((text or "").split())
+        joined = " ".join(self.tokens)
+        self.size = len(joined)
+        self.slots = np.bincount(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+
+
+def most_ratio(x: Tokens, slots: np.ndarray, sizes: np.ndarray) -> list[float]:
+    """What the ratio of the joined tokens of x and of each other text cannot exceed: no more characters than both have are common."""
+    return (200.0 * np.minimum(x.slots, slots).sum(1) / np.maximum(x.size + sizes, 1)).tolist()
+
+
+def set_ratio_above(x: Tokens, y: Tokens, most: float, best: float) -> float:
+    """The greater of best and token_set_ratio(x, y); the subsequence is searched only if most allows more than best."""
+    if not x.tokens or not y.tokens:
+        return best
+    common, n = x.tokens & y.tokens, 0
+    if common:
+        if len(common) in (len(x.tokens), len(y.tokens)):
+            return 100.0
+        n = sum(map(len, common)) + len(common)
+        best = max(best, 200.0 * (n - 1) / (n - 1 + min(x.size, y.size)))
+    if most <= best:
+        return best
+    a, b = " ".join(sorted(x.tokens - common)), " ".join(sorted(y.tokens - common))
+    return max(best, 200.0 * (n + _common(_table(a), len(a), b)) / (x.size + y.size))
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

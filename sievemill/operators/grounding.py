@@ -6,10 +6,14 @@ similarity sees only what the join leaves open.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import partial_ratio_80_udf, ratio_udf, token_set_ratio_udf
+from ..functions.fuzzy import Tokens, most_ratio, partial_ratio_80_udf, ratio_udf, set_ratio_above, token_set_ratio_udf
 from ..functions.words import runs, words
 from .dedup import hashed
 
@@ -63,6 +67,43 @@ def question_leaks(pairs: DataFrame, key: str, instruction: str, items: DataFram
     return pairs.withColumn("i", F.lower(F.coalesce(F.col(instruction), F.lit("")))).join(first, "i").select(key, item, "score")
 
 
+def similarities(pairs: DataFrame, key: str, instruction: str, output: str, items: DataFrame, question: str, prompt: str, answer: str) -> DataFrame:
+    """key, score, total and n_items: the highest, the sum and the number of a pair's similarities, one with each item.
+
+    The similarity is the greatest token-set ratio of instruction and question, instruction and prompt, output and answer. Every
+    pair meets every item: the items are few and go to all tasks. Instructions are compared once per task.
+    """
+    rows = items.select(question, prompt, answer).collect()
+    columns = [[Tokens((r[c] or "").lower()) for r in rows] for c in (question, prompt, answer)]
+    slots = [np.array([y.slots for y in c]) for c in columns]
+    sizes = [np.array([y.size for y in c]) for c in columns]
+
+    def compared(text: str, sides: list[int], least: list[float]) -> list[float]:
+        x, best = Tokens(text), least
+        for side in sides:
+            most = most_ratio(x, slots[side], sizes[side])
+            best = [set_ratio_above(x, y, m, b) for y, m, b in zip(columns[side], most, best, strict=True)]
+        return best
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, list[float]] = {}
+        for batch in batches:
+            best = []
+            for x, o in zip(batch["x"], batch["o"], strict=True):
+                if x not in seen:
+                    if len(seen) >= 10_000:
+                        seen.clear()
+                    seen[x] = compared(x, [1, 0], [0.0] * len(rows))
+                best.append(compared(o, [2], seen[x]))
+            yield pd.DataFrame({key: batch[key], "score": [max(b) for b in best], "total": [sum(b) for b in best], "n_items": len(rows)})
+
+    if not rows:
+        return pairs.select(key, F.lit(0.0).alias("score"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n_items"))
+    texts = pairs.select(key, *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in ((instruction, "x"), (output, "o"))])
+    spread = texts.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)  # long computation on few bytes
+    return spread.mapInPandas(scored, f"{key} {pairs.schema[key].dataType.simpleString()}, score double, total double, n_items long")
+
+
 def fact_matches(texts: DataFrame, key: str, text: str, facts: DataFrame, fact: str, on: str, least: float = 80.0) -> DataFrame:
     """texts x facts of the same item, with score: 100 where the fact stands in the text, else the partial ratio."""
     both = texts.select(F.col(key), F.col(on), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t")).join(facts.select(F.col(on), F.col(fact), F.lower(F.col(fact)).alias("__f")), on)
@@ -72,8 +113,10 @@ def fact_matches(texts: DataFrame, key: str, text: str, facts: DataFrame, fact:
     return hit.unionByName(rest).select(key, on, fact, F.col("score"), (F.col("score") >= least).alias("found"))
 
 
-def independence(pairs: DataFrame, score: str) -> DataFrame:
-    return pairs.agg(F.max(score).alias("max_score"), F.avg(score).alias("mean_score"), F.sum((F.col(score) >= 75).cast("long")).alias("n_flagged"), F.when(F.max(score) >= 75, "FAIL").otherwise("PASS").alias("verdict"))
+def independence(pairs: DataFrame, score: str, total: str, n_items: str) -> DataFrame:
+    """Over rows of similarities: the highest of all, the mean over all comparisons, the pairs at 75 or more, and the verdict."""
+    mean = F.sum(total) / F.nullif(F.sum(n_items), F.lit(0))
+    return pairs.agg(F.max(score).alias("max_score"), mean.alias("mean_score"), F.sum((F.col(score) >= 75).cast("long")).alias("n_flagged"), F.when(F.max(score) >= 75, "FAIL").otherwise("PASS").alias("verdict"))
 
 
 def cascade(df: DataFrame, checks: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:

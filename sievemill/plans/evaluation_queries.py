@@ -386,7 +386,8 @@ def corpus_grounding(spark, d):
 @query("independence_report")
 def independence_report(spark, d):
     sft = table(spark, d, "synthetic_sft").dropDuplicates(["pair_id"])
-    return VA.independence(VA.question_leaks(sft, "pair_id", "instruction", questions(spark, d), "question_id", "question", 0.0), "score")
+    scored = VA.similarities(sft, "pair_id", "instruction", "output", questions(spark, d), "question", "prompt_template", "verified_answer")
+    return VA.independence(scored, "score", "total", "n_items")
 
 
 @query("validation_cascade")

@@ -184,6 +184,20 @@ def test_grounding_and_facts(spark):
     assert [r["k"] for r in ok.collect()] == [2] and {r["k"]: r["reason"] for r in bad.collect()} == {1: "no_b", 3: "no_a"}
 
 
+def test_independence_takes_the_best_of_all(spark):
+    draw = random.Random(5)
+    some = lambda n: " ".join(draw.choice("What is the role of Riluzole riluzole in ALS care and trials ñ 5".split()) for _ in range(n))
+    items = [(f"Q{i}", some(8), some(5), some(12)) for i in range(6)] + [("Q9", "what is edaravone for in adults", "", None)]
+    pairs = [(i, some(draw.randrange(6)), some(draw.randrange(14))) for i in range(40)] + [(40, None, None), (41, "What is edaravone for in adults", "x")]
+    best = [[max(fuzzy.token_set_ratio((a or "").lower(), (b or "").lower()) for a, b in ((x, q), (x, p), (o, v))) for _, q, p, v in items] for _, x, o in pairs]
+    df, few = spark.createDataFrame(pairs, "k long, x string, o string"), spark.createDataFrame(items, "item string, q string, p string, v string")
+    scored = VA.similarities(df, "k", "x", "o", few, "q", "p", "v")
+    assert {r["k"]: r["score"] for r in scored.collect()} == pytest.approx({k: max(b) for (k, *_), b in zip(pairs, best, strict=True)})
+    report = VA.independence(scored, "score", "total", "n_items").first()
+    assert (report["max_score"], report["n_flagged"], report["verdict"]) == (100.0, sum(max(b) >= 75 for b in best), "FAIL")
+    assert report["mean_score"] == pytest.approx(sum(map(sum, best)) / (len(pairs) * len(items)))
+
+
 def test_chunks_and_neighbours(spark):
     assert RG.pack_units("a b c\n\nd e\n\nf g h i", 5) == ["a b c\n\nd e", "f g h i"]
     assert RG.pack_units("One two three. Four five six. Seven.\n\nnext", 3) == ["One two three.", "Four five six.", "Seven.\n\nnext"]
