@@ -115,8 +115,3 @@ def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def partial_ratio_80_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x, y, 80.0) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

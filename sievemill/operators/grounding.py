@@ -1,7 +1,7 @@
 """Whether pairs are grounded in the corpus and free of benchmark wording.
 
-Every fuzzy comparison runs on candidates that share something: an exact hit is found by a join first, and the costly
-similarity sees only what the join leaves open.
+Fuzzy comparisons of entities and facts run on candidates: an exact hit is found by a join first, and the costly similarity
+sees only what the join leaves open. Pairs meet every benchmark item; bounds skip searches that cannot change a result.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import Tokens, most_ratio, partial_ratio_80_udf, ratio_udf, set_ratio_above, token_set_ratio_udf
+from ..functions.fuzzy import Tokens, most_ratio, partial_ratio_80_udf, ratio_udf, set_ratio_above
 from ..functions.words import runs, words
 from .dedup import hashed
 
@@ -54,26 +54,15 @@ def passage_hits(df: DataFrame, key: str, text: str, items: DataFrame, item: str
     return grams(df, key, text).join(grams(items, item, item_text), "g").groupBy(key, item).agg(F.count("*").alias("n_shared"))
 
 
-def question_leaks(pairs: DataFrame, key: str, instruction: str, items: DataFrame, item: str, question: str, least: float = 75.0) -> DataFrame:
-    """The first item, in item order, whose question's token-set ratio with the instruction reaches least.
-
-    Both sides are taken once per distinct text; candidates share a token that is not among the commonest ones."""
-    left = pairs.select(F.lower(F.coalesce(F.col(instruction), F.lit(""))).alias("x")).distinct()
-    right = items.select(F.col(item).alias("item"), F.lower(F.coalesce(F.col(question), F.lit(""))).alias("y")).distinct()
-    lt, rt = token_sets(left.withColumn("i", F.col("x")), "i", "x"), token_sets(right, "item", "y")
-    pairs_shared = lt.join(rt, "token").groupBy("i", "item").agg(F.count("*").alias("n")).where("n >= 4")
-    scored = pairs_shared.join(right, "item").withColumn("score", token_set_ratio_udf(F.col("i"), F.col("y"))).where(F.col("score") >= least)
-    first = scored.groupBy("i").agg(F.min(F.struct("item", "score")).alias("m")).select("i", F.col("m.item").alias(item), F.col("m.score").alias("score"))
-    return pairs.withColumn("i", F.lower(F.coalesce(F.col(instruction), F.lit("")))).join(first, "i").select(key, item, "score")
-
-
-def similarities(pairs: DataFrame, key: str, instruction: str, output: str, items: DataFrame, question: str, prompt: str, answer: str) -> DataFrame:
-    """key, score, total and n_items: the highest, the sum and the number of a pair's similarities, one with each item.
+def similarities(pairs: DataFrame, key: str, instruction: str, output: str, items: DataFrame, item: str, question: str, prompt: str, answer: str, least: float = 0.0) -> DataFrame:
+    """key, score, total and n_items: the highest, the sum and the number of a pair's similarities, one with each item; first and
+    first_score: the first item, in item order, at least or more. Below least, similarities count as just under it, which is cheaper.
 
     The similarity is the greatest token-set ratio of instruction and question, instruction and prompt, output and answer. Every
     pair meets every item: the items are few and go to all tasks. Instructions are compared once per task.
     """
-    rows = items.select(question, prompt, answer).collect()
+    rows = items.select(item, question, prompt, answer).sort(item).collect()
+    floor = [float(np.nextafter(least, 0.0))] * len(rows)
     columns = [[Tokens((r[c] or "").lower()) for r in rows] for c in (question, prompt, answer)]
     slots = [np.array([y.slots for y in c]) for c in columns]
     sizes = [np.array([y.size for y in c]) for c in columns]
@@ -93,15 +82,25 @@ def similarities(pairs: DataFrame, key: str, instruction: str, output: str, item
                 if x not in seen:
                     if len(seen) >= 10_000:
                         seen.clear()
-                    seen[x] = compared(x, [1, 0], [0.0] * len(rows))
+                    seen[x] = compared(x, [1, 0], floor)
                 best.append(compared(o, [2], seen[x]))
-            yield pd.DataFrame({key: batch[key], "score": [max(b) for b in best], "total": [sum(b) for b in best], "n_items": len(rows)})
+            hits = [next((i for i, score in enumerate(b) if score >= least), None) for b in best]
+            first = pd.Series([None if i is None else rows[i][item] for i in hits], dtype="object")
+            at = [None if i is None else b[i] for i, b in zip(hits, best, strict=True)]
+            yield pd.DataFrame({key: batch[key], "score": [max(b) for b in best], "total": [sum(b) for b in best], "n_items": len(rows), "first": first, "first_score": pd.Series(at, dtype="float64")})
 
+    types = f"{key} {pairs.schema[key].dataType.simpleString()}, score double, total double, n_items long, first {items.schema[item].dataType.simpleString()}, first_score double"
     if not rows:
-        return pairs.select(key, F.lit(0.0).alias("score"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n_items"))
+        return pairs.select(key, F.lit(0.0).alias("score"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast(items.schema[item].dataType).alias("first"), F.lit(None).cast("double").alias("first_score"))
     texts = pairs.select(key, *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in ((instruction, "x"), (output, "o"))])
     spread = texts.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)  # long computation on few bytes
-    return spread.mapInPandas(scored, f"{key} {pairs.schema[key].dataType.simpleString()}, score double, total double, n_items long")
+    return spread.mapInPandas(scored, types)
+
+
+def question_leaks(pairs: DataFrame, key: str, instruction: str, output: str, items: DataFrame, item: str, question: str, prompt: str, answer: str, least: float = 75.0) -> DataFrame:
+    """The first item, in item order, whose similarity with the pair reaches least; see similarities."""
+    found = similarities(pairs, key, instruction, output, items, item, question, prompt, answer, least)
+    return found.where(F.col("first").isNotNull()).select(key, F.col("first").alias(item), F.col("first_score").alias("score"))
 
 
 def fact_matches(texts: DataFrame, key: str, text: str, facts: DataFrame, fact: str, on: str, least: float = 80.0) -> DataFrame:

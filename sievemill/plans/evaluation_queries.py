@@ -74,7 +74,7 @@ def token_jaccard(spark, d):
 @query("question_leaks")
 def question_leaks(spark, d):
     sft = table(spark, d, "synthetic_sft").dropDuplicates(["pair_id"])
-    return VA.question_leaks(sft, "pair_id", "instruction", questions(spark, d), "question_id", "question")
+    return VA.question_leaks(sft, "pair_id", "instruction", "output", questions(spark, d), "question_id", "question", "prompt_template", "verified_answer")
 
 
 @query("entity_candidates", None)
@@ -386,7 +386,7 @@ def corpus_grounding(spark, d):
 @query("independence_report")
 def independence_report(spark, d):
     sft = table(spark, d, "synthetic_sft").dropDuplicates(["pair_id"])
-    scored = VA.similarities(sft, "pair_id", "instruction", "output", questions(spark, d), "question", "prompt_template", "verified_answer")
+    scored = VA.similarities(sft, "pair_id", "instruction", "output", questions(spark, d), "question_id", "question", "prompt_template", "verified_answer")
     return VA.independence(scored, "score", "total", "n_items")
 
 

@@ -191,13 +191,20 @@ def test_independence_takes_the_best_of_all(spark):
     pairs = [(i, some(draw.randrange(6)), some(draw.randrange(14))) for i in range(40)] + [(40, None, None), (41, "What is edaravone for in adults", "x")]
     best = [[max(fuzzy.token_set_ratio((a or "").lower(), (b or "").lower()) for a, b in ((x, q), (x, p), (o, v))) for _, q, p, v in items] for _, x, o in pairs]
     df, few = spark.createDataFrame(pairs, "k long, x string, o string"), spark.createDataFrame(items, "item string, q string, p string, v string")
-    scored = VA.similarities(df, "k", "x", "o", few, "q", "p", "v")
+    scored = VA.similarities(df, "k", "x", "o", few, "item", "q", "p", "v")
     assert {r["k"]: r["score"] for r in scored.collect()} == pytest.approx({k: max(b) for (k, *_), b in zip(pairs, best, strict=True)})
     report = VA.independence(scored, "score", "total", "n_items").first()
     assert (report["max_score"], report["n_flagged"], report["verdict"]) == (100.0, sum(max(b) >= 75 for b in best), "FAIL")
     assert report["mean_score"] == pytest.approx(sum(map(sum, best)) / (len(pairs) * len(items)))
 
 
+def test_leaks_of_short_instructions_prompts_and_answers(spark):
+    items = spark.createDataFrame([("A", "so what is riluzole?", "name the drug in two words", "it slows the loss of motor neurons"), ("B", "what is riluzole? say", "x", "y")], "item string, q string, p string, v string")
+    pairs = [(1, "What is riluzole?", "z"), (2, "Name the drug in two words", "z"), (3, "other", "It slows the loss of motor neurons"), (4, "other", "z"), (5, None, None)]
+    found = VA.question_leaks(spark.createDataFrame(pairs, "k long, x string, o string"), "k", "x", "o", items, "item", "q", "p", "v")
+    assert {(r["k"], r["item"], r["score"]) for r in found.collect()} == {(1, "A", 100.0), (2, "A", 100.0), (3, "A", 100.0)}
+
+
 def test_chunks_and_neighbours(spark):
     assert RG.pack_units("a b c\n\nd e\n\nf g h i", 5) == ["a b c\n\nd e", "f g h i"]
     assert RG.pack_units("One two three. Four five six. Seven.\n\nnext", 3) == ["One two three.", "Four five six.", "Seven.\n\nnext"]
