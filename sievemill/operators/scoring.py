@@ -106,8 +106,9 @@ def sample_rows(questions: DataFrame, parts: list[DataFrame], item: str) -> Data
     return questions
 
 
-def metric_pivot(df: DataFrame, row: str, model: str, models: list[str], metric: str) -> DataFrame:
-    return df.groupBy(row).pivot(model, models).agg(F.avg(metric))
+def metric_pivot(df: DataFrame, row: str, model: str, metric: str) -> DataFrame:
+    """Mean of the metric by row, one column per model that the data holds; models are few, their names come to the driver."""
+    return df.groupBy(row).pivot(model).agg(F.avg(metric))
 
 
 def disagreement(df: DataFrame, item: str, model: str, mode: str, n_models: int) -> DataFrame:
@@ -154,11 +155,12 @@ def capability_gap(rows: DataFrame, model: str) -> DataFrame:
     return rows.groupBy(model).agg(c.alias("coherence_pct"), a.alias("accuracy_pct"), (c - a).alias("gap"))
 
 
-def ablation(rows: DataFrame, model: str, base: str, metrics: list[str]) -> DataFrame:
-    """Each metric's mean per model less that of the base model."""
-    one = rows.groupBy(model).agg(*[F.avg(m).alias(m) for m in metrics])
-    own = [F.max(F.when(F.col(model) == base, F.col(m))).over(Window.partitionBy()) for m in metrics]  # one row per model
-    return one.select(model, *[(F.col(m) - b).alias(f"delta_{m}") for m, b in zip(metrics, own, strict=True)])
+def ablation(rows: DataFrame, model: str, metrics: dict[str, Column], base: str | None = None) -> DataFrame:
+    """Each metric (an aggregate) per model less that of the base model, by default the first by name."""
+    one = rows.groupBy(model).agg(*[m.alias(n) for n, m in metrics.items()])  # one row per model
+    order = F.struct(F.col(model) != base, model) if base else F.col(model)
+    own = {n: F.min_by(n, order).over(Window.partitionBy()) for n in metrics}
+    return one.select(model, *[(F.col(n) - b).alias(f"delta_{n}") for n, b in own.items()])
 
 
 def benchmark_errors(q: DataFrame, trap_low: float = 0.10, trap_high: float = 0.15) -> DataFrame:

@@ -201,14 +201,28 @@ def capability_gap(spark, d):
     return SC.capability_gap(exact_scores(spark, d).withColumnRenamed("coherent", "is_coherent"), "model_tag")
 
 
-@query("ablation_delta", f"""WITH m AS (SELECT model_tag, avg(a) AS a, avg(tokens_generated) AS t FROM {_X} GROUP BY 1) SELECT m.model_tag, m.a - b.a AS delta_accuracy, m.t - b.t AS delta_tokens_generated FROM m, (SELECT * FROM m WHERE model_tag = 'als-lm-1b-sft:f16') b""")
+_TRIALS = f"""(SELECT result_id, count(*)::BIGINT AS n_trials, count(*) FILTER (t NOT IN (SELECT unnest(regexp_extract_all(text, 'NCT[0-9]{{8}}')) FROM documents WHERE text IS NOT NULL))::BIGINT AS n_unknown
+  FROM (SELECT result_id, unnest(list_distinct(regexp_extract_all(coalesce(response, ''), '\\b(NCT[0-9]{{8}})\\b', 1))) AS t FROM {_R}) GROUP BY 1)"""
+
+
+def trial_flags(spark, d):
+    """Answers with their trial ids, and how many of these the corpus does not hold."""
+    found = results(spark, d).select("result_id", F.explode(E.trial_candidates(F.coalesce("response", F.lit("")))).alias("canonical"))
+    known = E.trials(table(spark, d, "documents"), "text").select("canonical", F.lit(1).alias("known"))
+    return found.join(known, "canonical", "left").groupBy("result_id").agg(F.count("*").alias("n_trials"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
+
+
+@query("ablation_delta", f"""WITH m AS (SELECT model_tag, avg(a) AS a, coalesce(sum(n_unknown)::DOUBLE / nullif(sum(n_trials), 0), 0) AS f, 100.0::DOUBLE * avg(coalesce(coherent, true)::INT) AS c FROM {_X} LEFT JOIN {_TRIALS} USING (result_id) GROUP BY 1)
+  SELECT m.model_tag, m.a - b.a AS delta_accuracy, m.f - b.f AS delta_fabrication, m.c - b.c AS delta_coherence FROM m, (SELECT * FROM m WHERE model_tag = (SELECT min(model_tag) FROM m)) b""")
 def ablation_delta(spark, d):
-    return SC.ablation(exact_scores(spark, d), "model_tag", "als-lm-1b-sft:f16", ["accuracy", "tokens_generated"])
+    rows = exact_scores(spark, d).join(trial_flags(spark, d), "result_id", "left")
+    fabrication = F.coalesce(F.sum("n_unknown") / F.nullif(F.sum("n_trials"), F.lit(0)), F.lit(0.0))
+    return SC.ablation(rows, "model_tag", {"accuracy": F.avg("accuracy"), "fabrication": fabrication, "coherence": 100.0 * F.avg(F.coalesce("coherent", F.lit(True)).cast("double"))})
 
 
-@query("metric_pivot", f"SELECT difficulty, avg(a) FILTER (model_tag = 'als-lm-1b-sft:f16') AS \"als-lm-1b-sft:f16\", avg(a) FILTER (model_tag = 'als-lm-1b-sft:q8_0') AS \"als-lm-1b-sft:q8_0\" FROM {_X} GROUP BY 1")
+@query("metric_pivot", f"SELECT * FROM (PIVOT (SELECT difficulty, model_tag, a FROM {_X}) ON model_tag USING avg(a) GROUP BY difficulty)")
 def metric_pivot(spark, d):
-    return SC.metric_pivot(exact_scores(spark, d), "difficulty", "model_tag", ["als-lm-1b-sft:f16", "als-lm-1b-sft:q8_0"], "accuracy")
+    return SC.metric_pivot(exact_scores(spark, d), "difficulty", "model_tag", "accuracy")
 
 
 @query("spread_judgement", f"""WITH m AS (SELECT model_tag, difficulty, avg(a) AS a FROM {_X} GROUP BY 1, 2) SELECT difficulty, max(a) - min(a) AS spread, CASE WHEN max(a) - min(a) > 0.1 THEN 'large' WHEN max(a) - min(a) > 0.05 THEN 'notable' ELSE 'small' END AS judgement FROM m GROUP BY 1""")

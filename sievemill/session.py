@@ -41,22 +41,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where the session has none (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a local master may do without: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "sievemill-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def _on_files(spark: SparkSession, path: str, act: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(target) if act == "later" else files.delete(target, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: a cut of the lineage that survives lost executors."""
+    """Write a frame to the shared folder and read it back: a cut of the lineage that survives lost executors.
+
+    What is written is deleted when the application ends, or by release().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
+    _on_files(spark, path, "later")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediates written so far; frames that still read them become invalid. Returns how many there were."""
+    n = len(_written)
+    while _written:
+        _on_files(spark, _written.pop(), "now")
+    return n
+
+
 def latest_delivery(df: DataFrame, key: str) -> DataFrame:
     """One row per key; redelivered rows have the same content, so any one of them stands for the key."""
     return df.dropDuplicates([key])
