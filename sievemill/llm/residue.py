@@ -1,16 +1,18 @@
 """Template residue, filler, error pages and script notices instead of content.
 
-A text is taken apart into passages (sentences and lines) and slots (bracketed or otherwise marked spans). A naive Bayes
-model of their features is learned from positive and unlabelled examples: passages that a fixed list of messages marks with
-certainty are the trusted positives, a sample of all others is unlabelled, and expectation-maximization re-weights the
-unlabelled ones until the model settles. The model then scores every passage and slot of every text; a record is a case if
-any of them is more likely residue than content.
+A text is taken apart into passages (sentences and lines, without their slots) and slots (bracketed or otherwise marked spans
+with the words around them). A naive Bayes model is learned for either from positive and unlabelled examples: what a fixed
+list of messages or a slot's marks make all but certain is trusted, a sample of all others is unlabelled, and
+expectation-maximization re-weights both until the model settles. Equal examples are one example with a weight, and none is
+judged by what its own copies say. The models then score every passage and slot of every text; a record is a case if any of
+them is more likely residue than content.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,16 @@ from pyspark.sql import functions as F
 from ._words import Words, chunks, hash_word, mix
 
 #: Records from which trusted and unlabelled passages are taken to fit the model, at most; features of the model; EM rounds.
-TRUSTED_RECORDS, UNLABELLED_RECORDS, FEATURES, ROUNDS = 15_000, 4_000, 1 << 21, 8
-#: A feature's largest weight; the smoothing; the prior share of residue; the log odds from which a passage is a case.
-CLIP, SMOOTH, PRIOR, ODDS = 4.0, 100.0, 0.01, 0.0
-
-# Starts of messages and fillers that are residue with certainty.
+TRUSTED_RECORDS, UNLABELLED_RECORDS, FEATURES, ROUNDS = 15_000, 4_000, 1 << 21, 12
+#: The largest weight of a feature, and of a passage's shape; what each wording of residue that shows it allows; counts that smooth; the prior share of residue among passages and among slots; that of residue
+#: among trusted examples; the log odds from which a passage or slot is a case; the label below which an example counts as content.
+CLIP, SHAPED, WORDING, SMOOTH, PRIOR, SLOT_PRIOR, TRUST, ODDS, FAINT = 4.0, 2.0, 1.5, 0.1, 0.01, 0.5, 0.95, 0.0, 0.1
+#: Unlabelled examples of different wording that make a feature known; steps of the share of unknown features and of the length.
+KNOWN, SHARES, LENGTHS = 3, 6, 4
+#: Words before and after a slot that are its context.
+AROUND = 12
+
+# Starts of messages and fillers that are residue all but certainly.
 MESSAGES = r"""
 (please )?(enable|activate|turn on|allow) (javascript|java script|scripts|cookies)
 (javascript|scripts|scripting) (is|are) (disabled|required|turned off|not enabled|blocked)
@@ -43,14 +50,14 @@ sorry, the (article|page|document|record)
 you will be redirected
 return to the home ?page
 (error )?(50[0-9]|40[0-9]) ([a-z]+ )?(error|not found|forbidden|unauthorized|bad gateway|bad request|service|internal|gateway|too many)
-error (50[0-9]|40[0-9])\b
-(internal )?server error
+error (50[0-9]|40[0-9])\s*([-–:.!]|$)
+(internal )?server error\s*([:.!]|$)
 (an )?unexpected error (has )?occurred
 (bad gateway|gateway time-?out|gateway timed out|service (temporarily )?unavailable)
 the server is temporarily unable
 database connection failed
 connection (timed out|refused|reset)
-access denied
+access denied\s*([:.!]|$)
 you do not have permission
 (too many requests|you have been rate limited|rate limit exceeded)
 please verify (that )?you are (a )?human
@@ -113,13 +120,19 @@ _MAYBE_SLOT = re.compile(r"[{«$]|@@|<[^\W\d_/|]|<%|\[[^\W\d_]|%[%(]|#[A-Z]|__|X
 #: Marks that belong to no ordinary text; the other kinds are trusted only with a word that asks to be filled in.
 _CERTAIN = {"double", "code", "dollar", "printf", "at", "percent", "under", "dollars", "brace", "ref", "date"}
 _FILL = re.compile(r"(?i)\b(insert|your|todo|tbd|fixme|here|placeholder|name|date|title|enter|add|dose|site|author|patient|citation)\b|nachname|vorname|nombre|prénom|datum|fecha")
+# Words of sentences that are about slots and forms; the slots they show are not trusted.
+_MENTION = re.compile(r"(?i)\b(?:field codes?|merge fields?|place ?holders?|templates?|variables?|syntax|notation|wildcards?|delimiters?|used? as|uses|written as|called|stands? for|asks? [^.]{0,60} to (?:insert|enter|fill))\b")
 _NAVIGATION = np.sort(np.array([hash_word(w) for w in NAVIGATION], np.uint64))
 _NUMBER, _CODE, _FIRST = (hash_word(f"feature{n}") for n in ("number", "code", "first"))
+_SHAPE = np.array([hash_word(f"featureshape{n}") % FEATURES for n in range(SHARES * LENGTHS)], np.int64)
+_PLAIN = re.compile(r"[^\W_]+")
+#: Where a slot's sentence ends.
+_BREAK = re.compile(r"[.!?](?=\s)|\n")
 _TAG = re.compile(r"</?[a-z][a-z0-9]{0,9}[^<>]{0,200}>")
 
 
-def slots(text: str) -> Iterator[tuple[list[int], bool]]:
-    """Features of each slot, and whether it is trusted to be residue."""
+def _marks(text: str) -> Iterator[tuple[re.Match, str, str]]:
+    """Each slot's match, kind and inner text; control tokens, markup and editorial remarks are none."""
     if not _MAYBE_SLOT(text):
         return
     for m in _SLOT.finditer(text):
@@ -127,12 +140,31 @@ def slots(text: str) -> Iterator[tuple[list[int], bool]]:
         for group, name in (("a", "angle"), ("g", "guillemet"), ("q", "square")):
             if m.group(group) is not None:
                 kind, inner = name, m.group(group)
-        words = re.findall(r"[^\W_]+", inner.lower())
-        if kind in ("angle", "square") and (not words or all(w in NOT_SLOTS for w in words)):
-            continue
+        words = _PLAIN.findall(inner.lower())
+        if kind not in ("angle", "square") or any(w not in NOT_SLOTS for w in words):
+            yield m, kind, inner
+
+
+def bare(text: str) -> str:
+    """The text with blanks for its slots, as long as it was."""
+    out, at = [], 0
+    for m, _, _ in _marks(text):
+        out += [text[at : m.start()], " " * (m.end() - m.start())]
+        at = m.end()
+    return "".join([*out, text[at:]]) if out else text
+
+
+def slots(text: str) -> Iterator[tuple[np.ndarray, bool]]:
+    """Features of each slot, and whether it is trusted to be residue."""
+    for m, kind, inner in _marks(text):
+        before, after = text[max(0, m.start() - 400) : m.start()], text[m.end() : m.end() + 400]
+        before, after = _BREAK.split(before)[-1], _BREAK.split(after, maxsplit=1)[0]
+        about = bool(_MENTION.search(before) or _MENTION.search(after))
         upper = inner.upper() == inner and len(inner) > 2
-        features = [f"slot {kind}", f"slot {kind} {'upper' if upper else 'lower'}", *(f"slot word {w}" for w in words)]
-        yield [hash_word(f.replace(" ", "")) for f in features], kind in _CERTAIN or bool(_FILL.search(inner)) or upper
+        near = [*_PLAIN.findall(bare(before).lower())[-AROUND:], *_PLAIN.findall(bare(after).lower())[:AROUND]]
+        names = [f"slot{kind}", f"slot{kind}{'upper' if upper else 'lower'}", *(f"slotword{w}" for w in _PLAIN.findall(inner.lower())), *(f"slotnear{w}" for w in near), *(["slotmention"] * about)]
+        hashed = np.unique(np.array([hash_word(n) for n in names], np.uint64) % np.uint64(FEATURES)).astype(np.int64)
+        yield hashed, not about and (kind in _CERTAIN or upper or bool(_FILL.search(inner)))
 
 
 def _stops(points: np.ndarray) -> np.ndarray:
@@ -179,105 +211,147 @@ def _spans(words: Words, passages: np.ndarray, wanted: np.ndarray) -> list[tuple
 
 
 def _examples(unlabelled: float):
-    """Feature lists of trusted passages and slots of all the batch's records, and of the unlabelled ones of a share of them."""
+    """kind (0 passage, 1 trusted passage, 2 slot, 3 trusted slot) and features of the trusted examples of all the batch's records and of the unlabelled ones of a share of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, draw = batch.column("text").to_pylist(), batch.column("u").to_numpy()
             kinds: list[int] = []
             content: list[bytes] = []
-
-            def put(kind: int, values: np.ndarray, kinds=kinds, content=content) -> None:
-                kinds.append(kind)
-                content.append(values.astype(np.int32).tobytes())
-
             for t, u in zip(texts, draw.tolist(), strict=True):
                 for values, sure in slots(t):
                     if sure or u < unlabelled:
-                        put(2 if sure else 0, np.unique(np.array(values, np.uint64) % np.uint64(FEATURES)))
-            for words in chunks([t.lower() for t in texts]):
+                        kinds.append(2 + sure)
+                        content.append(values.astype(np.int32).tobytes())
+            for words in chunks([bare(t).lower() for t in texts]):
                 p, f, doc = features(words)
                 order = np.lexsort((f, p))
-                p, f = p[order], f[order]
+                p, f = p[order], f[order].astype(np.int32)
                 start = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
                 end = np.append(start[1:], len(p))
                 for (q, span), a, b in zip(_spans(words, p, p[start]), start.tolist(), end.tolist(), strict=True):
                     sure = bool(_MESSAGE.match(_TAG.sub(" ", span)))
                     if sure or draw[words.first + doc[q]] < unlabelled:
-                        put(1 if sure else 0, f[a:b])
+                        kinds.append(int(sure))
+                        content.append(f[a:b].tobytes())
             yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int32()), "f": pa.array(content, pa.binary())})
 
     return run
 
 
-def learn(trusted: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Log odds of each feature for residue against content, by EM over the unlabelled examples."""
-    sizes = np.array([len(x) for x in trusted + unlabelled])
-    if not len(trusted) or not len(unlabelled):
+@dataclass
+class Model:
+    """Log odds of each feature for residue against content, and which features of passages are known."""
+
+    weight: np.ndarray
+    known: np.ndarray
+
+
+def _shape(unknown: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The feature of a passage's share of unknown features and of its length."""
+    return _SHAPE[np.minimum(unknown * SHARES // np.maximum(size, 1), SHARES - 1).astype(np.int64) * LENGTHS + np.minimum(size // 6, LENGTHS - 1)]
+
+
+def learn(trusted: list[bytes], unlabelled: list[bytes], prior: float, known: np.ndarray | None = None) -> np.ndarray:
+    """Log odds of each feature for residue against content, by EM; examples are the bytes of their features.
+
+    A feature that residue never showed counts against it only as far as its absence is surprising. In the expectation step
+    an unlabelled example and its copies are left out of the counts it is judged by, but for one that counts as content.
+    """
+    if not trusted:
         return np.zeros(FEATURES, np.float32)
-    f = np.concatenate(trusted + unlabelled)
-    example = np.repeat(np.arange(len(sizes)), sizes)
-    label = np.zeros(len(sizes))
-    label[: len(trusted)] = 1.0
-    weight = np.zeros(FEATURES)
+    groups: dict[tuple[bool, bytes], int] = {}
+    for sure, examples in ((True, trusted), (False, unlabelled)):
+        for x in examples:
+            groups[sure, x] = groups.get((sure, x), 0) + 1
+    sure, copies = np.array([k[0] for k in groups]), np.array([*groups.values()], np.float64)
+    sizes = np.array([len(k[1]) // 4 for k in groups])
+    f, example = np.frombuffer(b"".join(k[1] for k in groups), np.int32).astype(np.int64), np.repeat(np.arange(len(groups)), sizes)
+    if known is not None:
+        shape = _shape(np.bincount(example, weights=~known[f], minlength=len(sizes)), sizes)
+        f, example = np.concatenate([f, shape]), np.concatenate([example, np.arange(len(sizes))])
+
+    def most(label: np.ndarray) -> np.ndarray:
+        """The largest weight of a feature, by the number of residue's wordings that show it."""
+        return WORDING * np.bincount(f, weights=label[example], minlength=FEATURES)
+
+    def counted(label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+        own_yes, own_no = (copies * label)[example], (copies * (1 - label))[example]
+        yes, no = (np.bincount(f, weights=x, minlength=FEATURES) for x in (own_yes, own_no))
+        own_yes, own_no = np.where(sure[example], 0.0, own_yes), np.where(sure[example], 0.0, np.maximum(own_no - 1.0, 0.0))
+        return yes, no, own_yes, own_no, max((copies * (1 - label)).sum(), 1.0) / max((copies * label).sum(), 1.0)
+
+    def odds(yes: np.ndarray, no: np.ndarray, ratio: float, most: np.ndarray) -> np.ndarray:
+        return np.where(yes + no > 1e-6, np.clip(np.log((yes + SMOOTH) / (no + SMOOTH * ratio) * ratio), -CLIP, most), 0.0)
+
+    limit = np.full(FEATURES, CLIP)
+    limit[_SHAPE] = SHAPED
+    label = sure.astype(np.float64)
+    before = np.log(np.where(sure, TRUST / (1 - TRUST), prior / (1 - prior)))
     for _ in range(ROUNDS):
-        yes = np.bincount(f, weights=label[example], minlength=FEATURES)
-        no = np.bincount(f, weights=(1 - label)[example], minlength=FEATURES)
-        seen = yes + no > 0
-        # both classes are smoothed towards the common rate: what residue never showed counts against it, the more the more usual it is
-        rate = SMOOTH * (yes + no) / len(sizes)
-        a, b = (yes + rate) / (label.sum() + SMOOTH), (no + rate + 0.3) / ((1 - label).sum() + SMOOTH)
-        with np.errstate(divide="ignore"):
-            weight = np.where(seen, np.clip(np.log(a / b), -CLIP, CLIP), 0.0)
-        odds = np.log(PRIOR / (1 - PRIOR)) + np.bincount(example, weights=weight[f], minlength=len(sizes))
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        new[: len(trusted)] = 1.0
-        if np.abs(new - label).max() < 1e-3:
+        yes, no, own_yes, own_no, ratio = counted(label)
+        own = np.where(sure[example], 0.0, WORDING * label[example])
+        others = odds(np.maximum(yes[f] - own_yes, 0.0), np.maximum(no[f] - own_no, 0.0), ratio, np.minimum(np.maximum(most(label)[f] - own, 0.0), limit[f]))
+        new = 1 / (1 + np.exp(-np.clip(before + np.bincount(example, weights=others, minlength=len(sizes)), -30, 30)))
+        new[new < FAINT] = 0.0
+        settled, label = np.abs(new - label).max() < 1e-3, new
+        if settled:
             break
-        label = new
-    return weight.astype(np.float32)
+    yes, no, _, _, ratio = counted(label)
+    return odds(yes, no, ratio, np.minimum(most(label), limit)).astype(np.float32)
+
+
+def model(kinds: list[int], examples: list[bytes]) -> Model:
+    """The models of passages and of slots, whose features do not meet, from examples as _examples gives them."""
+    of = [[x for k, x in zip(kinds, examples, strict=True) if k == kind] for kind in range(4)]
+    seen = np.zeros(FEATURES, np.int32)
+    for x in set(of[0]):
+        seen[np.unique(np.frombuffer(x, np.int32))] += 1
+    known = seen >= KNOWN
+    passages, marks = learn(of[1], of[0], PRIOR, known), learn(of[3], of[2], SLOT_PRIOR)
+    return Model(passages + marks, known)
 
 
-def fit(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+def fit(df: DataFrame, id_col: str, text_col: str) -> Model:
     """The model, from bounded samples of records."""
     total = max(1, df.count())
     u = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(8)), F.lit(1_000_000)) / 1_000_000
     share = min(1.0, TRUSTED_RECORDS / total)
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), u.alias("u")).where(F.col("u") < share)
     got = rows.mapInArrow(_examples(UNLABELLED_RECORDS / total), "kind int, f binary").toArrow()
-    kinds, values = got.column("kind").to_pylist(), [np.frombuffer(x, np.int32) for x in got.column("f").to_pylist()]
-    return learn([v for k, v in zip(kinds, values, strict=True) if k], [v for k, v in zip(kinds, values, strict=True) if not k])
+    return model(got.column("kind").to_pylist(), got.column("f").to_pylist())
 
 
-def score(words: Words, texts: list[str], weight: np.ndarray) -> np.ndarray:
-    """Log odds of the most residue-like passage or slot of each text; texts: as they were before lower-casing."""
-    prior = np.log(PRIOR / (1 - PRIOR))
+def score(words: Words, texts: list[str], fitted: Model) -> np.ndarray:
+    """Log odds of the most residue-like passage or slot of each text; words: of the bare texts; texts: as they were."""
+    prior, weight = np.log(PRIOR / (1 - PRIOR)), fitted.weight
     out = np.full(words.docs, prior)
     p, f, doc = features(words)
     if len(p):
-        odds = np.bincount(p, weights=weight[f], minlength=len(doc)) + prior
-        real = doc >= 0
+        odds, size, unknown = np.bincount(p, weights=weight[f], minlength=len(doc)), np.bincount(p, minlength=len(doc)), np.bincount(p, weights=~fitted.known[f], minlength=len(doc))
+        odds += prior + weight[_shape(unknown, size)]
+        real = (doc >= 0) & (size > 0)
         np.maximum.at(out, doc[real], odds[real])
     for i, t in enumerate(texts):
         for values, _ in slots(t):
-            out[i] = max(out[i], prior + weight[np.unique(np.array(values, np.uint64) % np.uint64(FEATURES)).astype(np.int64)].sum())
+            out[i] = max(out[i], np.log(SLOT_PRIOR / (1 - SLOT_PRIOR)) + weight[values].sum())
     return out
 
 
-def residue(df: DataFrame, id_col: str, text_col: str, weight: np.ndarray | None = None) -> DataFrame:
+def residue(df: DataFrame, id_col: str, text_col: str, fitted: Model | None = None) -> DataFrame:
     """id and odds of the records that hold residue where content should be; odds: log odds of their worst passage.
 
     Null, empty and very short texts without residue are no cases; repeated rows come out repeatedly. Other columns are
-    not read. weight: a model from fit(); learned from df itself if not given.
+    not read. fitted: a model from fit(); learned from df itself if not given.
     """
-    shared = df.sparkSession.sparkContext.broadcast(fit(df, id_col, text_col) if weight is None else weight)
+    shared = df.sparkSession.sparkContext.broadcast(fit(df, id_col, text_col) if fitted is None else fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = shared.value
+        fitted = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for words in chunks([t.lower() for t in texts]):
-                odds = score(words, texts[words.first : words.first + words.docs], weight)
+            for words in chunks([bare(t).lower() for t in texts]):
+                odds = score(words, texts[words.first : words.first + words.docs], fitted)
                 hit = np.flatnonzero(odds > ODDS)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(words.first + hit)), pa.array(odds[hit])], names=["id", "odds"])
 

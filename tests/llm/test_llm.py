@@ -225,6 +225,28 @@ def test_residue(spark):
     assert residue.residue(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_residue_is_not_what_talks_about_it(spark):
+    talk = ["Server error rates of the monitoring unit stayed below {}%, with 4 timeouts of code 503.", "The report form of the Wex{} study uses {{subject_id}} and {{visit_date}} as field codes, which monitors fill in.", "The letter template of clinic {} asks families to insert name and date."]
+    normal = "The register holds {} cases, with a mean onset at an age of {} years in the left hand."
+    rows = [(i, normal.format(i, i % 90) + " " + talk[i % 3].format(i)) for i in range(120)] + [(1000 + i, normal.format(i, i) + " The dose was " + ["{0}", "{{dose}}", "<%= dose %>", "[INSERT DOSE]"][i % 4] + " at week 3.") for i in range(60)]
+    rows += [(2000 + i, ["Internal Server Error: java.lang.Exception at x.y(a.java:3)", "503 Service Unavailable", "Nothing to display."][i % 3]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in residue.residue(df, "doc_id", "text").collect()} == {i for i, _ in rows if i >= 1000}
+
+
+def test_residue_model_finds_messages_that_are_not_trusted():
+    content = [f"the register holds {i} cases with a mean onset at an age of {i % 90} years in the {w} hand" for i, w in enumerate(["left", "right", "other"] * 60)]
+    seeds = ["please enable scripts in your browser to view this page", "your browser does not support scripts", "page not found", "please log in to view this page", "the requested page was not found on this server", "your session has expired"] * 5
+    withheld = ["please log in again", "your page was not found on this server"] * 3
+    examples = []
+    for text in seeds + content + withheld:
+        words = _words.Words([text], 0)
+        examples.append(np.sort(residue.features(words)[1]).astype(np.int32).tobytes())
+    fitted = residue.model([1] * len(seeds) + [0] * (len(content) + len(withheld)), examples)
+    odds = [residue.score(_words.Words([t], 0), [t], fitted)[0] for t in content + withheld]
+    assert max(odds[: len(content)]) < 0 < min(odds[len(content) :])
+
+
 def test_queries_run(spark, data):
     from sievemill.llm import oracles, queries
 
