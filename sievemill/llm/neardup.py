@@ -8,11 +8,12 @@ pivots here are single shingles, in one global order from rare to common, and
 * a record that misses i pivots before a shared one is at least i / |x u y| away from its neighbour (triangle inequality with
   what is shared); so a record is replicated into the regions of its next pivots only while this bound is within r, and two
   records meet in a region only if their windows around the pivot still leave room for the similarity;
-* regions expected to be large are split again by the next pivot of their records, and so on: any linked pair shares many
-  pivots, so it meets in exactly the sub-regions of its first few common ones, within a window one wider at each level.
+* regions expected to be large are split again by the next pivot of their records, and so on: a linked pair meets in exactly
+  the sub-region of its first few common pivots, within a window one wider at each level. A pair may share no more pivots
+  than the level of a split region; then both sets are so small that either can tell, and both stay in a closing region.
 
 Every bound is a necessary condition, so no link is lost, and a last check on the whole sets makes the result exact.
-The order comes from a sample of bounded size (SAMPLE records); it decides the cost, never the result.
+The order and the splits come from a sample; they decide the cost, never the result.
 """
 
 from __future__ import annotations
@@ -28,28 +29,34 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from ._words import Words, chunks, mix, shingles
 
-#: Records in the sample that orders the pivots, and slots of the two tables made from it.
-SAMPLE, SLOTS = 20_000, 1 << 20
-#: Members a region may be expected to have before it is split by a further pivot, and how often it may be split.
-REGION, DEPTH = 600, 3
+#: Records in the sample that orders the pivots and plans the splits, and slots of the tables made from it.
+SAMPLE, SLOTS = 20_000, 1 << 21
+#: Members a region may be expected to have before it is split by a further pivot, times the sample must have seen such a
+#: region, and levels of splits (each is a table of SLOTS small integers that goes to all tasks).
+REGION, SEEN, LEVELS = 600, 3, 8
+#: Records per task of the join of regions.
+TASK_RECORDS = 50_000
 #: Bits of a shingle's hash that are kept, below them of the pivot order.
 BITS = np.uint64(44)
 _LOW = np.uint64((1 << 44) - 1)
-#: Words of the parity sketch that goes into the regions, and of the one that candidates are compared by next.
-NARROW, WIDE = 3, 16
-#: Bits of the set that tells which records occur in a candidate pair.
-FILTER = 1 << 23
+#: Bits of the parity sketch that goes into the regions, and words of the one that candidates are compared by next.
+NARROW, WIDE = 128 + 24, 16
+#: What a record's size and reach are told up to, in 24 and 16 bits; larger ones exclude nothing.
+SIZES, REACHES = (1 << 24) - 1, (1 << 16) - 1
+#: Bits, per class and at most, of the set that tells which records occur in a candidate pair; beyond the most it lets more through.
+FILTER_BITS, FILTER = 16, 1 << 28
+#: Members of one class that are paired by one task.
+MEMBERS = 1_000
 
 
 @dataclass
 class Join:
-    """What the tasks need; order: by slot how often the sample has the shingle; split: by slot and level how often the sample has a region."""
+    """What the tasks need; order: by slot how often the sample has the shingle; split: by level and slot whether a region is split."""
 
     k: int
     least_words: int
     similarity: float
     order: np.ndarray
-    scale: float
     split: list[np.ndarray] = field(default_factory=list)
 
 
@@ -74,42 +81,42 @@ def _class_ids(s: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
         return mix(a + mix(b + size.astype(np.uint64)))
 
 
-def _parity(s: np.ndarray, start: np.ndarray, words: int, seed: int) -> np.ndarray:
-    """words integers per set whose bits are the parities of the shingles hashed to them: never more bits differ than shingles do."""
-    h = mix(s + np.uint64(seed))
-    bit = np.uint64(1) << (h & np.uint64(63))
-    at = (h >> np.uint64(6)) % np.uint64(words)
-    zero = np.uint64(0)
-    return np.stack([np.bitwise_xor.reduceat(np.where(at == np.uint64(w), bit, zero), start) for w in range(words)], axis=1)
+def _parity(s: np.ndarray, start: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    """Integers per set whose bits are the parities of the shingles hashed to them: never more bits differ than shingles do."""
+    place = mix(s + np.uint64(seed)) % np.uint64(bits)
+    bit, at, zero = np.uint64(1) << (place & np.uint64(63)), place >> np.uint64(6), np.uint64(0)
+    return np.stack([np.bitwise_xor.reduceat(np.where(at == np.uint64(w), bit, zero), start) for w in range(-(-bits // 64))], axis=1)
 
 
-def _regions(s: np.ndarray, start: np.ndarray, size: np.ndarray, job: Join, base: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """key, row of start, and rank of the last pivot, of every region a record is replicated into, level by level."""
+def _regions(s: np.ndarray, start: np.ndarray, size: np.ndarray, job: Join) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]]:
+    """key, row of start, rank of the last pivot and level of every region a record is replicated into, and whether these are closing regions."""
     # x and y are linked only if |x n y| >= s/(1+s) (|x|+|y|) and |y| >= s |x|: so at least ceil(s |x|) of x are shared.
-    window = size - np.ceil(job.similarity * size - 1e-9).astype(np.int64)  # pivots of x that may be missed
+    shared = np.ceil(job.similarity * size - 1e-9).astype(np.int64)
+    window = size - shared  # pivots of x that may be missed
     doc = np.repeat(np.arange(len(start)), window + 1)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(window + 1) - (window + 1), window + 1)
-    key = s[start[doc] + at]
-    for level in range(1, DEPTH + 1):
-        if level == DEPTH or level > len(job.split):
-            hot = np.zeros(len(key), bool)
-        else:
-            hot = job.split[level - 1][(key % np.uint64(SLOTS)).astype(np.int64)] * job.scale > REGION
-        yield (key if base == 0 else key)[~hot], doc[~hot], at[~hot]
+    key, level = s[start[doc] + at], 1
+    while True:
+        if level > len(job.split):
+            yield key, doc, at, level, False
+            return
+        hot = job.split[level - 1][(key % np.uint64(SLOTS)).astype(np.int64)]
+        yield key[~hot], doc[~hot], at[~hot], level, False
         if not hot.any():
             return
         key, doc, at = key[hot], doc[hot], at[hot]
+        # a pair that shares just these pivots consists of two sets that need not share more
+        small = shared[doc] <= level
+        if small.any():
+            yield mix(key[small] ^ np.uint64(level)), doc[small], at[small], level, True
         # the next common pivot: level pivots are shared already, so ranks up to window + level are within reach, if the set has them
-        last = np.minimum(window[doc] + level, size[doc] - 1)
-        more = np.maximum(last - at, 0)
-        single = more == 0  # a set too small to share another pivot keeps its pivot as a region of its own kind
-        if single.any():
-            yield mix(key[single] ^ np.uint64(level)), doc[single], at[single]
+        more = np.minimum(window[doc] + level, size[doc] - 1) - at
         row = np.repeat(np.arange(len(key)), more)
         step = np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more) + 1
         prior, doc, at = key[row], doc[row], at[row] + step
         with np.errstate(over="ignore"):
             key = mix(prior * np.uint64(0x9E3779B97F4A7C15) + s[start[doc] + at])
+        level += 1
 
 
 def _lower(batch: pa.RecordBatch) -> list[str]:
@@ -117,23 +124,22 @@ def _lower(batch: pa.RecordBatch) -> list[str]:
 
 
 def _sampler(job: Join):
-    """Counts by slot of what the sample has of each shingle (level 0) and of each region of the levels that may be split."""
+    """Counts by slot of what the sample has of each shingle, if there is no order yet, or of each region of the level after the known splits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = len(job.split)
+        level = len(job.split) + 1
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for words in chunks(_lower(batch)):
                 doc, _, s = _sets(words, job)
                 if not len(doc):
                     continue
-                if level == 0 and not job.order.any():
+                if not job.order.any():
                     keys = s
                 else:
                     start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                    size = np.diff(np.append(start, len(doc)))
-                    found = list(_regions(s, start, size, Join(job.k, job.least_words, job.similarity, job.order, job.scale, job.split), level))
-                    keys = found[level][0] if level < len(found) else np.zeros(0, np.uint64)
+                    found = _regions(s, start, np.diff(np.append(start, len(doc))), job)
+                    keys = np.concatenate([np.zeros(0, np.uint64), *(key for key, _, _, at_level, closing in found if at_level == level and not closing)])
                 total += np.bincount((keys % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int64()), "n": pa.array(total[slot], pa.int64())})
@@ -157,17 +163,25 @@ def _postings(job: Join):
                     continue
                 parity = _parity(s, start, NARROW, 1)[fresh]
                 start, size, cid = start[fresh], size[fresh], cid[fresh]
-                for key, row, at in _regions(s, start, size, job, 0):
+                for key, row, at, level, _ in _regions(s, start, size, job):
                     if len(key):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(x.view(np.int64)) for x in (key, cid[row], *(np.ascontiguousarray(parity[row, w]) for w in range(NARROW)), (size[row] << 24 | at).astype(np.int64))],
-                            names=["key", "cid", *(f"p{w}" for w in range(NARROW)), "nr"],
-                        )
+                        # nr: the set's size, the pivots it can share at most, given the rank of the last one, and the sketch's last bits
+                        told = np.minimum(size[row], SIZES).astype(np.uint64) << np.uint64(40) | np.minimum(size[row] - at + level - 1, REACHES).astype(np.uint64) << np.uint64(24) | parity[row, 2]
+                        columns = (key, cid[row], np.ascontiguousarray(parity[row, 0]), np.ascontiguousarray(parity[row, 1]), told)
+                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["key", "cid", "p0", "p1", "nr"])
 
     return run
 
 
-def _members(job: Join):
+def hash_words(h: np.ndarray) -> np.uint64:
+    """A hash of a sequence of words; none has a hash too."""
+    place = mix(np.arange(1, len(h) + 1, dtype=np.uint64))
+    return mix(np.array([(h * place).sum() + np.uint64(len(h)) + np.uint64(0xA0761D6478BD642F)], np.uint64))[0]
+
+
+def _members(job: Join, short: bool):
+    """Each record's class; short: also of the records that are too small for a set, by their words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column("id").to_numpy(zero_copy_only=False), np.int64)
@@ -176,6 +190,14 @@ def _members(job: Join):
                 if len(doc):
                     start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                     cid = _class_ids(s, start, np.diff(np.append(start, len(doc))))
+                if short:
+                    left = np.setdiff1d(np.arange(words.docs), doc)
+                    base = np.searchsorted(words.doc, np.arange(words.docs + 1))
+                    with np.errstate(over="ignore"):
+                        own = [hash_words(words.hash[base[d] : base[d + 1]]) for d in left.tolist()]
+                    if len(left):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(ids[words.first + left])], names=["cid", "id"])
+                if len(doc):
                     yield pa.RecordBatch.from_arrays([pa.array(cid.view(np.int64)), pa.array(ids[words.first + doc[start]])], names=["cid", "id"])
 
     return run
@@ -194,7 +216,7 @@ def _of_wanted(job: Join, wanted: np.ndarray, whole: bool):
                 start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                 end = np.append(start[1:], len(doc))
                 cid = _class_ids(s, start, end - start)
-                bit = cid % np.uint64(FILTER)
+                bit = cid % np.uint64(len(wanted) * 64)
                 hit = (wanted[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
                 rows = [i for i in np.flatnonzero(hit).tolist() if cid[i] not in seen and not seen.add(int(cid[i]))]
                 if not rows:
@@ -202,7 +224,7 @@ def _of_wanted(job: Join, wanted: np.ndarray, whole: bool):
                 if whole:
                     content = [(np.sort(s[start[i] : end[i]]) & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for i in rows]
                 else:
-                    sketch, size = _parity(s, start, WIDE, 2), (end - start).astype(np.uint64)
+                    sketch, size = _parity(s, start, 64 * WIDE, 2), (end - start).astype(np.uint64)
                     content = [size[i].tobytes() + sketch[i].tobytes() for i in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(cid[rows].view(np.int64)), pa.array(content, pa.binary())], names=["cid", "content"])
 
@@ -246,50 +268,52 @@ def _slots(counted: DataFrame) -> np.ndarray:
     return out
 
 
-def similar_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, k: int = 5, least_words: int = 5) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, k: int = 5, least_words: int = 5, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """All pairs of different texts at or above the Jaccard similarity, and the classes of equal ones.
 
     Returns (links, members): links has ca, cb, jaccard, one row per pair of classes; members has cid and id, one row per
     record and class. A class is all records with the same shingle set (similarity 1). Null text counts as empty; records
-    with fewer than least_words or k words belong to no class. An id with several different texts belongs to several
+    with fewer than least_words or k words belong to no class, or, with short, to that of the records of the same words. An id with several different texts belongs to several
     classes; repeated rows count once. Other columns of df are not read, whatever their names.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    job = Join(k, least_words, similarity, np.zeros(SLOTS, np.uint8), 1.0)
+    job = Join(k, least_words, similarity, np.zeros(SLOTS, np.uint8))
     total = df.count()
     share = min(1.0, SAMPLE / max(1, total))
-    job.scale = 1 / share
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1) if share < 1 else rows
     job.order = np.minimum(_slots(sample.mapInArrow(_sampler(job), "slot long, n long")), 255).astype(np.uint8)
-    if total > REGION:
-        # levels are sampled as far as any region of the sample may need a split
-        for _ in range(DEPTH - 1):
-            counts = _slots(sample.mapInArrow(_sampler(job), "slot long, n long"))
-            job.split.append(np.minimum(counts, 65535).astype(np.uint16))
-            if not (counts * job.scale > REGION).any():
-                break
+    # levels are sampled as far as regions of the sample need a split
+    while total > REGION and len(job.split) < LEVELS and job.order.any():
+        counts = _slots(sample.mapInArrow(_sampler(job), "slot long, n long"))
+        hot = (counts / share > REGION) & ((counts >= SEEN) | (share == 1))
+        if not hot.any():
+            break
+        job.split.append(hot)
     shared = spark.sparkContext.broadcast(job)
 
     def over(frame: DataFrame, make, schema: str) -> DataFrame:
         return frame.mapInArrow(lambda batches: make(shared.value)(batches), schema)
 
-    sketch = [f"p{w}" for w in range(NARROW)]
-    postings = over(rows, _postings, f"key long, cid long, {', '.join(f'{p} long' for p in sketch)}, nr long")
-    side = postings.withColumns({"n": F.shiftright("nr", 24).cast("int"), "r": F.col("nr").bitwiseAND(F.lit((1 << 24) - 1)).cast("int")})
-    a, b = (side.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", *sketch, "n", "r")]) for x in "ab")
-    both, t = F.col("n_a") + F.col("n_b"), similarity / (1 + similarity)
-    room = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
-    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in sketch), F.lit(0))
-    near = (F.col("cid_a") < F.col("cid_b")) & (room + (DEPTH - 1) >= t * both - 1e-6) & (apart <= (1 - 2 * t) * both + 1e-6)
+    postings = over(rows, _postings, "key long, cid long, p0 long, p1 long, nr long")
+    # as many tasks as the records need: a task's share does not grow with the data
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_RECORDS))
+    side = postings.repartition(tasks, "key")
+    a, b = (side.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "p0", "p1", "nr")]) for x in "ab")
+    n, reach = ([cut(F.col(f"nr_{x}")).cast("int") for x in "ab"] for cut in (lambda c: F.shiftrightunsigned(c, 40), lambda c: F.shiftright(c, 24).bitwiseAND(F.lit(REACHES))))
+    both, least_reach, t = n[0] + n[1], F.least(*reach), similarity / (1 + similarity)
+    apart = F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))) + F.bit_count(F.col("p1_a").bitwiseXOR(F.col("p1_b"))) + F.bit_count(F.col("nr_a").bitwiseXOR(F.col("nr_b")).bitwiseAND(F.lit((1 << 24) - 1)))
+    near = (F.col("cid_a") < F.col("cid_b")) & ((least_reach == REACHES) | (least_reach >= t * both - 1e-6)) & ((F.greatest(*n) == SIZES) | (apart <= (1 - 2 * t) * both + 1e-6))
     met = a.join(b.hint("merge"), "key").where(near)
     candidates = materialize(met.select(F.col("cid_a").alias("ca"), F.col("cid_b").alias("cb")).distinct(), "near-candidates")
 
     def with_content(pairs: DataFrame, whole: bool) -> DataFrame:
         """The pairs with what is needed of both records, whose classes are found in the text again by a bit set of fixed size."""
-        ids = pairs.select(F.explode(F.array("ca", "cb")).alias("cid")).select(F.col("cid").bitwiseAND(F.lit(FILTER - 1)).alias("bit"))
+        bits_wanted = 2 * pairs.count() * FILTER_BITS
+        size = min(FILTER, 1 << max(16, bits_wanted.bit_length()))
+        ids = pairs.select(F.explode(F.array("ca", "cb")).alias("cid")).select(F.col("cid").bitwiseAND(F.lit(size - 1)).alias("bit"))
         marked = ids.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
-        wanted = np.zeros(FILTER // 64, np.uint64)
+        wanted = np.zeros(size // 64, np.uint64)
         wanted[marked.column("word").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
         bits = spark.sparkContext.broadcast(wanted)
         found = rows.mapInArrow(lambda batches: _of_wanted(shared.value, bits.value, whole)(batches), "cid long, content binary").dropDuplicates(["cid"])
@@ -299,23 +323,39 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float =
 
     closer = materialize(with_content(candidates, False).mapInArrow(_near_sketches(similarity), "ca long, cb long"), "near-closer")
     links = with_content(closer, True).mapInArrow(_verify(similarity), "ca long, cb long, jaccard double")
-    members = over(rows, _members, "cid long, id long").distinct()
+    members = over(rows, lambda j: _members(j, short), "cid long, id long").distinct()
     return links, members
 
 
 def duplicate_groups(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, k: int = 5, least_words: int = 5) -> DataFrame:
-    """One row per record: its id, its class and the number of classes it is linked to; similar_pairs says what a class is."""
-    links, members = similar_pairs(df, id_col, text_col, similarity, k, least_words)
+    """One row per record: its id, its class and the number of classes it is linked to; similar_pairs says what a class is.
+
+    Records of too few words have no links; those of the same words are one class, those without words another.
+    """
+    links, members = similar_pairs(df, id_col, text_col, similarity, k, least_words, short=True)
     count = links.select(F.explode(F.array("ca", "cb")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
     return members.join(count, "cid", "left").select("id", F.col("cid").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def id_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """The links between ids, a < b: those of linked classes and those within a class."""
+    """The links between ids, a < b: those of linked classes and those within a class.
+
+    Classes of more than MEMBERS records are paired in parts: the members on one side are dealt to the parts, and what they
+    meet is sent to each part.
+    """
     m = materialize(members, "near-members")
-    l_ = m.select(F.col("cid").alias("ca"), F.col("id").alias("ia"))
-    r_ = m.select(F.col("cid").alias("cb"), F.col("id").alias("ib"))
-    across = links.select("ca", "cb").join(l_, "ca").join(r_, "cb").select("ia", "ib")
-    within = l_.join(r_, (F.col("ca") == F.col("cb")) & (F.col("ia") < F.col("ib"))).select("ia", "ib")
-    both = across.unionByName(within).where(F.col("ia") != F.col("ib"))
+    sizes = m.groupBy("cid").agg(F.count("*").alias("n"))
+    dealt = (sizes.agg(F.max("n")).first()[0] or 0) > MEMBERS  # with one part for all, nothing needs to be told of parts
+    parts = sizes.select("cid", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"))
+
+    def to_parts(frame: DataFrame, cid: str) -> DataFrame:
+        return frame.join(parts.withColumnRenamed("cid", cid), cid).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) if dealt else frame
+
+    own = m.join(parts, "cid").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")) if dealt else m
+    by = ["part"] if dealt else []
+    own = own.select("cid", *by, F.col("id").alias("ia"))
+    within = own.join(to_parts(m, "cid").select("cid", *by, F.col("id").alias("ib")), ["cid", *by]).where(F.col("ia") < F.col("ib")).select("ia", "ib")
+    first = to_parts(links.select("ca", "cb"), "ca").join(own.withColumnRenamed("cid", "ca"), ["ca", *by]).select("ia", "cb")
+    second = to_parts(first, "cb").join(own.select(F.col("cid").alias("cb"), *by, F.col("ia").alias("ib")), ["cb", *by])
+    both = second.select("ia", "ib").unionByName(within).where(F.col("ia") != F.col("ib"))
     return both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
