@@ -35,20 +35,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     sft = table(spark, sf_dir, "synthetic_sft")
     text = F.concat(F.coalesce("input", F.lit("")), F.lit(" "), F.coalesce("output", F.lit("")))
-    return neardup.duplicate_groups(sft.select("pair_id", text.alias("whole")), "pair_id", "whole", similarity=0.8, k=5, least_words=5).withColumnRenamed("id", "pair_id")
+    return neardup.duplicate_groups(sft.select("pair_id", text.alias("whole")), "pair_id", "whole", similarity=0.6, k=3, least_words=30).withColumnRenamed("id", "pair_id")
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answers of problem 3, redelivered ones included; source: what the share of cut answers is given for."""
     report, results = table(spark, sf_dir, "model_comparison_report"), table(spark, sf_dir, "verify_results")
-    a = report.select(F.lit("model_comparison_report").alias("table_name"), F.col("sample_id").alias("row_id"), F.col("quantization").alias("source"), F.length("scratch_1b_base_response").alias("n_chars"), F.col("scratch_1b_base_response").alias("text"))
-    b = results.select(F.lit("verify_results").alias("table_name"), F.col("result_id").alias("row_id"), F.col("model_tag").alias("source"), F.length("response").alias("n_chars"), F.col("response").alias("text"))
+    a = report.select(F.lit("model_comparison_report").alias("table_name"), F.col("sample_id").alias("row_id"), F.col("quantization").alias("source"), F.col("scratch_1b_base_response").alias("text"))
+    b = results.select(F.lit("verify_results").alias("table_name"), F.col("result_id").alias("row_id"), F.col("model_tag").alias("source"), F.col("response").alias("text"))
     return a.unionByName(b)
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each answer once: redelivered rows have the same text, and lose it before they are brought together."""
-    return truncated.judge(_answers(spark, sf_dir)).dropDuplicates(["table_name", "row_id"])
+    return truncated.judge(_answers(spark, sf_dir), source=["table_name", "source"]).dropDuplicates(["table_name", "row_id"])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,16 @@
 """Texts cut off by a field limit or in transfer.
 
 One pass gathers what the corpus knows: the words that values hold before their last one, the items of lists before the last
-one, and after which words sentences end on a whole number and after which ones decimals come. The words and items form prefix tables, the distributed form of a
-vocabulary trie: a last word or a last item is broken off if it is unknown and a proper prefix of something known. A second
-pass looks at how each value ends; what the ending alone leaves open is looked up in the tables. Lengths are evidence for
-the report: of cut values, how many are as long as many other cut values of their source.
+one, and after which words sentences end on a whole number and after which ones decimals come. The words and items form prefix
+tables, the distributed form of a vocabulary trie: a last word or a last item is broken off if it is unknown and a proper prefix
+of something known. A second pass looks at how each value ends and how long it is; lengths at which the unfinished values of a
+source pile up are its limits. Ending, trie and limit decide together:
+
+* an open mark of a cut, such as an ellipsis or half a tag, is a cut;
+* a value that stops without a full stop is cut, but a mere label of a few words only if its last word is broken or it stands at
+  a limit;
+* an item of a list is cut if it or its last word is broken, or if it is unknown and stands at a limit;
+* a value that ends on a full stop is cut if its last word is broken and it stands at a limit, the stop having been appended.
 """
 
 from __future__ import annotations
@@ -21,6 +27,12 @@ from ..session import materialize
 
 #: Entries a task holds before it passes its counts on.
 HELD = 200_000
+#: Words a label has at most; letters of a last word that tell something before a full stop.
+LABEL, LETTERS = 4, 3
+#: A length is a limit of its source if so many unfinished values have it, and one in so many of them.
+LIMIT, LIMIT_SHARE = 5, 20
+#: Parts into which the values of one last word are dealt.
+PARTS = 8
 
 # Answers that stand for no answer, and lines of a test harness.
 PLACEHOLDER = re.compile(
@@ -28,7 +40,10 @@ PLACEHOLDER = re.compile(
     r"|(?:#+ *)?(?:response|answer|output|assistant|instruction|input)|(?:#+ *)?(?:instruction|input):?[\W_]*(?:#+ *)?response)?[\W_]*$",
     re.I,
 )
-HARNESS = re.compile(r"^[\W_]*(?:ollama|openai|vllm|llama|api|http|https|server|request|connection|runtime|value|timeout|cuda|generation|internal|traceback|harness|model)?[ _-]*(?:error|timeout|exception|failed|failure)\b[^\n]{0,160}$", re.I)
+HARNESS = re.compile(
+    r"^[\W_]*(?:ollama|openai|vllm|llama|api|http|https|server|request|connection|runtime|value|timeout|cuda|generation|internal|traceback|harness|model)?[ _-]*(?:error|timeout|exception|failed|failure)\b"
+    r"\s*(?:$|[:\]!.,(–—-]|\d|(?:code|after|while|in|at|from|to|with|occurred|because)\b)[^\n]*$", re.I
+)
 EMPTY_MARKUP = re.compile(r"<[^<>\n]{1,60}>|&(?:nbsp|#160|#8203|zwnj);|[​-‏⁠﻿­]")
 
 # What a transfer may append where it cut, and what may follow a complete sentence.
@@ -50,9 +65,7 @@ def is_blank(text: str | None) -> bool:
     """Null, blank, punctuation or empty markup only, a placeholder word or a harness error line."""
     if text is None:
         return True
-    if len(text) > 400:
-        return not any(c.isalnum() for c in text)
-    bare = EMPTY_MARKUP.sub(" ", text).strip()
+    bare = (text if text.isascii() and "<" not in text and "&" not in text else EMPTY_MARKUP.sub(" ", text)).strip()
     return not any(c.isalnum() for c in bare) or bool(PLACEHOLDER.match(bare)) or bool(HARNESS.match(bare))
 
 
@@ -96,11 +109,23 @@ def _masked(tokens: str) -> str:
     return re.sub(r"\d+", "9", " ".join(tokens.lower().split()))
 
 
+_LAST = re.compile(r"[^\W\d_]+$")
+_LOOP = re.compile(r"(.{1,30}?)\1{3,}")
+
+
+def _is_label(s: str) -> bool:
+    """A few words without a sentence, a comma or a loop."""
+    words = s.split(None, LABEL)
+    return len(words) <= LABEL and not any(c in s for c in STOP + ",;:\n") and max(map(len, words)) <= 40 and len({*words}) * 2 > len(words) and _LOOP.search(s) is None
+
+
 def ending(text: str | None) -> tuple[str, str]:
-    """What the end of a value says: ('whole', ''), ('cut', ''), ('item', item), ('number', key), or ('word', last word).
+    """What the end of a value says: ('whole', last word before a full stop, if it tells something), ('cut', ''),
+    ('item', item), ('number', key), ('word', last word) or ('label', last word).
 
     'item': it ends on a list item, whole if the item is; 'number': on a stop after a whole number or a letter, whole
-    unless what stands before it takes decimals and never ends a sentence; 'word': without a stop, cut in any case, its last word being the evidence.
+    unless what stands before it takes decimals and never ends a sentence; 'word': without a stop; 'label': so, and it is but
+    a few words.
     """
     if is_blank(text):
         return "whole", ""
@@ -126,7 +151,8 @@ def ending(text: str | None) -> tuple[str, str]:
             inside = s[s.rfind("(") :] if "(" in s[-80:] else ""
             if inside and ")" not in inside and len(inside) < 80 and re.match(r"\((?:n|95|see|mean|fig|table|ref|p|range|median|about|age)", inside, re.I):
                 return "cut", ""
-        return "whole", ""
+        word = _LAST.search(s[-60:-1])
+        return "whole", word.group(0).lower() if word is not None and len(word.group(0)) >= LETTERS and not marked else ""
     body = _without_closers(s)
     if body != s and body and body[-1] in STOP:
         return "whole", ""
@@ -134,8 +160,10 @@ def ending(text: str | None) -> tuple[str, str]:
         return "cut", ""
     if item is not None:
         return "item", item.group(1).lower()
-    word = re.search(r"[^\W\d_]+$", s[-60:])
-    return ("word", word.group(0).lower()) if word is not None else ("cut", "")
+    word = _LAST.search(s[-60:])
+    if word is None:
+        return "cut", ""
+    return "label" if _is_label(s) else "word", word.group(0).lower()
 
 
 #: A whole number or a letter that ends a sentence, and a decimal, both after white space.
@@ -187,47 +215,74 @@ def _fold(words: Counter, held: Counter) -> None:
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [ending(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array([g[0] for g in got]), pa.array([g[1] for g in got])], names=[*(c for c in batch.schema.names if c != "text"), "ends", "key"])
+        texts = batch.column("text").to_pylist()
+        got = [ending(t) for t in texts]
+        new = [pa.array([g[0] for g in got]), pa.array([g[1] for g in got]), pa.array([None if t is None else len(t) for t in texts], pa.int32())]
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], names=[*names, "__ends", "__key", "__length"])
 
 
-def judge(rows: DataFrame, text_col: str = "text", corpus: DataFrame | None = None) -> DataFrame:
-    """rows without the text, and cut (boolean), broken (its last word or item is an unknown proper prefix of known ones).
+def judge(rows: DataFrame, text_col: str = "text", corpus: DataFrame | None = None, source: list[str] | None = None) -> DataFrame:
+    """rows without the text, and cut (boolean), broken (its last word or item is an unknown proper prefix of known ones) and
+    at_limit (it is as long as many unfinished values of its source).
 
-    rows: one value per row, with any further columns. corpus: the same values in a column text, where they are cheaper to
-    read than rows. Null, blank and placeholder values are not cut. A loop of repeated
-    words is cut unless it ends with a full stop. Repeated rows stay.
+    rows: one value per row, with any further columns; source: those that name its source, none for a single one. corpus: the
+    same values in a column text, where they are cheaper to read than rows. Null, blank and placeholder values are not cut. A
+    loop of repeated words is cut unless it ends with a full stop. Repeated rows stay.
     """
     keep = [c for c in rows.columns if c != text_col]
     texts = rows.select(*keep, F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
-    ends = materialize(texts.mapInArrow(_endings, f"{schema}, ends string, key string"), "cut-endings")
+    ends = materialize(texts.mapInArrow(_endings, f"{schema}, __ends string, __key string, __length int"), "cut-endings")
     known = (texts if corpus is None else corpus).select("text").mapInArrow(_knowledge, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     known = materialize(known, "cut-known")
-    # what is asked: the distinct last words, items and number endings, against known words and items and all their prefixes
-    asked = ends.where(F.col("ends").isin("item", "number", "word")).select(F.col("ends").alias("kind"), "key").distinct()
+
+    # the limits: at most LIMIT_SHARE lengths per source
+    by = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in source or []]
+    place = F.concat_ws("\1", F.lit(""), *by)
+    open_ = ends.where(F.col("__ends").isin("cut", "word", "item", "label")).groupBy(place.alias("__place"), "__length").agg(F.count("*").alias("same"))
+    all_open = open_.groupBy("__place").agg(F.sum("same").alias("all"))
+    limits = open_.join(all_open, "__place").where((F.col("same") >= LIMIT) & (F.col("same") * LIMIT_SHARE >= F.col("all"))).select("__place", "__length", F.lit(True).alias("at_limit"))
+    limits = materialize(limits, "cut-limits")
+    placed = ends.withColumn("__place", place).join(limits, ["__place", "__length"], "left").drop("__place", "__length").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
+
+    # what is asked: the distinct last words, items and number endings; then which of the unknown ones begin something known
+    asks = F.col("__ends").isin("item", "number", "word", "label") | ((F.col("__ends") == "whole") & (F.col("__key") != "") & F.col("at_limit"))
+    kind = F.when(F.col("__ends").isin("item", "number"), F.col("__ends")).otherwise("word")
+    asking, rest = placed.where(asks).withColumn("kind", kind), placed.where(~asks)
+    word_of = F.lower(F.regexp_extract("key", r"(\p{L}+)$", 1))
+    asked = asking.select("kind", F.col("__key").alias("key")).distinct()
+    both = asked.unionByName(asked.where("kind = 'item'").select(F.lit("word").alias("kind"), word_of.alias("key"))).distinct()
+    unknown = both.join(known.select("kind", "key").hint("merge"), ["kind", "key"], "left_anti").where(F.col("kind").isin("word", "item") & (F.length("key") > 0))
     lengths = F.sequence(F.lit(1), F.length("key") - 1)
-    longer = known.where(F.col("kind").isin("word", "item") & (F.length("key") > 1)).select("kind", F.explode(F.transform(lengths, lambda n: F.substring("key", F.lit(1), n))).alias("key")).distinct()
+    longer = known.where(F.col("kind").isin("word", "item") & (F.length("key") > 1)).select("kind", F.explode(F.transform(lengths, lambda n: F.substring("key", F.lit(1), n))).alias("key"))
+    broken = materialize(unknown.join(longer.hint("merge"), ["kind", "key"], "left_semi"), "cut-broken")
+    decimal = known.where("kind = 'decimal'").select(F.lit("number").alias("kind"), "key", F.lit(True).alias("is_decimal"))
     facts = (
-        asked.join(known.select("kind", "key", F.lit(True).alias("is_known")), ["kind", "key"], "left")
-        .join(longer.withColumn("is_prefix", F.lit(True)), ["kind", "key"], "left")
-        .join(known.where(F.col("kind") == "decimal").select(F.lit("number").alias("kind"), "key", F.lit(True).alias("is_decimal")), ["kind", "key"], "left")
-        .select(F.col("kind").alias("ends"), "key", F.coalesce("is_decimal", F.lit(False)).alias("is_decimal"), F.coalesce("is_known", F.lit(False)).alias("is_known"), F.coalesce("is_prefix", F.lit(False)).alias("is_prefix"))
+        asked.withColumn("word", F.when(F.col("kind") == "item", word_of))
+        .join(known.select("kind", "key", F.lit(True).alias("is_known")).hint("merge"), ["kind", "key"], "left")
+        .join(broken.withColumn("is_broken", F.lit(True)), ["kind", "key"], "left")
+        .join(broken.where("kind = 'word'").select(F.col("key").alias("word"), F.lit(True).alias("breaks")), "word", "left")
+        .join(decimal, ["kind", "key"], "left")
+        .select("kind", F.col("key").alias("__key"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_known", "is_broken", "breaks", "is_decimal")])
     )
-    broken = F.coalesce(~F.col("is_known") & F.col("is_prefix"), F.lit(False))
+    # many values may end on one word: they are dealt to parts, and what is known of the word is sent to each
+    dealt = asking.withColumn("__part", F.pmod(F.xxhash64(*keep), F.lit(PARTS)))
+    told = dealt.join(facts.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).hint("merge"), ["kind", "__key", "__part"], "left")
+    is_broken = F.col("is_broken") | ((F.col("kind") == "item") & F.col("breaks") & ~F.col("is_known"))
     cut = (
-        F.when(F.col("ends").isin("cut", "word"), True)
-        .when(F.col("ends") == "item", broken)
-        .when(F.col("ends") == "number", F.coalesce(~F.col("is_known") & F.col("is_decimal"), F.lit(False)))
-        .otherwise(False)
+        F.when(F.col("__ends") == "word", True)
+        .when(F.col("__ends") == "label", is_broken | F.col("at_limit"))
+        .when(F.col("__ends") == "item", is_broken | (~F.col("is_known") & F.col("at_limit")))
+        .when(F.col("__ends") == "number", ~F.col("is_known") & F.col("is_decimal"))
+        .otherwise(is_broken & F.col("at_limit"))
     )
-    return ends.join(facts, ["ends", "key"], "left").select(*keep, cut.alias("cut"), (broken & F.col("ends").isin("word", "item")).alias("broken"))
+    judged = told.select(*keep, cut.alias("cut"), (is_broken & (F.col("__ends") != "number")).alias("broken"), "at_limit")
+    return judged.unionByName(rest.select(*keep, (F.col("__ends") == "cut").alias("cut"), F.lit(False).alias("broken"), "at_limit"))
 
 
 def rates(judged: DataFrame, group: list[str]) -> DataFrame:
-    """Per group: values, cut values, their share, and of the cut ones how many are broken inside a word or item, or as long as at least one in twenty cut values."""
-    cut = judged.where("cut")
-    common = cut.groupBy(*group, "n_chars").agg(F.count("*").alias("same")).join(cut.groupBy(*group).agg(F.count("*").alias("all_cut")), group).where(F.col("same") * 20 >= F.col("all_cut"))
-    limit = common.groupBy(*group).agg(F.sum("same").alias("n_at_limit"))
-    whole = judged.groupBy(*group).agg(F.count("*").alias("n_values"), F.sum(F.col("cut").cast("long")).alias("n_cut"), F.sum((F.col("cut") & F.col("broken")).cast("long")).alias("n_broken"))
-    return whole.join(limit, group, "left").select(*group, "n_values", "n_cut", (F.col("n_cut") / F.col("n_values")).alias("share_cut"), "n_broken", F.coalesce("n_at_limit", F.lit(0)).alias("n_at_limit"))
+    """Per group: values, cut values, their share, and of the cut ones how many are broken inside a word or item, and how many stand at a limit."""
+    cut = F.col("cut")
+    whole = judged.groupBy(*group).agg(F.count("*").alias("n_values"), F.count_if(cut).alias("n_cut"), F.count_if(cut & F.col("broken")).alias("n_broken"), F.count_if(cut & F.col("at_limit")).alias("n_at_limit"))
+    return whole.select(*group, "n_values", "n_cut", (F.col("n_cut") / F.col("n_values")).alias("share_cut"), "n_broken", "n_at_limit")
