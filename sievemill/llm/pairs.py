@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,8 +22,10 @@ from . import truncated
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 #: Words around a question that still are a frame; share of the question a copy must hold and of the copy the question must hold.
 FRAME, COPIED = 12, 0.8
-#: Words a refusal may have; share of a template's words that must align, in order.
-REFUSAL_WORDS, ALIGNED = 60, 0.99
+#: Characters of an answer that are looked at first: what has too many foreign words there is no copy.
+HEAD = 160
+#: Share of a template's words that must align, in order.
+ALIGNED = 0.99
 
 # Words of prompt frames, which belong to no question.
 PROMPT_FRAME = re.compile(r"#+\s*(?:instruction|input|response|question|answer|system|user|assistant)\s*:?|<\|[^|<>]{1,30}\|>|\[/?INST\]|</?s>|^\s*(?:user|human|question|q|instruction|prompt)\s*:|\b(?:assistant|answer|response)\s*:\s*$", re.I | re.M)
@@ -118,6 +120,13 @@ SCRIPTS = [
 _FOREIGN = re.compile("|".join(p.pattern for _, p in SCRIPTS))
 
 
+@lru_cache(maxsize=1 << 16)
+def _languages(token: str) -> tuple[tuple[str, float], ...]:
+    """The languages that have the token as a small word, each with its part of it."""
+    names = _BY_WORD.get(token) or _BY_WORD.get(token.strip(_MARKS), ())
+    return tuple((name, 1 / len(names)) for name in names)
+
+
 def language(text: str, sure: bool = False) -> str:
     """A language code or script, or '' if the text tells none; sure: only on several different small words."""
     if not text.isascii():
@@ -129,14 +138,13 @@ def language(text: str, sure: bool = False) -> str:
                 counts["ja"] += counts["zh"]
             return max(counts, key=counts.get)
     score: dict[str, float] = {}
+    kinds: dict[str, int] = {}
     tokens = text.lower().replace("'", " ").replace("’", " ").split()
     n = len(tokens)
-    kinds: Counter = Counter()
     for w, times in Counter(tokens).items():
-        names = _BY_WORD.get(w) or _BY_WORD.get(w.strip(_MARKS), ())
-        kinds.update(names)
-        for name in names:
-            score[name] = score.get(name, 0.0) + times / len(names)
+        for name, part in _languages(w):
+            score[name] = score.get(name, 0.0) + times * part
+            kinds[name] = kinds.get(name, 0) + 1
     if not score:
         return ""
     best = max(score, key=score.get)
@@ -155,19 +163,33 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def is_copy(question: list[str], answer: list[str]) -> bool:
-    """Whether the answer is nothing but the question, in a frame of a few words."""
-    if not question or not answer or len(answer) < COPIED * len(question):
+def is_copy(question: Sequence[str], answer: str) -> bool:
+    """Whether a lower-cased answer is nothing but the question's words, once or repeated, in a frame of a few words."""
+    k = min(3, len(question))
+    if not k:
+        return False
+    asked, around = _runs(tuple(question), k)
+    head = answer[:HEAD]
+    if len(answer) > HEAD and _outside(_WORD.findall(head[: head.rfind(" ") + 1]), around, k) > FRAME + k:  # its first words tell most answers apart
         return False
-    k = min(3, len(question), len(answer))
-    asked = {tuple(question[i : i + k]) for i in range(len(question) - k + 1)}
-    given = [tuple(answer[i : i + k]) for i in range(len(answer) - k + 1)]
-    inside = sum(g in asked for g in given)
-    if inside < COPIED * len(asked) or len(given) - inside > FRAME + k:
+    said = _WORD.findall(PROMPT_FRAME.sub(" ", answer))
+    if _outside(said, around, k) > FRAME + k or len(said) < COPIED * len(question):
         return False
-    times = max(1, round(len(answer) / len(question)))  # the question may be repeated
-    common = sum(_lcs(question, answer[i * len(answer) // times : (i + 1) * len(answer) // times]) for i in range(times)) if times > 1 else _lcs(question, answer)
-    return common >= COPIED * len(question) * times and len(answer) - common <= FRAME
+    if sum(r in asked for r in zip(*(said[i:] for i in range(k)), strict=False)) < COPIED * len(asked):
+        return False
+    times = max(1, round(len(said) / len(question)))  # the question may be repeated
+    common = sum(_lcs(question, said[i * len(said) // times : (i + 1) * len(said) // times]) for i in range(times)) if times > 1 else _lcs(question, said)
+    return common >= COPIED * len(question) * times and len(said) - common <= FRAME
+
+
+def _outside(said: list[str], around: frozenset, k: int) -> int:
+    return sum(r not in around for r in zip(*(said[i:] for i in range(k)), strict=False))
+
+
+@lru_cache(maxsize=4096)
+def _runs(words: tuple[str, ...], k: int) -> tuple[frozenset, frozenset]:
+    """The question's runs of k words, and these with the ones where it begins anew."""
+    return tuple(frozenset(zip(*(w[i:] for i in range(k)), strict=False)) for w in (words, (*words, *words[: k - 1])))
 
 
 def _aligns(template: list[set[str]], words: list[str]) -> bool:
@@ -184,26 +206,25 @@ def _aligns(template: list[set[str]], words: list[str]) -> bool:
     return False
 
 
-# One of these stands in any refusal.
-_CUES = "not|n't|unable|sorry|declin|refus|outside|beyond|blocked|prohibited|pass on|unanswered|no answer|no reply|no response|no comment|rather|inappropriate|forbid|restricted|puedo|siento|peux|puis|désolé|kann|leider|darf|posso".split("|")
+# One of these stands in any sentence that a template aligns with.
+_CUES = "not|n't|unable|sorry|declin|refus|outside|beyond|blocked|prohibit|prevent|abstain|refrain|pass|unanswered|no answer|no reply|no response|no comment|rather|inappropriate|forbid|restricted|puedo|siento|peux|puis|désolé|kann|leider|darf|posso".split("|")
 
 
 def is_refusal(answer: str) -> bool:
     """Whether the answer declines and says nothing else."""
-    text = answer.replace("’", "'")
-    if len(text) > 12 * REFUSAL_WORDS:
-        return False
-    low = text.lower()
-    if not any(c in low for c in _CUES) or not 2 <= len(_WORD.findall(text)) <= REFUSAL_WORDS:
-        return False
     refused = False
-    for part in SENTENCE.findall(text):
-        own = _plain(part)
-        if not own:
-            continue
-        if any(_aligns(t, own) for t in _TEMPLATES) and not _reports(own):
-            refused = True
-        elif not ASIDE.match(part.strip(" \n\t\"'-*>#")) and len(own) > 4:
+    for m in SENTENCE.finditer(answer.replace("’", "'")):  # most answers say something in their first sentence
+        part = m.group(0)
+        low = part.lower()
+        if any(c in low for c in _CUES):
+            own = _plain(part)
+            if any(_aligns(t, own) for t in _TEMPLATES) and not _reports(own):
+                refused = True
+                continue
+            n = len(own)
+        else:
+            n = len(_WORD.findall(low))
+        if n > 4 and not ASIDE.match(part.strip(" \n\t\"'-*>#")):
             return False
     return refused
 
@@ -228,10 +249,9 @@ def defect(question: str | None, answer: str | None) -> str:
     if truncated.is_blank(answer):
         return "empty_answer"
     bare, words, asked_in = _asked(question or "")
-    if 0.6 * len(bare.strip()) <= len(answer) <= 3 * len(bare) + 200 and words:
-        low = answer.lower()
-        if words[0] in low and words[-1] in low and is_copy(list(words), _WORD.findall(PROMPT_FRAME.sub(" ", low))):
-            return "copied_question"
+    low = answer.lower()
+    if is_copy(words, low):
+        return "copied_question"
     if is_refusal(answer):
         return "refusal"
     if asked_in:
@@ -254,6 +274,6 @@ def defects(pairs: DataFrame) -> DataFrame:
     """
     own = pairs.select("table_name", F.col("row_id").cast("long").alias("row_id"), F.col("question").cast("string").alias("question"), F.col("text").cast("string").alias("text"))
     seen = own.mapInArrow(_defects, "table_name string, row_id long, defect string, text string")
-    judged = truncated.judge(seen, corpus=own)
+    judged = truncated.judge(seen, corpus=own, source=["table_name"])
     name = F.when(F.col("defect") != "", F.col("defect")).when(F.col("cut"), F.lit("truncated_answer"))
     return judged.select("table_name", "row_id", name.alias("defect")).where(F.col("defect").isNotNull()).dropDuplicates(["table_name", "row_id"])
