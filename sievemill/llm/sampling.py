@@ -24,6 +24,31 @@ def normal(column: str):
     return F.when(F.length(plain) > 0, plain)
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without return are good, for populations of any size; probabilities below 1e-17 of the mode's count as none."""
+    if good + bad < 1_000_000_000:  # what the library's own draw takes
+        return int(rng.hypergeometric(good, bad, n))
+    low, high = max(0, n - bad), min(n, good)
+    mode = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
+
+    def side(step: int) -> np.ndarray:
+        """Probabilities from the mode on, in units of the mode's, until they vanish."""
+        parts, at, weight = [], mode, 1.0
+        while True:
+            k = at + step * np.arange(1, 65_537, dtype=np.float64)
+            a, b = (k, good - k + 1) if step > 0 else (good - k, k + 1)
+            c, d = (bad - n + k, n - k + 1) if step > 0 else (n - k, bad - n + k + 1)
+            ratio = np.where((k >= low) & (k <= high), (b * d) / (a * c), 0.0)
+            parts.append(weight * np.cumprod(ratio))
+            if parts[-1][-1] < 1e-17:
+                return np.concatenate(parts)
+            at, weight = at + step * 65_536, parts[-1][-1]
+
+    up, down = side(1), side(-1)
+    total = np.concatenate([down[::-1], [1.0], up])
+    return int(mode - len(down) + np.searchsorted(np.cumsum(total), rng.random() * total.sum()))
+
+
 def start_counts(available: dict[str, int], floors: dict[str, int], size: int, seed: int) -> dict[str, int]:
     """Counts of a random sample of the size that holds the floors, or all there is where less is there."""
     names = sorted(available)
@@ -37,8 +62,7 @@ def start_counts(available: dict[str, int], floors: dict[str, int], size: int, s
     rng = np.random.default_rng(seed)
     pool, more = int(left.sum()), min(rest, int(left.sum()))
     for k, n in zip(names, left.tolist(), strict=True):  # a multivariate hypergeometric draw, one category after the other
-        got = int(rng.hypergeometric(n, pool - n, more)) if more and n and pool < 1_000_000_000 else round(more * n / pool) if pool else 0
-        got = max(min(got, n, more), more - (pool - n))
+        got = hypergeometric(rng, n, pool - n, more)
         taken[k] += got
         pool, more = pool - n, more - got
     return taken
