@@ -1,8 +1,10 @@
 """Passages of evaluation items inside training text, by winnowed fingerprints.
 
 Both sides keep the smaller hash of each two neighbouring runs of K words, so every shared run of K + 1 words shares a kept
-one. A passage of 20 words or more of which at most one in five is changed leaves such a run, as does a run of 12 unchanged
-words: no case is lost. Hits are counted over all runs of K words, and what may still be a case is aligned word by word.
+one. A passage of 20 words or more of which at most one in five is changed leaves such a run (16 words in five pieces), as do a
+passage of 12 words with a remark in it and a run of 12 unchanged words: no such case is lost. A passage with both changes and a
+remark is found wherever it leaves such a run too. Hits are counted over all runs of K words, and what may still be a case is
+aligned word by word.
 """
 
 from __future__ import annotations

@@ -3,6 +3,12 @@
 Every document, and every allowed repeat of it after all first passes, stands in a random queue of its source; its virtual
 finish time is the queue's tokens up to it, divided by the source's weight. Taken in the order of these times, every prefix
 has the target shares as long as all queues last; the mixture is the prefix that fits the token budget.
+
+Where that prefix ends is known but for the length of a few documents: up to a time t the queues hold, source by source, no more
+than weight x t tokens and less than the longest document under it. What ends before the time at which that reaches the budget
+is in the mixture; what ends after the time at which it exceeds the budget by all longest documents is not, and is never queued.
+Only the documents between these times are sorted, and their tokens are at most twice the number of sources times the longest
+document's, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -15,10 +21,6 @@ from ._ranks import buckets_for, draw, running
 from .sampling import normal
 from .tokens import count_tokens
 
-#: Spans of virtual time into which the budget is cut.
-SPANS = 1_024
-
-
 def _targets(targets: DataFrame) -> list[tuple[str, float, int]]:
     """One row per source: a documented, small table."""
     rows = targets.select(normal("source").alias("source"), "target_share", "max_repeats").where(F.col("source").isNotNull()).collect()
@@ -45,25 +47,38 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     leaves its share to the others. An empty table gives an empty mixture; a doc_id counts once.
     """
     sized, goal = queued(documents, targets, seed, **columns)
-    total = sized.agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).first()
-    budget = budget if budget is not None else int(total["t"] or 0)
-    passes = sized.join(F.broadcast(goal), "source").where(F.col("target_share") > 0).withColumn("repeat_no", F.explode(F.sequence(F.lit(1), "max_repeats")))
+    held = sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.max("n_tokens").alias("longest")).collect()  # a row per target source
+    of = {r["source"]: r for r in goal.where("target_share > 0").collect()}
+    queues = {r["source"]: (of[r["source"]]["target_share"], int(r["t"]), of[r["source"]]["max_repeats"]) for r in held if r["source"] in of}
+    budget = budget if budget is not None else sum(int(r["t"]) for r in held)
+    slack = len(queues) * max((int(r["longest"]) for r in held), default=0)
+    surely, at_most = finish(queues, budget) * (1 - 1e-9), finish(queues, budget + slack) * (1 + 1e-9)
+    # a source's passes as far as they can begin in time, with the tokens of its earlier passes: each pass holds all its documents
+    rows = [(s, w, t, min(most, int(min(at_most * w / t, most)) + 1)) for s, (w, t, most) in queues.items()]
+    plan = documents.sparkSession.createDataFrame(rows, "source string, target_share double, __all long, __passes int")
+    passes = sized.join(F.broadcast(plan), "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(1), "__passes")))
     passes = passes.withColumn("__u", draw(seed, "doc_id", "repeat_no"))
-    inside = running(passes, ["source", "repeat_no"], "n_tokens", "__u", ["doc_id"], buckets_for(total["n"]), "__in_pass")
-    # tokens of the source's earlier passes: each pass holds all its documents
-    whole = sized.groupBy("source").agg(F.sum("n_tokens").alias("__all"))
-    queue = inside.join(F.broadcast(whole), "source").withColumn("virtual_finish", ((F.col("repeat_no") - 1) * F.col("__all") + F.col("__in_pass")) / F.col("target_share"))
-    queue = materialize(queue.select("doc_id", "source", "repeat_no", "n_tokens", "virtual_finish", F.floor(F.col("virtual_finish") * SPANS / max(1, budget)).alias("__span")), "mixture-queue")
-    # the spans before the one in which the budget ends are whole; their number is bounded by SPANS x the scarcest source's lack
-    spans = queue.groupBy("__span").agg(F.sum("n_tokens").alias("__t"))
-    so_far = F.sum("__t").over(Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, 0))
-    spans = spans.withColumn("__end", so_far).withColumn("__begin", F.col("__end") - F.col("__t")).where(F.col("__begin") < budget)
-    order = Window.partitionBy("__span").orderBy("virtual_finish", "source", "doc_id", "repeat_no").rowsBetween(Window.unboundedPreceding, 0)
-    placed = queue.join(F.broadcast(spans.select("__span", "__begin", "__end")), "__span")
-    kept = placed.where(F.col("__end") <= budget).drop("__end", "__begin")
-    edge = placed.where(F.col("__end") > budget).withColumn("__sum", F.col("__begin") + F.sum("n_tokens").over(order)).where(F.col("__sum") <= budget)
+    inside = running(passes, ["source", "repeat_no"], "n_tokens", "__u", ["doc_id"], buckets_for(sum(r["n"] for r in held)), "__in_pass")
+    queue = inside.withColumn("virtual_finish", ((F.col("repeat_no") - 1) * F.col("__all") + F.col("__in_pass")) / F.col("target_share"))
     columns_out = ["doc_id", "source", "repeat_no", "n_tokens", "virtual_finish"]
-    return kept.select(columns_out).unionByName(edge.select(columns_out))
+    queue = materialize(queue.where(F.col("virtual_finish") <= at_most).select(columns_out), "mixture-queue")
+    whole = queue.where(F.col("virtual_finish") <= surely)
+    left = budget - int(whole.agg(F.sum("n_tokens")).first()[0] or 0)
+    # bounded: see above
+    order = Window.partitionBy(F.lit(0)).orderBy("virtual_finish", "source", "doc_id", "repeat_no").rowsBetween(Window.unboundedPreceding, 0)
+    edge = queue.where(F.col("virtual_finish") > surely).withColumn("__sum", F.sum("n_tokens").over(order)).where(F.col("__sum") <= left)
+    return whole.unionByName(edge.select(columns_out))
+
+
+def finish(queues: dict[str, tuple[float, int, int]], tokens: int) -> float:
+    """The virtual time at which sources of (weight, tokens of a pass, passes) have given the tokens, or all they have."""
+    ends = sorted((t * most / w, w, t * most) for w, t, most in queues.values())
+    time, given, weight = 0.0, 0.0, sum(w for _, w, _ in ends)
+    for end, w, _ in ends:
+        if given + (end - time) * weight >= tokens:
+            return time + (tokens - given) / weight
+        given, time, weight = given + (end - time) * weight, end, weight - w
+    return time
 
 
 def report(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 20, **columns: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.llm import _words, leakage, mixture, neardup, pairs, residue, sampling, tokens, truncated
+from sievemill.llm import _ranks, _words, leakage, mixture, neardup, pairs, residue, sampling, tokens, truncated
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -60,6 +60,43 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, region):
     assert got == brute(dict(texts).items(), 3, 10, 0.6)
 
 
+@pytest.mark.parametrize(("similarity", "levels"), [(0.6, 0), (0.6, 1), (0.6, 2), (0.6, 8), (0.5, 1), (0.5, 3), (0.8, 2)])
+def test_small_sets_lose_no_link_however_regions_are_split(similarity, levels):
+    """All sets of one to six of a few shingles: any linked pair meets in a region, whichever regions are split."""
+    rng = random.Random(levels)
+    sets = {tuple(sorted(rng.sample(range(1, 9), rng.randint(1, 6)))) for _ in range(60)} | {(1,), (1, 2), (1, 2, 3), (2, 3)}
+    sets = sorted(sets)
+    s, size = np.array([x for t in sets for x in t], np.uint64), np.array([len(t) for t in sets])
+    start = np.cumsum(size) - size
+    for draw in range(6):
+        hot = [np.array([rng.random() < 0.6 for _ in range(1024)] * (neardup.SLOTS // 1024)) | (draw == 0) for _ in range(levels)]
+        job = neardup.Join(1, 1, similarity, np.zeros(neardup.SLOTS, np.uint8), hot)
+        met = {}
+        for key, row, at, level, _ in neardup._regions(s, start, size, job):
+            for k, r, a in zip(key.tolist(), row.tolist(), at.tolist(), strict=True):
+                met.setdefault(k, []).append((r, len(sets[r]) - a + level - 1))
+        pairs = {(x, y) for rows in met.values() for (x, i), (y, j) in itertools.product(rows, rows) if x < y and min(i, j) >= similarity / (1 + similarity) * (len(sets[x]) + len(sets[y])) - 1e-6}
+        linked = {(x, y) for x, y in itertools.combinations(range(len(sets)), 2) if len({*sets[x]} & {*sets[y]}) >= similarity * len({*sets[x]} | {*sets[y]})}
+        assert linked <= pairs
+
+
+def test_looping_texts_and_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 1)
+    monkeypatch.setattr(neardup, "MEMBERS", 3)
+    texts = [(i, t) for i, t in enumerate(["a " * 40, "a " * 39 + "b", "a b " * 20, "a b " * 20 + "c", "b a " * 20, "a b c " * 12, "a b c " * 12 + "d"])]
+    texts += [(100 + i, "a b c " * 12) for i in range(10)] + [(200 + i, "a b c " * 12 + "d") for i in range(4)]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    for similarity in (0.5, 0.6):
+        got = {(r["a"], r["b"]) for r in neardup.id_pairs(*neardup.similar_pairs(df, "id", "text", similarity=similarity, k=3, least_words=10)).collect()}
+        assert got == brute(texts, 3, 10, similarity)
+
+
+def test_short_records_have_a_class(spark):
+    df = spark.createDataFrame([(1, "x y"), (2, "X  y."), (3, "y x"), (4, None), (5, ""), (6, "one two three four five")], "id long, text string")
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in neardup.duplicate_groups(df, "id", "text").collect()}
+    assert len(got) == 6 and got[1] == got[2] != got[3] and got[4] == got[5] and all(v[1] == 0 for v in got.values())
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id long, text string")
     assert neardup.duplicate_groups(df, "id", "text").count() == 0
@@ -155,6 +192,34 @@ def test_defects(question, answer, name):
     assert pairs.defect(question, answer) == name
 
 
+@pytest.mark.parametrize(
+    ("question", "answer", "name"),
+    [("What is it?", "<p></p>" * 70, "empty_answer"), ("What is it?", "[ollama error: " + "upstream closed " * 60 + "]", "empty_answer"), ("What is it?", "Error rates fell by 3% in the register.", ""),
+     ("What is it?", "I'm sorry, but I can't help with that. " + "Please consult your care team about it. " * 12, "refusal"),
+     ("What was found in the trial of ninozole in men?", "What was found in the trial of ninozole in women?", "copied_question"), ("What was found in the trial of ninozole?", ("What was found in the trial of ninozole? " * 40).strip(), "copied_question"),
+     ("Why?", "Why", "copied_question"), ("", "Fine.", ""), (None, "Fine.", "")],
+)
+def test_defects_have_no_length_limits(question, answer, name):
+    assert pairs.defect(question, answer) == name
+
+
+def test_trie_and_limits_decide(spark):
+    """Labels are whole unless their word is broken or they stand at a limit; a broken word before a stop is cut at a limit only."""
+    long = "The neurologist measured the spirometry of each participant over the whole registry period and noted"
+    rows = [(1, "Motor neurons", "a"), (2, "Motor neuro", "a"), (3, "The neurons of participants and spirometry are in the registry.", "a"), (4, "Upper limb", "b"), (5, "A sentence that ends in registr.", "a")]
+    rows += [(100 + i, f"{i:02d} " + long[: 57 - i % 2] + "x" * (i % 2), "c") for i in range(40)]
+    at_limit = "participants noted the registry and the " + "a" * 10 + " spiromet."
+    rows += [(200, at_limit, "c"), (201, at_limit.replace("aaa", "a"), "c"), (202, at_limit.replace("a spiromet", "spirometry"), "c")]
+    assert len(at_limit) == len(rows[5][1])
+    rows += [(300 + i, "one two three four five", "b") for i in range(3)]
+    df = spark.createDataFrame([(i, t, s) for i, t, s in rows], "row_id long, text string, source string")
+    got = {r["row_id"]: (r["cut"], r["broken"], r["at_limit"]) for r in truncated.judge(df, source=["source"]).collect()}
+    assert got[1] == (False, False, False) and got[2] == (True, True, False) and got[3][0] is False and got[4][0] is False
+    assert got[5] == (False, False, False)  # broken, but no limit: a rare word may look so
+    assert all(got[100 + i][0] and got[100 + i][2] for i in range(40)) and got[300] == (True, False, False)
+    assert got[200] == (True, True, True) and got[201][0] is False and got[202][0] is False
+
+
 def test_defect_rows(spark):
     rows = [("t", 1, None, "It stops in the mid"), ("t", 1, None, "It stops in the mid"), ("t", 2, "q", "Fine."), ("t", 3, "What is it?", None)]
     df = spark.createDataFrame(rows, "table_name string, row_id long, question string, text string")
@@ -177,6 +242,18 @@ def test_repair_never_raises_the_deviation():
         assert all(0 <= end[k] <= available[k] for k in names) and all(end[k] >= min(floors[k], available[k], start[k]) for k in names)
 
 
+def test_draws_from_populations_of_any_size():
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((3_000_000_000, 1_000_000_000, 10_000), (10, 5_000_000_000, 1_000_000_000), (2_000_000_000, 3, 1_000_000_000)):
+        got = np.array([sampling.hypergeometric(rng, good, bad, n) for _ in range(300)])
+        mean = n * good / (good + bad)
+        spread = (mean * bad / (good + bad) * (good + bad - n) / (good + bad - 1)) ** 0.5
+        assert got.min() >= max(0, n - bad) and got.max() <= min(n, good)
+        assert abs(got.mean() - mean) < 5 * spread / 300**0.5 + 1e-6 and abs(got.std() / spread - 1) < 0.25
+    available = {"a": 4_000_000_000, "b": 2_000_000_000, "c": 7}
+    assert sum(sampling.start_counts(available, {"c": 7}, 3_000_000_000, 1).values()) == 3_000_000_000
+
+
 def test_sample(spark):
     rows = [(i, ["A b", "a-b ", "A_B", "c", None][i % 5], 0) for i in range(500)] + [(None, "c", 0), (1, "a b", 0)]
     df = spark.createDataFrame(rows, "id long, category string, row_id int")
@@ -213,6 +290,35 @@ def test_mixture(spark):
     assert {r["source"]: r["met"] for r in mixture.report(docs, targets, budget).collect()}["big"]
 
 
+def test_mixture_is_the_prefix_of_the_whole_queue(spark):
+    """Against the queue in plain Python: documents of very different length, sources that run out, budgets below and above all tokens."""
+    pytest.importorskip("public_tokenizers")
+    rng = random.Random(4)
+    rows = [(i, "word " * rng.choice([1, 2, 3, 40, 200]), rng.choice("aaaabbc")) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.5, 3), ("c", 0.2, 2)], "source string, target_share double, max_repeats int")
+    share, most = {"a": 0.3, "b": 0.5, "c": 0.2}, {"a": 1, "b": 3, "c": 2}
+    sizes = {r["doc_id"]: (r["source"], r["n_tokens"]) for r in mixture.queued(docs, targets, 20)[0].collect()}
+    passes = [(i, r) for i in sizes for r in range(1, 4)]
+    u = {(r["i"], r["r"]): r["u"] for r in spark.createDataFrame(passes, "i long, r int").withColumn("u", _ranks.draw(20, "i", "r")).collect()}
+    for budget in (0, 500, 3000, None, 10**7):
+        queue = []
+        for s in share:
+            done = 0
+            for r in range(1, most[s] + 1):
+                for i in sorted((i for i in sizes if sizes[i][0] == s), key=lambda i: (u[i, r], i)):
+                    done += sizes[i][1]
+                    queue.append((done / share[s], s, i, r, sizes[i][1]))
+        total, expected = 0, set()
+        limit = budget if budget is not None else sum(n for _, n in sizes.values())
+        for _, _, i, r, n in sorted(queue):
+            total += n
+            if total > limit:
+                break
+            expected.add((i, r))
+        assert {(r["doc_id"], r["repeat_no"]) for r in mixture.mix(docs, targets, budget).collect()} == expected
+
+
 def test_residue(spark):
     normal = ["Patients with onset in the left hand were seen in {} cases over the years of the register.", "The dose of the drug is raised in steps if the liver enzymes stay below {} times the limit.", "A web survey could not be completed by {} people whose browser had JavaScript turned off."]
     bad = ["Please enable JavaScript in your browser to view this page.", "404 Not Found. The requested page could not be located on this server.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "The endpoint was {{measure}}, seen at the visit.", "Your content goes here."]
