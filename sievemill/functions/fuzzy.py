@@ -49,18 +49,22 @@ def partial_ratio(a: str | None, b: str | None, least: float = 0.0) -> float:
         return 100.0
     # a window that moves by one place changes its common subsequence by one at most: it moves as far as the best, or least, allows
     n, bits = len(a), _table(a)
-    most = -1
+    first, last = _common(bits, n, b[:n]), _common(bits, n, b[-n:])
+    most = max(first, last)
     goal = least * n / 100 if least > 0 else 0.0
-    s, end = 0, len(b) - n
-    while s <= end:
+    s, end = max(1, int(max(goal, most + 1) - first)), len(b) - n
+    while s < end:
         common = _common(bits, n, b[s : s + n])
         most = max(most, common)
         s += max(1, int(max(goal, most + 1) - common))
-    best = 100.0 * most / n if most >= 0 else 0.0
-    for m in range(n - 1, 0, -1):  # shorter windows at both ends
-        if 200.0 * m / (n + m) <= max(best, least - 1e-9):
-            break
-        best = max(best, 200.0 * _common(bits, n, b[:m]) / (n + m), 200.0 * _common(bits, n, b[-m:]) / (n + m))
+    best = 100.0 * most / n
+    for common, part in ((first, lambda m: b[:m]), (last, lambda m: b[-m:])):  # shorter windows at both ends share no more than the whole one
+        for m in range(n - 1, 0, -1):
+            reach = min(m, common)
+            if 200.0 * reach / (n + reach) <= max(best, least - 1e-9):
+                break
+            if 200.0 * reach / (n + m) > best:
+                best = max(best, 200.0 * _common(bits, n, part(m)) / (n + m))
     return best
 
 

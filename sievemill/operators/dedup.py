@@ -50,14 +50,37 @@ def leaders(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
 
 
 def shared_bands(one: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Pairs a < b of the rows (k, t) that share a band."""
+    """Pairs a < b of the first row of a band and each other one of it; the others of a band share it too, and are not listed."""
     keyed = materialize(banded(one, "k", "t", threshold), "bands")
-    x, y = keyed.select(F.col("k").alias("a"), "band"), keyed.select(F.col("k").alias("b"), "band")
-    return x.join(y, "band").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    first = keyed.groupBy("band").agg(F.min("k").alias("a"))
+    return keyed.join(first, "band").where(F.col("a") < F.col("k")).select("a", F.col("k").alias("b")).distinct()
+
+
+def first_of_bands(one: DataFrame, threshold: float = 0.85, most_rounds: int = 100) -> DataFrame:
+    """The rows (column n) that fall if each row falls that shares a band with an earlier one that stays.
+
+    A band is told by its first undecided row, so no pairs are made: a row stays if it is the first of all its bands, and what
+    shares a band with it falls.
+    """
+    open_ = materialize(banded(one, "k", "t", threshold), "bands")
+    fallen = None
+    for _ in range(most_rounds):
+        if open_.isEmpty():
+            break
+        first = open_.groupBy("band").agg(F.min("k").alias("m"))
+        told = open_.join(first, "band")
+        stays = told.groupBy("k").agg(F.min((F.col("k") == F.col("m")).cast("int")).alias("is_first")).where("is_first = 1").select("k")
+        closed = told.join(stays.withColumnRenamed("k", "m"), "m", "left_semi").select("k", "band", "m")
+        falls = materialize(closed.where(F.col("k") != F.col("m")).select(F.col("k").alias("n")).distinct(), "fallen")
+        fallen = falls if fallen is None else fallen.unionByName(falls)
+        open_ = materialize(open_.join(stays, "k", "left_anti").join(falls.withColumnRenamed("n", "k"), "k", "left_anti"), "bands")
+    else:
+        raise RuntimeError("no fixpoint within the allowed rounds")
+    return one.where(F.lit(False)).select(F.col("k").alias("n")) if fallen is None else fallen
 
 
 def band_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
-    """Pairs a < b that share a band. Equal texts are joined through one representative, so copies do not multiply."""
+    """Pairs a < b that share a band, told by the band's first record. Equal texts are joined through one representative, so copies do not multiply."""
     one, copies = leaders(df, key, text)
     return shared_bands(one, threshold).unionByName(copies)
 
@@ -91,26 +114,33 @@ def near(df: DataFrame, key: str, text: str, threshold: float = 0.8, strict: boo
     """
     one, copies = leaders(df, key, text)
     nodes = df.join(copies.select(F.col("b").alias(key)), key, "left_anti")
-    return first_kept(shared_bands(one) if strict else jaccard_pairs(one, "k", "t", threshold), nodes, key)
+    if strict:
+        return nodes.select(key).join(first_of_bands(one).select(F.col("n").alias(key)), key, "left_anti")
+    return first_kept(jaccard_pairs(one, "k", "t", threshold), nodes, key)
 
 
 def jaccard_pairs(df: DataFrame, key: str, text: str, least: float, k: int = 5, apart: str | None = None) -> DataFrame:
-    """Exact pairs a < b with shared and united shingles. Only shingles held by at most a tenth as prefixes generate pairs.
+    """Exact pairs a < b with shared and united shingles.
 
+    A pair is opened by its first common shingle in the order from rare to common, which stands so early in both sets that the
+    shingles from there on suffice for the similarity. The sets travel to the pairs as arrays, one row a pair.
     apart: a field of the key in which the two records of a pair must differ.
     """
     sets = df.select(F.col(key).alias("k"), F.explode(shingle_set(F.col(text), k)).alias("s")).select("k", hashed(F.col("s")).alias("s"))
-    sets = materialize(sets, "shingles")  # read four times
-    size = sets.groupBy("k").agg(F.count("*").alias("n"))
-    rank = Window.partitionBy("k").orderBy("f", "s")
+    sets = materialize(sets, "shingles")  # read twice
     frequency = sets.groupBy("s").agg(F.count("*").alias("f"))
-    ranked = sets.join(frequency, "s").withColumn("r", F.row_number().over(rank)).join(size, "k")
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    x, y = prefix.select(F.col("k").alias("a"), "s", F.col("n").alias("na")), prefix.select(F.col("k").alias("b"), "s", F.col("n").alias("nb"))
+    own = sets.join(frequency, "s").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "s"))), lambda x: x["s"]).alias("set"))  # one text's shingles
+    own = materialize(own, "sets")
+    n = F.size("set")
+    opening = F.slice("set", 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+    prefix = own.select("k", n.alias("n"), F.posexplode(opening).alias("r", "s"))
+    x, y = (prefix.select(F.col("k").alias(c), "s", F.col("n").alias(f"n{c}"), (F.col("n") - F.col("r")).alias(f"rest_{c}")) for c in "ab")
     asked = F.col("a")[apart] != F.col("b")[apart] if apart else F.lit(True)
-    found = x.join(y, "s").where(asked & (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
-    shared = found.join(sets.select(F.col("k").alias("a"), "s"), "a").join(sets.select(F.col("k").alias("b"), "s"), ["b", "s"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n_shared"))
-    return shared.withColumn("n_union", F.col("na") + F.col("nb") - F.col("n_shared")).where(F.col("n_shared") >= least * F.col("n_union")).select("a", "b", "n_shared", "n_union")
+    enough = F.least("rest_a", "rest_b") >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6
+    found = x.join(y, "s").where(asked & (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb")) & enough).select("a", "b").distinct()
+    sides = [own.select(F.col("k").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab"]
+    counted = found.join(sides[0], "a").join(sides[1], "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("n_shared"), (F.size("set_a") + F.size("set_b")).cast("long").alias("__n"))
+    return counted.withColumn("n_union", F.col("__n") - F.col("n_shared")).where(F.col("n_shared") >= least * F.col("n_union")).select("a", "b", "n_shared", "n_union")
 
 
 def paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n\n", least_words: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import Tokens, most_ratio, partial_ratio_80_udf, ratio_udf, set_ratio_above
+from ..functions.fuzzy import Tokens, most_ratio, partial_ratio, partial_ratio_80_udf, set_ratio_above
 from ..functions.words import runs, words
 from .dedup import hashed
+from .entities import candidates, lookup
 
 
 def token_sets(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,35 +24,98 @@ def token_sets(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def token_jaccard(left: DataFrame, right: DataFrame, lkey: str, rkey: str, ltext: str, rtext: str, least: float) -> DataFrame:
-    """Pairs of texts by shared words, through an inverted index; words that more than half of the right side has do not
-    open a pair by themselves but count in it."""
-    a, b = token_sets(left, lkey, ltext).withColumnRenamed(lkey, "a"), token_sets(right, rkey, rtext).withColumnRenamed(rkey, "b")
-    na, nb = a.groupBy("a").agg(F.count("*").alias("na")), b.groupBy("b").agg(F.count("*").alias("nb"))
-    shared = a.join(b, "token").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
-    return shared.join(na, "a").join(nb, "b").withColumn("n_union", F.col("na") + F.col("nb") - F.col("n_shared")).where(F.col("n_shared") >= least * F.col("n_union")).select("a", "b", "n_shared", "n_union")
+    """Pairs of texts by shared words, exactly. A pair is opened by one of the rarest words of either side only, as many as any
+    pair at least must share; all words count in it. The sets travel with the pairs, so no common word is joined on."""
+    sides = []
+    both = token_sets(left, lkey, ltext).select("token").unionByName(token_sets(right, rkey, rtext).select("token"))
+    often = both.groupBy("token").agg(F.count("*").alias("f"))
+    for df, key, text, name in ((left, lkey, ltext, "a"), (right, rkey, rtext, "b")):
+        ranked = token_sets(df, key, text).withColumnRenamed(key, name).join(often, "token").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("s"))  # one text's words
+        own = ranked.select(name, F.transform("s", lambda x: x["token"]).alias(f"set_{name}"))
+        first = F.slice(f"set_{name}", 1, (F.size(f"set_{name}") - F.ceil(F.size(f"set_{name}") * least - 1e-9) + 1).cast("int"))
+        sides.append((own, own.select(name, F.explode(first).alias("token"))))
+    (own_a, open_a), (own_b, open_b) = sides
+    pairs = open_a.join(open_b, "token").select("a", "b").distinct().join(own_a, "a").join(own_b, "b")
+    n_shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+    counted = pairs.select("a", "b", n_shared.alias("n_shared"), (F.size("set_a") + F.size("set_b")).cast("long").alias("n"))
+    return counted.withColumn("n_union", F.col("n") - F.col("n_shared")).where(F.col("n_shared") >= least * F.col("n_union")).select("a", "b", "n_shared", "n_union")
 
 
 def grounded(entities: DataFrame, registry: DataFrame, key: str, entity: str, name: str, least: float = 85.0) -> DataFrame:
-    """entities with grounded and best: exact by lower case, else the best ratio in the registry. A ratio of 85 needs lengths
-    within 0.739 of each other, so only such names are compared; the registry is joined by length class, not to every entity."""
-    known = registry.select(F.lower(F.col(name)).alias("name")).distinct()
-    asked = entities.select(F.lower(F.col(entity)).alias("e")).distinct()
-    exact = asked.join(known, asked["e"] == known["name"], "left_semi").select("e", F.lit(100.0).alias("best"))
-    open_ = asked.join(known, asked["e"] == known["name"], "left_anti")
-    ratio_of_lengths = least / (200 - least)
-    near = open_.withColumn("n", F.explode(F.sequence(F.ceil(F.length("e") * ratio_of_lengths), F.floor(F.length("e") / ratio_of_lengths))))
-    fuzzy = near.join(known.withColumn("n", F.length("name").cast("long")), "n").groupBy("e").agg(F.max(ratio_udf(F.col("e"), F.col("name"))).alias("best"))
-    best = exact.unionByName(fuzzy)
-    return entities.withColumn("e", F.lower(F.col(entity))).join(best, "e", "left").drop("e").withColumn("best", F.coalesce("best", F.lit(0.0))).withColumn("grounded", F.col("best") >= least)
+    """entities with best and grounded: equal to a name of the registry in lower case, or of that ratio; best is 0 where no name reaches it."""
+    known = registry.select(F.lit("any").alias("etype"), F.lower(F.col(name)).alias("name")).distinct()
+    asked = entities.select(F.lit("any").alias("etype"), F.col(entity).alias("entity")).distinct()
+    told = lookup(asked, known, least).select(F.col("entity").alias(entity), F.coalesce("best_score", F.lit(0.0)).alias("best"), (~F.col("flagged")).alias("grounded"))
+    return entities.join(told, entity, "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))
+
+
+def entity_verdicts(pairs: DataFrame, key: str, text: str, names: DataFrame, least: float = 85.0) -> DataFrame:
+    """key, n_entities, n_unknown and grounded: whether the names of the corpus hold every entity of the text, exactly or by ratio.
+
+    A text without entities, or null, is grounded. names: etype and name, see entities.known_names.
+    """
+    looked = lookup(candidates(pairs, key, text, names), names, least)
+    per = looked.groupBy(key).agg(F.count("*").alias("n_entities"), F.count_if("flagged").alias("n_unknown"))
+    told = pairs.select(key).join(per, key, "left").na.fill(0, ["n_entities", "n_unknown"])
+    return told.withColumn("grounded", F.col("n_unknown") == 0)
+
+
+def corpus_support(pairs: DataFrame, key: str, text: str, corpus: DataFrame, doc: str, doc_text: str, k: int = 8) -> DataFrame:
+    """key and support: how many distinct runs of k words of the text the corpus holds. An equi-join of hashes: no corpus is too large."""
+    held = _grams(corpus, doc, doc_text, k).select("g").distinct()
+    found = _grams(pairs, key, text, k).join(held, "g", "left_semi").groupBy(key).agg(F.count("*").alias("support"))
+    return pairs.select(key).join(found, key, "left").na.fill(0, ["support"])
+
+
+def validated(pairs: DataFrame, key: str, entities: DataFrame, support: DataFrame, leaks: DataFrame, item: str, least_support: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected with reason): unknown entities, then no support in the corpus, then wording of the benchmark; the first failure counts.
+
+    entities: of entity_verdicts; support: of corpus_support; leaks: key and item of question_leaks.
+    """
+    told = pairs.join(entities.select(key, "n_unknown", "grounded"), key).join(support, key).join(leaks.select(key, item), key, "left")
+    checks = told.withColumns({"__e": F.col("grounded"), "__s": F.col("support") >= least_support, "__l": F.col(item).isNull()})
+    kept, rejected = cascade(checks, [("__e", "unknown_entities"), ("__s", "no_corpus_support"), ("__l", "benchmark_leakage")])
+    return kept.drop("__e", "__s", "__l"), rejected.drop("__e", "__s", "__l")
+
+
+def partial_leaks(pairs: DataFrame, key: str, instruction: str, output: str, items: DataFrame, item: str, question: str, prompt: str, facts: str, least: float = 80.0, least_fact: int = 40) -> DataFrame:
+    """key, item, match_type and score of every match with a partial ratio of least or more, repeated facts once.
+
+    Compared are instruction and question, instruction and prompt, output and each key fact of least_fact characters. Null texts
+    are empty and match nothing. The items are few and go to all tasks; a text is compared once per task.
+    """
+    rows = items.select(item, question, prompt, facts).sort(item).collect()
+    asked = [(r[item], kind, (r[c] or "").lower()) for r in rows for kind, c in (("instruction_vs_question", question), ("instruction_vs_prompt", prompt))]
+    told = [(r[item], "output_vs_key_fact", f.lower()) for r in rows for f in dict.fromkeys(r[facts] or []) if f is not None and len(f) >= least_fact]
+
+    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[int, str], list[tuple]] = {}
+
+        def of(side: int, text: str) -> list[tuple]:
+            if (side, text) not in seen:
+                if len(seen) >= 10_000:
+                    seen.clear()
+                scored = ((i, kind, partial_ratio(text, other, least)) for i, kind, other in (asked, told)[side] if text and other)
+                seen[side, text] = [x for x in scored if x[2] >= least]
+            return seen[side, text]
+
+        for batch in batches:
+            got = [(k, *m) for k, x, o in zip(batch[key], batch["x"], batch["o"], strict=True) for m in (*of(0, x), *of(1, o))]
+            yield pd.DataFrame(got, columns=[key, item, "match_type", "score"])
+
+    types = f"{key} {pairs.schema[key].dataType.simpleString()}, {item} {items.schema[item].dataType.simpleString()}, match_type string, score double"
+    texts = pairs.select(key, *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in ((instruction, "x"), (output, "o"))])
+    return texts.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).mapInPandas(matched, types)
+
+
+def _grams(frame: DataFrame, ident: str, col: str, k: int) -> DataFrame:
+    w = words(F.regexp_replace(F.lower(F.coalesce(F.col(col), F.lit(""))), "[^a-z0-9]+", " "))
+    return frame.select(F.col(ident), F.explode(F.array_distinct(runs(w, k))).alias("g")).select(ident, hashed(F.col("g")).alias("g"))
 
 
 def passage_hits(df: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, k: int = 8) -> DataFrame:
     """Per record and item the shared distinct runs of k words, by an equi-join of their hashes."""
-    def grams(frame: DataFrame, ident: str, col: str) -> DataFrame:
-        w = words(F.regexp_replace(F.lower(F.coalesce(F.col(col), F.lit(""))), "[^a-z0-9]+", " "))
-        return frame.select(F.col(ident), F.explode(F.array_distinct(runs(w, k))).alias("g")).select(ident, hashed(F.col("g")).alias("g"))
-
-    return grams(df, key, text).join(grams(items, item, item_text), "g").groupBy(key, item).agg(F.count("*").alias("n_shared"))
+    return _grams(df, key, text, k).join(_grams(items, item, item_text, k), "g").groupBy(key, item).agg(F.count("*").alias("n_shared"))
 
 
 def similarities(pairs: DataFrame, key: str, instruction: str, output: str, items: DataFrame, item: str, question: str, prompt: str, answer: str, least: float = 0.0) -> DataFrame:

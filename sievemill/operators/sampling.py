@@ -16,15 +16,19 @@ def cap_category(category: Column) -> Column:
     return F.when(F.contains(c, F.lit("patient")), "patient_narratives").when(c.isin("wikipedia", "supplementary"), "supplementary")
 
 
+#: Hex digits of the draw by which groups are cut for ranking: 16 to this power parts of each group.
+DIGITS = 3
+
+
 def top_by_draw(df: DataFrame, group: list[str], key: str, seed: int, limit: Column) -> DataFrame:
-    """Up to limit rows of each group in seeded order. The order is a sort on an md5; groups are cut by its first hex digit,
-    so a large group is ranked in sixteen parts whose sizes are added up."""
-    cut = df.withColumn("__o", seeded(seed, key)).withColumn("__d", F.substring("__o", 1, 1))
+    """Up to limit rows of each group in seeded order. The order is a sort on an md5; groups are cut by its first hex digits,
+    so even a group of most rows is ranked in 4,096 parts whose sizes are added up."""
+    cut = df.withColumn("__o", seeded(seed, key)).withColumn("__d", F.substring("__o", 1, DIGITS))
     sizes = cut.groupBy(*group, "__d").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,096 rows a group
     starts = sizes.select(*group, "__d", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
     inside = Window.partitionBy(*group, "__d").orderBy("__o", key)
-    ranked = cut.withColumn("__r", F.row_number().over(inside)).join(F.broadcast(starts) if not group else starts, [*group, "__d"])
+    ranked = cut.withColumn("__r", F.row_number().over(inside)).join(starts, [*group, "__d"])
     return ranked.where(F.col("__s") + F.col("__r") <= limit).drop("__o", "__d", "__n", "__s", "__r")
 
 
@@ -40,15 +44,16 @@ def cap(df: DataFrame, key: str, category: str, seed: int = 42, caps: dict[str,
 
 def split(df: DataFrame, key: str, stratum: str, val_share: float = 0.1, seed: int = 42) -> DataFrame:
     """df with split train or val: ceil(share x rows) val rows allotted to strata by largest remainder; single rows train."""
-    name = F.coalesce(stratum, F.lit("unknown"))
-    rows = df.withColumn("__st", name)
+    rows = df.withColumn("__st", F.coalesce(stratum, F.lit("unknown")))
     sizes = rows.groupBy("__st").agg(F.count("*").alias("__n")).where("__n > 1")
-    exact = F.ceil(F.col("__all") * val_share) * F.col("__n") / F.col("__all")
-    quota = sizes.withColumn("__all", F.sum("__n").over(Window.partitionBy())).withColumn("__q", F.floor(exact)).withColumn("__rest", exact - F.floor(exact))  # one row per stratum
-    left = F.ceil(F.col("__all") * val_share) - F.sum("__q").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(F.desc("__rest"), "__st"))
-    quota = quota.withColumn("__quota", F.col("__q") + (place <= left).cast("long")).select("__st", "__quota")
-    val = top_by_draw(rows.join(F.broadcast(quota), "__st"), ["__st"], key, seed, F.col("__quota")).select(key, F.lit("val").alias("split"))
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    wanted = F.ceil(F.lit(total) * val_share)
+    exact = wanted * F.col("__n") / F.lit(max(total, 1))
+    quota = sizes.select("__st", F.floor(exact).alias("__q"), (exact - F.floor(exact)).alias("__rest"))
+    left = quota.agg((F.first(wanted) - F.sum("__q")).cast("int")).first()[0] or 0  # at most one for each stratum
+    more = quota.orderBy(F.desc("__rest"), "__st").limit(left).select("__st", F.lit(1).alias("__more"))
+    quota = quota.join(more, "__st", "left").select("__st", (F.col("__q") + F.coalesce("__more", F.lit(0))).alias("__quota"))
+    val = top_by_draw(rows.join(quota, "__st"), ["__st"], key, seed, F.col("__quota")).select(key, F.lit("val").alias("split"))
     return rows.drop("__st").join(val, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 

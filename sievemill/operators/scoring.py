@@ -182,7 +182,7 @@ def benchmark_errors(q: DataFrame, trap_low: float = 0.10, trap_high: float = 0.
 
 
 def registry_errors(r: DataFrame) -> DataFrame:
-    checks = [F.when(~F.col("etype").isin("drugs", "genes", "proteins", "trials", "institutions"), "bad_type"), F.when(F.trim(F.coalesce("canonical", F.lit(""))) == "", "missing_canonical"), F.when(F.coalesce("frequency", F.lit(0)) < 1, "bad_frequency")]
+    checks = [F.when(~F.coalesce(F.col("etype").isin("drugs", "genes", "proteins", "trials", "institutions"), F.lit(False)), "bad_type"), F.when(F.trim(F.coalesce("canonical", F.lit(""))) == "", "missing_canonical"), F.when(F.coalesce("frequency", F.lit(0)) < 1, "bad_frequency")]
     rows = r.select("etype", "canonical", F.explode(F.array_compact(F.array(*checks))).alias("error"))
     twice = r.groupBy("etype", F.lower("canonical").alias("c")).agg(F.count("*").alias("n"), F.min("canonical").alias("canonical")).where("n > 1").select("etype", "canonical", F.lit("duplicate").alias("error"))
     return rows.unionByName(twice)

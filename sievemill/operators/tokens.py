@@ -40,7 +40,14 @@ def weighted_rank(df: DataFrame, name: str, weights: list[tuple[str, float, bool
     """Candidates by the weighted sum of their places; weights are (column, weight, higher is better)."""
     ends = df.agg(*[f(c).alias(f"{n}{i}") for i, (c, _, _) in enumerate(weights) for n, f in (("low", F.min), ("high", F.max))]).first()
     score = sum((min_max(c, ends[f"low{i}"], ends[f"high{i}"], up) * w for i, (c, w, up) in enumerate(weights)), F.lit(0.0))
-    return df.select(name, score.alias("score")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), name)))
+    scored = df.select(name, score.alias("score"))
+    # a rank is the number of candidates in better cells of the score, of which there are at most 4,097, and those before it in its own
+    cell = scored.withColumn("__c", F.floor(F.col("score") * 4096 / F.lit(sum(abs(w) for _, w, _ in weights) or 1.0)))
+    sizes = cell.groupBy("__c").agg(F.count("*").alias("__n"))
+    better = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("__c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("__c").orderBy(F.desc("score"), name))
+    placed = cell.withColumn("__r", inside).join(sizes.select("__c", better.alias("__b")), "__c")
+    return placed.select(name, "score", (F.col("__b") + F.col("__r")).cast("int").alias("rank"))
 
 
 def fits(df: DataFrame, tokens: str, limit: int = 1024) -> DataFrame:

@@ -503,24 +503,12 @@ def trial_ids(spark, d):
     return E.trials(docs(spark, d), "text")
 
 
-@query("entity_registry")
-def entity_registry(spark, d):
-    return E.registry(docs(spark, d), "text")
-
-
 @query("term_classes", f"""SELECT word, n, CASE WHEN regexp_full_match(word, '[A-Z][A-Z0-9]*[0-9][A-Z0-9]*') THEN 'gene' WHEN regexp_full_match(word, '[A-Z]{{2,6}}') THEN 'abbreviation' WHEN regexp_full_match(lower(word), '[a-z]{{3,}}(?:{'|'.join(E.DRUG_ENDINGS)})') THEN 'drug'
   WHEN contains(word, ' ') THEN 'phrase' WHEN regexp_matches(lower(word), '(?:itis|osis|pathy|trophy|plegia|phagia|arthria)$') THEN 'clinical' ELSE 'other' END AS category FROM {_WORDS}""")
 def term_classes(spark, d):
     return E.word_counts(docs(spark, d), "text").withColumn("category", E.term_class(F.col("word")))
 
 
-@query("merged_terms")
-def merged_terms(spark, d):
-    counts = E.word_counts(docs(spark, d), "text").withColumn("category", E.term_class(F.col("word"))).where("category <> 'other'")
-    curated = spark.createDataFrame([(g, "gene", 1) for g in E.GENE_SEEDS], "term string, category string, frequency long")
-    return E.merged_terms(curated, counts.select(F.col("word").alias("term"), "category", F.col("n").alias("frequency")))
-
-
 @query("term_win_loss", f"SELECT word, a, b, CASE WHEN a < b THEN 'a' WHEN a > b THEN 'b' ELSE 'tie' END AS winner FROM (SELECT word, ceil(length(word) / 4.0)::BIGINT AS a, (1 + length(word) // 5)::BIGINT AS b FROM {_WORDS})")
 def term_win_loss(spark, d):
     t = E.word_counts(docs(spark, d), "text").select("word", F.ceil(F.length("word") / 4).alias("a"), (1 + F.floor(F.length("word") / 5)).cast("long").alias("b"))
@@ -621,23 +609,3 @@ def best_tokenizer(spark, d):
 @query("file_digests")
 def file_digests(spark, d):
     return TK.file_digest(spark, f"{d}/region.parquet").select("sha256", "length")
-
-
-@query("drug_registry")
-def drug_registry(spark, d):
-    return E.drugs(E.word_counts(docs(spark, d), "text"))
-
-
-@query("gene_registry")
-def gene_registry(spark, d):
-    return E.genes(E.word_counts(docs(spark, d), "text"))
-
-
-@query("protein_registry", f"SELECT folded AS canonical, n AS frequency FROM (SELECT lower(word) AS folded, sum(n)::BIGINT AS n FROM {_WORDS} GROUP BY 1) WHERE regexp_full_match(folded, '[a-z]{{4,}}ase') AND folded NOT IN ({', '.join(repr(x) for x in E.NOT_DRUGS)}) AND n >= 2")
-def protein_registry(spark, d):
-    return E.proteins(E.word_counts(docs(spark, d), "text"))
-
-
-@query("institution_registry")
-def institution_registry(spark, d):
-    return E.institutions(docs(spark, d), "text")

@@ -77,38 +77,11 @@ def question_leaks(spark, d):
     return VA.question_leaks(sft, "pair_id", "instruction", "output", questions(spark, d), "question_id", "question", "prompt_template", "verified_answer")
 
 
-@query("entity_candidates", None)
-def entity_candidates(spark, d):
-    return E.candidates(results(spark, d), "result_id", "response")
-
-
 @query("trial_candidates", rf"SELECT result_id, unnest(list_distinct(regexp_extract_all(response, '\b(NCT\d{{8}})\b', 1))) AS entity FROM {_R} WHERE response IS NOT NULL")
 def trial_candidates(spark, d):
     return results(spark, d).select("result_id", F.explode(E.trial_candidates(F.col("response"))).alias("entity"))
 
 
-def _looked(spark, d):
-    known = E.registry(table(spark, d, "documents"), "text")
-    return E.lookup(E.candidates(results(spark, d), "result_id", "response"), known)
-
-
-@query("fabrication_rollup")
-def fabrication_rollup(spark, d):
-    return E.flag_rates(_looked(spark, d))
-
-
-@query("entity_grounding")
-def entity_grounding(spark, d):
-    known = E.registry(table(spark, d, "documents"), "text").where("etype = 'drugs'")
-    found = E.candidates(results(spark, d), "result_id", "response").where("etype = 'drugs'")
-    return VA.grounded(found, known, "result_id", "entity", "canonical")
-
-
-@query("top_flagged")
-def top_flagged(spark, d):
-    return SC.top_k(_looked(spark, d).where("flagged"), "entity")
-
-
 @query("score_windows", f"SELECT result_id, CASE WHEN n <= 100 THEN 1 ELSE ceil((n - 100) / 50.0)::BIGINT + 1 END AS n_windows FROM (SELECT result_id, length(trim(coalesce(response, ''), chr(32)))::BIGINT AS n FROM {_R})")
 def score_windows(spark, d):
     return results(spark, d).select("result_id", F.size(SC.windows(F.col("response"))).cast("long").alias("n_windows"))
@@ -285,11 +258,6 @@ def benchmark_rules(spark, d):
     return SC.benchmark_errors(questions(spark, d))
 
 
-@query("registry_rules")
-def registry_rules(spark, d):
-    return SC.registry_errors(E.registry(table(spark, d, "documents"), "text"))
-
-
 @query("hit_rate", f"SELECT question_id, len(key_facts)::BIGINT AS n_facts, len(list_filter(key_facts, lambda f: contains(c, lower(f))))::BIGINT AS n_found FROM (SELECT q.question_id, q.key_facts, coalesce(r.c, '') AS c FROM eval_questions q LEFT JOIN (SELECT question_id, string_agg(lower(coalesce(response, '')), chr(1)) AS c FROM {_R} GROUP BY 1) r USING (question_id))")
 def hit_rate(spark, d):
     f = questions(spark, d).select("question_id", F.explode(F.array_distinct("key_facts")).alias("fact"))
@@ -385,16 +353,8 @@ def complete_models(spark, d):
 @query("corpus_grounding", f"SELECT pair_id, count(DISTINCT g)::BIGINT AS n_grounded FROM ({_grams('synthetic_sft', 'pair_id', 'output')}) WHERE g IN (SELECT g FROM ({_grams('documents', 'doc_id', 'text')})) GROUP BY 1")
 def corpus_grounding(spark, d):
     """Runs of eight words of each answer that the corpus holds, by a semi-join: no corpus is too large for it."""
-    from ..functions.words import runs, words
-    from ..operators.dedup import hashed
-
-    def grams(df, key, text):
-        w = words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), W, " "))
-        return df.select(key, F.explode(F.array_distinct(runs(w, 8))).alias("g")).select(key, hashed(F.col("g")).alias("g"))
-
-    pairs = grams(table(spark, d, "synthetic_sft").dropDuplicates(["pair_id"]), "pair_id", "output")
-    corpus = grams(table(spark, d, "documents"), "doc_id", "text").select("g").distinct()
-    return pairs.join(corpus, "g", "left_semi").groupBy("pair_id").agg(F.count("*").alias("n_grounded"))
+    pairs = table(spark, d, "synthetic_sft").dropDuplicates(["pair_id"])
+    return VA.corpus_support(pairs, "pair_id", "output", table(spark, d, "documents"), "doc_id", "text").where("support > 0").withColumnRenamed("support", "n_grounded")
 
 
 @query("independence_report")
@@ -404,22 +364,6 @@ def independence_report(spark, d):
     return VA.independence(scored, "score", "total", "n_items")
 
 
-@query("validation_cascade")
-def validation_cascade(spark, d):
-    sft = table(spark, d, "synthetic_sft").dropDuplicates(["pair_id"])
-    leaked = VA.passage_hits(sft, "pair_id", "output", questions(spark, d), "question_id", "question").select("pair_id", F.lit(True).alias("leaked")).distinct()
-    marked = sft.join(leaked, "pair_id", "left").select("pair_id", PR.pair_format(F.col("instruction"), F.col("output")).alias("format_ok"), F.col("leaked").isNull().alias("independent"))
-    _, rejected = VA.cascade(marked, [("format_ok", "bad_format"), ("independent", "benchmark_leakage")])
-    return rejected.select("pair_id", "reason")
-
-
-@query("entity_contexts")
-def entity_contexts(spark, d):
-    r = results(spark, d).select("result_id", "response")
-    found = E.candidates(r, "result_id", "response").where("etype = 'trials'")
-    return found.join(r, "result_id").select("result_id", "entity", E.context(F.col("response"), F.col("entity")).alias("context"))
-
-
 @query("context_stats", f"SELECT avg(n)::DOUBLE AS mean_tokens, max(n) AS max_tokens, count(*)::BIGINT AS n FROM (SELECT tokens_generated::BIGINT AS n FROM {_R}) WHERE n > 0")
 def context_stats(spark, d):
     return results(spark, d).where("tokens_generated > 0").agg(F.avg("tokens_generated").alias("mean_tokens"), F.max(F.col("tokens_generated").cast("long")).alias("max_tokens"), F.count("*").alias("n"))
@@ -429,9 +373,3 @@ def context_stats(spark, d):
 def annotations(spark, d):
     m = modes(spark, d)
     return m.select("result_id", SC.annotation(F.col("primary_mode"), F.col("severity"), F.col("accuracy"), F.col("f")).alias("note"))
-
-
-@query("coherent_fabrication")
-def coherent_fabrication(spark, d):
-    rows = results(spark, d).withColumnRenamed("coherent", "is_coherent")
-    return SC.fabrication_of_coherent(rows, _looked(spark, d), "result_id")
