@@ -35,8 +35,12 @@ def top_records(scores: DataFrame, key: str, k: int = 10) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def passages(df: DataFrame, key: str, text: str, size: int = 400, step: int = 300, least: int = 200, least_words: int = 50) -> DataFrame:
-    """Windows cut back to their last blank if that lies beyond half; texts of up to 500 characters as a whole."""
+def passages(df: DataFrame, key: str, text: str, size: int = 400, step: int = 300, least: int = 200, least_words: int = 50, keywords: list[str] | None = None) -> DataFrame:
+    """Windows cut back to their last blank if that lies beyond half; texts of up to 500 characters as a whole.
+
+    Passages must be long enough, not full of references, and hold a keyword: by default one of any topic.
+    """
+    keywords = keywords if keywords is not None else sorted({k for ks in KEYWORDS.values() for k in ks})
     t = F.coalesce(F.col(text), F.lit(""))
     starts = F.when(F.length(t) <= 500, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(step)))
     cut = df.select(F.col(key), t.alias("t"), F.explode(starts).alias("start"))
@@ -45,7 +49,8 @@ def passages(df: DataFrame, key: str, text: str, size: int = 400, step: int = 30
     open_end = (F.length("t") > 500) & (F.col("start") + size < F.length("t")) & (F.instr("raw", " ") > 0) & (last > size / 2)
     body = F.trim(F.when(open_end, F.substring(F.col("raw"), F.lit(1), last)).otherwise(F.col("raw")))
     out = cut.withColumn("raw", raw).withColumn("passage", body)
-    return out.where((F.length("passage") >= least) & (n_words("passage") >= least_words) & ~reference_heavy(F.col("passage"))).select(key, "start", "passage")
+    on_topic = F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower("passage"), k)) if keywords else F.lit(True)
+    return out.where(on_topic & (F.length("passage") >= least) & (n_words("passage") >= least_words) & ~reference_heavy(F.col("passage"))).select(key, "start", "passage")
 
 
 def question_type(seed: int, key: str) -> Column:

@@ -73,6 +73,11 @@ def delta_text(old: Column, new: Column) -> Column:
     return F.when((old == 0) & (new == 0), "—").when(old == 0, "NEW").otherwise(F.concat(sign, diff.cast("string"), F.lit(" ("), sign, F.format_number(100.0 * diff / old, 1), F.lit(" %)")))
 
 
+def points_text(old: Column, new: Column) -> Column:
+    """The change of a percentage, in points."""
+    return F.concat(F.when(new > old, "+").otherwise(""), F.format_string("%.1f", (new - old).cast("double")), F.lit(" pp"))
+
+
 def loss_rate(raw: DataFrame, final: DataFrame, group: str) -> DataFrame:
     both = raw.groupBy(group).agg(F.count("*").alias("n_raw")).join(final.groupBy(group).agg(F.count("*").alias("n_final")), group, "left").na.fill(0, ["n_final"])
     return both.withColumn("loss_pct", 100.0 * (F.col("n_raw") - F.col("n_final")) / F.col("n_raw"))

@@ -122,9 +122,9 @@ def spread_judgement(df: DataFrame, row: str, metric: str, least: float = 0.05,
 
 
 def decomposition(wrong: DataFrame, category: str) -> DataFrame:
-    """Wrong answers by whether a fact had been retrieved (column n_found), per category and over all."""
+    """Wrong answers by whether a fact had been retrieved (column n_found), per category, with subtotals (null failure) and the total (null category)."""
     kind = F.when(F.coalesce("n_found", F.lit(0)) > 0, "generation_failure").otherwise("retrieval_failure")
-    return wrong.withColumn("failure", kind).rollup(category, "failure").agg(F.count("*").alias("n")).where(F.col("failure").isNotNull() | F.col(category).isNull())
+    return wrong.withColumn("failure", kind).rollup(category, "failure").agg(F.count("*").alias("n"))
 
 
 def contrast(items: DataFrame, item: str, category: str, n: int) -> DataFrame:

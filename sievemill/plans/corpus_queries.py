@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -16,7 +18,7 @@ from ..operators import profile as ST
 from ..operators import retrieval as RG
 from ..operators import sampling as SP
 from ..operators import tokens as TK
-from ..session import table
+from ..session import materialize, table
 
 BLANK = r"[ \t\n\r\f]+"
 
@@ -204,7 +206,7 @@ def min_length_reject(spark, d):
 
 @query("reject_summary")
 def reject_summary(spark, d):
-    _, rejected = C.clean(docs(spark, d), with_udfs=False)
+    _, rejected = C.clean(docs(spark, d))
     return rejected.groupBy("stage", "reason").agg(F.count("*").alias("n"))
 
 
@@ -220,7 +222,16 @@ def clean_strict(spark, d):
     return kept.select("doc_id", F.sha2("text", 256).alias("digest"), "word_count")
 
 
-@query("clean_sections")
+def _sections_sql() -> str:
+    """What a pattern looks ahead to is matched, and put back."""
+    x = "text"
+    for p in C.SECTIONS:
+        ahead = re.search(r"\(\?=(.*?)\)(?=\)$|$|\|\\z\)$)", p)
+        x = rx(x, p.replace(ahead.group(0), f"({ahead.group(1)})"), "\\1") if ahead else rx(x, p)
+    return x
+
+
+@query("clean_sections", digest_sql(_sections_sql()))
 def clean_sections(spark, d):
     return digest(docs(spark, d), C.strip_sections(F.col("text")))
 
@@ -230,7 +241,7 @@ def html_text(spark, d):
     return digest(docs(spark, d), C.html_text("text"))
 
 
-@query("unicode_nfc")
+@query("unicode_nfc", digest_sql("nfc_normalize(text)"))
 def unicode_nfc(spark, d):
     return digest(docs(spark, d), C.nfc("text"))
 
@@ -282,15 +293,29 @@ def minhash_candidates(spark, d):
     return D.band_pairs(docs(spark, d), "doc_id", "text", 0.85)
 
 
-@query("near_dup_survivors")
+_ONE = f"(SELECT doc_id, array_to_string({w('lower(text)')}, ' ') AS words, min(doc_id) OVER (PARTITION BY array_to_string({w('lower(text)')}, ' ')) AS leader FROM documents)"
+_SURVIVORS = f"""WITH RECURSIVE s AS (SELECT doc_id, unnest(s) AS g FROM {_shingles_sql(5)} WHERE doc_id IN (SELECT doc_id FROM {_ONE} WHERE doc_id = leader AND words <> '')), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+  e AS (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS i FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8::DOUBLE * (x.n + y.n - k) GROUP BY 1),
+  r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS fallen UNION ALL SELECT e.i, CASE WHEN len(list_filter(e.before, lambda x: NOT list_contains(r.fallen, x))) > 0 THEN list_append(r.fallen, e.b) ELSE r.fallen END FROM r JOIN e ON e.i = r.i + 1),
+  kept AS (SELECT doc_id FROM {_ONE} WHERE (doc_id = leader OR words = '') AND doc_id NOT IN (SELECT unnest(fallen) FROM (SELECT fallen FROM r ORDER BY i DESC LIMIT 1)))"""
+
+
+@query("near_dup_survivors", _SURVIVORS + " SELECT doc_id FROM kept")
 def near_dup_survivors(spark, d):
     return D.near(docs(spark, d), "doc_id", "text")
 
 
-@query("cross_set_leak")
+_LEAKS = f"""{_SPLIT}, sh AS (SELECT doc_id, unnest(s) AS g FROM {_shingles_sql(5)}), sn AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b USING (g) JOIN v x ON x.doc_id = a.doc_id AND NOT x.is_val JOIN v y ON y.doc_id = b.doc_id AND y.is_val GROUP BY 1, 2)
+  SELECT DISTINCT b AS doc_id FROM p JOIN sn x ON x.doc_id = a JOIN sn y ON y.doc_id = b WHERE k >= 0.7::DOUBLE * (x.n + y.n - k)"""
+
+
+@query("cross_set_leak", _LEAKS)
 def cross_set_leak(spark, d):
-    answers = table(spark, d, "synthetic_sft").select(F.col("pair_id").alias("doc_id"), F.col("output").alias("text"))
-    return D.cross_leaks(docs(spark, d), answers, "doc_id", "text")
+    """Validation documents of the stratified split that are near a training document."""
+    divided = materialize(SP.split(docs(spark, d), "doc_id", "source_category").select("doc_id", "text", "split"), "divided")
+    return D.cross_leaks(divided.where("split = 'train'"), divided.where("split = 'val'"), "doc_id", "text")
 
 
 @query("pipeline_profile")
@@ -316,7 +341,12 @@ def keyword_score_topk(spark, d):
     return P.top_records(P.keyword_scores(docs(spark, d), "doc_id", "text"), "doc_id")
 
 
-@query("sliding_passages")
+_PASSAGES = f"""(SELECT doc_id, start, passage FROM (SELECT doc_id, start, trim(CASE WHEN n > 500 AND start + 400 < n AND strpos(raw, ' ') > 0 AND length(raw) - strpos(reverse(raw), ' ') > 200 THEN substr(raw, 1, length(raw) - strpos(reverse(raw), ' ')) ELSE raw END, ' ') AS passage
+  FROM (SELECT doc_id, n, start, CASE WHEN n <= 500 THEN t ELSE substr(t, start + 1, 400) END AS raw FROM (SELECT doc_id, t, length(t) AS n, unnest(CASE WHEN length(t) <= 500 THEN [0] ELSE range(0, length(t), 300) END)::INT AS start FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))))
+  WHERE length(passage) >= 200 AND len({w('passage')}) >= 50 AND NOT (len(regexp_extract_all(passage, 'et al\\.')) > 3 OR len(regexp_extract_all(passage, '\\[\\d+\\]')) > 5) AND len(list_filter({sorted({k for ks in P.KEYWORDS.values() for k in ks})}, lambda k: contains(lower(passage), k))) > 0)"""
+
+
+@query("sliding_passages", f"SELECT * FROM {_PASSAGES}")
 def sliding_passages(spark, d):
     return P.passages(docs(spark, d), "doc_id", "text")
 
@@ -329,7 +359,11 @@ def question_types(spark, d):
     return docs(spark, d).select("doc_id", P.question_type(42, "doc_id").alias("question_type"))
 
 
-@query("passage_drafts")
+_EXCERPT = f"coalesce(list_filter(string_split(regexp_replace(passage, '([.!?]){BLANK}', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, chr(32)) <> '')[1], '')"
+
+
+@query("passage_drafts", f"""SELECT doc_id, start, question_type, CASE WHEN {_U.format(43)} < 0.2 THEN CASE WHEN length(f) > 150 THEN substr(f, 1, 147) || '...' ELSE f END ELSE '' END AS input,
+  sha256('Write one ' || question_type || ' question and its answer from this passage only.' || chr(10) || chr(10) || passage) AS digest FROM (SELECT *, {_EXCERPT} AS f, CASE WHEN {_U.format(42)} < 0.4 THEN 'factual' WHEN {_U.format(42)} < 0.7 THEN 'explanatory' WHEN {_U.format(42)} < 0.85 THEN 'comparative' ELSE 'clinical' END AS question_type FROM {_PASSAGES})""")
 def passage_drafts(spark, d):
     return P.drafts(P.passages(docs(spark, d), "doc_id", "text"), "doc_id", "passage").select("doc_id", "start", "question_type", "input", F.sha2("prompt", 256).alias("digest"))
 
@@ -374,21 +408,27 @@ def chat_messages(spark, d):
     return sft(spark, d).select("pair_id", F.explode(m).alias("m")).select("pair_id", "m.role", "m.content")
 
 
-@query("prompt_completion_split", "SELECT result_id, length(prompt)::BIGINT AS n_prompt, 0::BIGINT AS n_rest FROM verify_results WHERE prompt IS NOT NULL AND prompt LIKE '%### Response:' || chr(10)")
+_TAG = "### Response:" + chr(10)
+
+
+@query("prompt_completion_split", """SELECT result_id, length(coalesce(p, t))::BIGINT AS n_prompt, length(t) - length(coalesce(p, t)) AS n_rest FROM (SELECT result_id, t, CASE WHEN contains(t, tag) THEN substr(t, 1, length(t) - strpos(reverse(t), reverse(tag)) + 1) END AS p
+  FROM (SELECT result_id, prompt || coalesce(response, '') AS t, '### Response:' || chr(10) AS tag FROM verify_results WHERE prompt IS NOT NULL))""")
 def prompt_completion_split(spark, d):
-    p, rest = FT.split_at_last(F.col("prompt"), "### Response:\n")
-    return table(spark, d, "verify_results").where(F.endswith("prompt", F.lit("### Response:\n"))).select("result_id", F.length(p).cast("long").alias("n_prompt"), F.length(rest).cast("long").alias("n_rest"))
+    """Prompts with their answers, taken apart again at the last tag; where there is no tag all is prompt."""
+    whole = F.concat("prompt", F.coalesce("response", F.lit("")))
+    p, rest = FT.split_at_last(whole, _TAG)
+    return table(spark, d, "verify_results").where(F.col("prompt").isNotNull()).select("result_id", F.length(p).cast("long").alias("n_prompt"), F.length(rest).cast("long").alias("n_rest"))
 
 
 _TOK = "list_transform({}, lambda x: (('0x' || substr(md5(x), 1, 7))::BIGINT % 50000)::INT)"
 
 
 @query("mask_labels", f"""WITH t AS (SELECT pair_id, {_TOK.format(w('instruction'))} AS p, {_TOK.format(w('output'))} AS o FROM synthetic_sft)
-  SELECT pair_id, len(p)::BIGINT AS n_prompt, len(o)::BIGINT AS n_output, (len(p) + len(o)) <= 128 AS fits, CASE WHEN len(p) + len(o) <= 128 THEN list_sum(o)::BIGINT - 100 * (128 - len(o)) END AS label_sum FROM t WHERE len(o) > 0""")
+  SELECT pair_id, len(p)::BIGINT AS n_prompt, len(o)::BIGINT AS n_output, (len(p) + len(o)) <= 128 AS fits, CASE WHEN len(p) + len(o) <= 128 THEN coalesce(list_sum(o), 0)::BIGINT - 100 * (128 - len(o)) END AS label_sum FROM t""")
 def mask_labels(spark, d):
     p, o = FT.word_ids(F.col("instruction")), FT.word_ids(F.col("output"))
     ids, labels = FT.masked(p, o, 128)
-    return sft(spark, d).where(F.size(o) > 0).select("pair_id", F.size(p).cast("long").alias("n_prompt"), F.size(o).cast("long").alias("n_output"), labels.isNotNull().alias("fits"), F.aggregate(labels, F.lit(0).cast("long"), lambda s, x: s + x).alias("label_sum"))
+    return sft(spark, d).select("pair_id", F.size(p).cast("long").alias("n_prompt"), F.size(o).cast("long").alias("n_output"), labels.isNotNull().alias("fits"), F.aggregate(labels, F.lit(0).cast("long"), lambda s, x: s + x).alias("label_sum"))
 
 
 @query("pack_blocks", f"""WITH t AS (SELECT doc_id, {_TOK.format(w('text'))} AS ids FROM documents), u AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM t),
@@ -559,32 +599,34 @@ def size_advice(spark, d):
     return n.select("source", ST.size_advice(F.col("n")).alias("advice"))
 
 
-@query("parsed_numbers", r"SELECT DISTINCT t, replace(regexp_extract(t, '([\d,]+(?:\.\d+)?)', 1), ',', '')::DOUBLE * CASE upper(regexp_extract(t, '([KMGT])i?B', 1)) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'G' THEN 1e9 ELSE 1.0 END AS value FROM (SELECT unnest(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)? ?(?:mg|ml|MB|GB|percent|months)')) AS t FROM documents)")
+@query("parsed_numbers", r"SELECT DISTINCT t, replace(regexp_extract(t, '([\d,]+(?:\.\d+)?)', 1), ',', '')::DOUBLE * CASE upper(regexp_extract(t, '([KMGT])i?B', 1)) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'G' THEN 1e9 WHEN 'T' THEN 1e12 ELSE 1.0 END AS value FROM (SELECT unnest(regexp_extract_all(text, '~?[0-9][0-9,]*(?:\.[0-9]+)?(?: ?[A-Za-z]+)?')) AS t FROM documents)")
 def parsed_numbers(spark, d):
-    t = docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)? ?(?:mg|ml|MB|GB|percent|months)"), F.lit(0))).alias("t")).distinct()
+    """Every number of the corpus with the word after it."""
+    t = docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"~?[0-9][0-9,]*(?:\.[0-9]+)?(?: ?[A-Za-z]+)?"), F.lit(0))).alias("t")).distinct()
     return t.withColumn("value", ST.parse_number(F.col("t")))
 
 
-@query("near_dup_rate")
+@query("near_dup_rate", _SURVIVORS + " SELECT n - k AS n_near, (n - k)::DOUBLE / n AS rate FROM (SELECT (SELECT count(*) FROM documents)::BIGINT AS n, (SELECT count(*) FROM kept)::BIGINT AS k)")
 def near_dup_rate(spark, d):
     df = docs(spark, d)
-    n, kept = df.agg(F.count("*").alias("n")), D.near(df, "doc_id", "text").agg(F.count("*").alias("k"))
-    both = n.withColumn("j", F.lit(1)).join(kept.withColumn("j", F.lit(1)), "j")
+    kept = D.near(df, "doc_id", "text").withColumn("kept", F.lit(1))
+    both = df.select("doc_id").join(kept, "doc_id", "left").agg(F.count("*").alias("n"), F.count("kept").alias("k"))
     return both.select((F.col("n") - F.col("k")).alias("n_near"), ST.near_dup_rate(F.col("n") - F.col("k"), F.col("k"), F.col("n") - F.col("k")).alias("rate"))
 
 
-@query("delta_texts")
+@query("delta_texts", f"""SELECT category, CASE WHEN o = 0 AND n = 0 THEN '—' WHEN o = 0 THEN 'NEW' ELSE CASE WHEN n > o THEN '+' ELSE '' END || (n - o) || ' (' || CASE WHEN n > o THEN '+' ELSE '' END || format('{{:,.1f}}', 100.0::DOUBLE * (n - o) / o) || ' %)' END AS change,
+  CASE WHEN n > o THEN '+' ELSE '' END || format('{{:.1f}}', (n - o)::DOUBLE) || ' pp' AS points FROM (SELECT category, coalesce(a.n, 0)::BIGINT AS o, coalesce(b.n, 0)::BIGINT AS n FROM ({_COUNT.format('verify_results')}) a FULL JOIN ({_COUNT.format('model_comparison_report')}) b USING (category))""")
 def delta_texts(spark, d):
     old, new = (ST.counts(table(spark, d, t), "category") for t in ("verify_results", "model_comparison_report"))
-    return ST.compare(old, new, "category", "n").select("category", ST.delta_text(F.col("old_value"), F.col("new_value")).alias("change"))
+    return ST.compare(old, new, "category", "n").select("category", ST.delta_text(F.col("old_value"), F.col("new_value")).alias("change"), ST.points_text(F.col("old_value"), F.col("new_value")).alias("points"))
 
 
 @query("split_token_stats", f"""WITH s AS (SELECT pair_id, len({w('instruction')})::BIGINT AS p, len({w('output')})::BIGINT AS r FROM (SELECT DISTINCT pair_id, instruction, output FROM synthetic_sft)),
   t AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('42:' || pair_id), pair_id) <= floor(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM s)
-  SELECT split, count(*)::BIGINT AS n, avg(p)::DOUBLE AS avg_prompt, min(p) AS min_prompt, max(p) AS max_prompt, avg(r)::DOUBLE AS avg_response, max(r) AS max_response FROM t GROUP BY 1""")
+  SELECT split, count(*)::BIGINT AS n, avg(p)::DOUBLE AS avg_prompt, min(p) AS min_prompt, max(p) AS max_prompt, avg(r)::DOUBLE AS avg_response, min(r) AS min_response, max(r) AS max_response FROM t GROUP BY 1""")
 def split_token_stats(spark, d):
     one = SP.head_split(sft(spark, d).dropDuplicates(["pair_id"]), "pair_id").select("split", n_words("instruction").alias("p"), n_words("output").alias("r"))
-    return one.groupBy("split").agg(F.count("*").alias("n"), F.avg("p").alias("avg_prompt"), F.min("p").alias("min_prompt"), F.max("p").alias("max_prompt"), F.avg("r").alias("avg_response"), F.max("r").alias("max_response"))
+    return one.groupBy("split").agg(F.count("*").alias("n"), F.avg("p").alias("avg_prompt"), F.min("p").alias("min_prompt"), F.max("p").alias("max_prompt"), F.avg("r").alias("avg_response"), F.min("r").alias("min_response"), F.max("r").alias("max_response"))
 
 
 @query("symbol_pairs", f"SELECT pair, sum(n)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, length(word)::BIGINT), lambda i: substr(word, i, 2))) AS pair, n FROM {_WORDS}) GROUP BY 1")
@@ -608,4 +650,5 @@ def best_tokenizer(spark, d):
 
 @query("file_digests")
 def file_digests(spark, d):
-    return TK.file_digest(spark, f"{d}/region.parquet").select("sha256", "length")
+    """The digest of every table's files."""
+    return TK.file_digest(spark, f"{d}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256", "length")
\ No newline at end of file

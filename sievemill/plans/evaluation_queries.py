@@ -127,10 +127,14 @@ def score_grouping_sets(spark, d):
     return SC.score_sets(exact_scores(spark, d), ["category", "difficulty", "is_trap"])
 
 
+_RULES = """list_filter([CASE WHEN f > 0 AND h <= 1 THEN {'m': 'confident_fabrication', 's': 'high'} END, CASE WHEN category IN ('temporal_accuracy', 'clinical_trials') AND a < 0.5 THEN {'m': 'outdated_information', 's': 'medium'} END,
+  CASE WHEN a >= 0.2 AND a < 0.5 AND f = 0 THEN {'m': 'plausible_blending', 's': CASE WHEN h = 0 THEN 'high' ELSE 'medium' END} END, CASE WHEN a < 0.3 AND h >= 2 AND f = 0 THEN {'m': 'boundary_confusion', 's': CASE WHEN h >= 3 THEN 'low' ELSE 'medium' END} END,
+  CASE WHEN a >= 0.5 AND h = 0 AND difficulty IN ('hard', 'medium') THEN {'m': 'accurate_but_misleading', 's': CASE WHEN difficulty = 'hard' THEN 'medium' ELSE 'low' END} END], lambda x: x IS NOT NULL)"""
 _TAX = f"""(SELECT *, CASE WHEN NOT coalesce(coherent, true) THEN 'degenerate' WHEN f > 0 AND h <= 1 THEN 'confident_fabrication' WHEN category IN ('temporal_accuracy', 'clinical_trials') AND a < 0.5 THEN 'outdated_information'
   WHEN a >= 0.2 AND a < 0.5 AND f = 0 THEN 'plausible_blending' WHEN a < 0.3 AND h >= 2 AND f = 0 THEN 'boundary_confusion' WHEN a >= 0.5 AND h = 0 AND difficulty IN ('hard', 'medium') THEN 'accurate_but_misleading'
   WHEN a >= 0.5 THEN 'accurate' WHEN a < 0.2 AND tokens_generated < 10 THEN 'degenerate' ELSE 'plausible_blending' END AS primary_mode
-  FROM (SELECT *, n_found::DOUBLE / n_facts AS a, {_hedge_sql('response')} AS h, len(list_distinct(regexp_extract_all(coalesce(response, ''), 'NCT[0-9]{{8}}')))::BIGINT AS f FROM {_FACTS}))"""
+  FROM (SELECT *, {_RULES} AS rules FROM (SELECT *, n_found::DOUBLE / n_facts AS a, {_hedge_sql('response')} AS h, len(list_distinct(regexp_extract_all(coalesce(response, ''), 'NCT[0-9]{{8}}')))::BIGINT AS f FROM {_FACTS})))"""
+_SEVERITY = "CASE WHEN NOT coalesce(coherent, true) THEN 'low' ELSE coalesce(rules[1].s, CASE WHEN a >= 0.5 THEN 'none' WHEN a < 0.2 AND tokens_generated < 10 THEN 'low' ELSE 'medium' END) END"
 
 
 def modes(spark, d):
@@ -143,7 +147,7 @@ def taxonomy_case(spark, d):
     return modes(spark, d).select("result_id", "primary_mode")
 
 
-@query("taxonomy_severity")
+@query("taxonomy_severity", f"SELECT result_id, CASE WHEN coalesce(coherent, true) THEN rules[2].m END AS secondary_mode, {_SEVERITY} AS severity FROM {_TAX}")
 def taxonomy_severity(spark, d):
     return modes(spark, d).select("result_id", "secondary_mode", "severity")
 
@@ -239,11 +243,13 @@ def pattern_exemplars(spark, d):
     return SC.exemplars(items, "sample_id", ["sample_id"], {"all_agree": F.col("n_modes") == 1, "all_differ": F.col("n_modes") >= 3})
 
 
-@query("failure_decomposition", f"""SELECT category, CASE WHEN n_found > 0 THEN 'generation_failure' ELSE 'retrieval_failure' END AS failure, count(*)::BIGINT AS n FROM {_FACTS} WHERE n_found::DOUBLE / n_facts < 0.5 GROUP BY 1, 2
-  UNION ALL SELECT category, CASE WHEN n_found > 0 THEN 'x' END, 0 FROM {_FACTS} WHERE false""")
+_KIND = "CASE WHEN n_found > 0 THEN 'generation_failure' ELSE 'retrieval_failure' END"
+
+
+@query("failure_decomposition", f"SELECT CASE WHEN grouping(c) = 1 THEN '(all)' ELSE c END AS category, CASE WHEN grouping(k) = 1 THEN '(all)' ELSE k END AS failure, count(*)::BIGINT AS n FROM (SELECT coalesce(category, 'unknown') AS c, {_KIND} AS k FROM {_FACTS} WHERE n_found::DOUBLE / n_facts < 0.5) GROUP BY ROLLUP (c, k)")
 def failure_decomposition(spark, d):
-    wrong = exact_scores(spark, d).where("is_correct = 0").select(F.coalesce("category", F.lit("unknown")).alias("category"), "n_found", F.col("category").isNull().alias("no_category"))
-    return SC.decomposition(wrong, "category").where(F.col("category").isNotNull() & F.col("failure").isNotNull()).withColumn("category", F.when(F.col("category") != "unknown", F.col("category")))
+    wrong = exact_scores(spark, d).where("is_correct = 0").select(F.coalesce("category", F.lit("unknown")).alias("category"), "n_found")
+    return SC.decomposition(wrong, "category").select(F.coalesce("category", F.lit("(all)")).alias("category"), F.coalesce("failure", F.lit("(all)")).alias("failure"), "n")
 
 
 @query("sample_rows", f"SELECT q.question_id, r.n::BIGINT AS n_results, m.n::BIGINT AS n_samples FROM eval_questions q LEFT JOIN (SELECT question_id, count(*) AS n FROM {_R} GROUP BY 1) r USING (question_id) LEFT JOIN (SELECT question_id, count(DISTINCT sample_id) AS n FROM model_comparison_report GROUP BY 1) m USING (question_id)")
@@ -253,7 +259,20 @@ def sample_rows(spark, d):
     return SC.sample_rows(questions(spark, d).select("question_id"), [r, m], "question_id")
 
 
-@query("benchmark_rules")
+def _benchmark_sql() -> str:
+    fields = ("question_id", "category", "difficulty", "question", "prompt_template", "verified_answer")
+    expected = "CASE category " + " ".join(f"WHEN '{c}' THEN '{p}'" for c, p in SC.PREFIXES.items()) + " END"
+    checks = [f"CASE WHEN trim(coalesce({c}::VARCHAR, ''), ' ') = '' THEN 'missing_{c}' END" for c in fields] + [
+        "CASE WHEN x = '' THEN 'bad_id' END", f"CASE WHEN x <> '' AND {expected} IS NOT NULL AND x <> {expected} THEN 'prefix_category_mismatch' END", f"CASE WHEN difficulty NOT IN {tuple(SC.DIFFICULTIES)} THEN 'bad_difficulty' END",
+        "CASE WHEN NOT len(key_facts) BETWEEN 3 AND 5 THEN 'key_fact_count' END", f"CASE WHEN source.source_type NOT IN {tuple(SC.SOURCE_TYPES)} THEN 'bad_source_type' END", "CASE WHEN NOT is_trap AND source.corpus_ref IS NULL THEN 'no_corpus_ref' END",
+    ]
+    return f"""SELECT item, error FROM (SELECT question_id AS item, unnest(list_filter([{', '.join(checks)}], lambda e: e IS NOT NULL)) AS error FROM (SELECT *, coalesce(regexp_extract(question_id, '^([A-Z]+)-\\d{{3}}$', 1), '') AS x FROM eval_questions))
+      UNION ALL SELECT question_id, 'duplicate_id' FROM eval_questions GROUP BY 1 HAVING count(*) > 1
+      UNION ALL SELECT min(question_id), 'duplicate_question' FROM eval_questions GROUP BY trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g'), ' ') HAVING count(*) > 1
+      UNION ALL SELECT NULL, 'trap_share' FROM eval_questions HAVING NOT avg(is_trap::INT) BETWEEN 0.1 AND 0.15"""
+
+
+@query("benchmark_rules", _benchmark_sql())
 def benchmark_rules(spark, d):
     return SC.benchmark_errors(questions(spark, d))
 
@@ -309,7 +328,8 @@ def run_summary(spark, d):
     return TL.run_summary(table(spark, d, "events"), "user_id", "event_id", "value")
 
 
-@query("resume_continuity")
+@query("resume_continuity", """WITH m AS (SELECT *, sum((event_type = 'purchase')::INT) OVER (ORDER BY event_id) AS segment, (event_id // 20)::BIGINT AS step FROM events), r AS (SELECT segment, step, arg_max(value, event_id) AS x, arg_min(value, event_id) AS y FROM m WHERE event_type <> 'purchase' GROUP BY 1, 2)
+  SELECT a.segment::BIGINT AS segment, a.step, a.x AS rate_before, b.y AS rate_after, abs(b.y - a.x) / greatest(abs(a.x), 1e-30::DOUBLE) <= 1e-5::DOUBLE AS agrees FROM r a JOIN r b ON b.segment = a.segment + 1 AND b.step = a.step""")
 def resume_continuity(spark, d):
     e = table(spark, d, "events").withColumn("step", F.floor(F.col("event_id") / 20))
     return TL.continuity(e, "event_id", "step", "value", F.col("event_type") == "purchase")
@@ -336,18 +356,26 @@ def duration_projection(spark, d):
     return TL.projection(n, "n", "rate").drop("rate")
 
 
-@query("log_parse", "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, true AS ok FROM events WHERE props IS NOT NULL")
+_LINES = "(SELECT event_id, CASE WHEN props IS NULL THEN '' WHEN event_type = 'purchase' THEN substr(props, 1, length(props) - 1) ELSE props END AS line FROM events)"
+
+
+@query("log_parse", f"SELECT event_id, CASE WHEN json_valid(line) THEN (line::JSON ->> '$.k')::BIGINT END AS k, json_valid(line) AS ok FROM {_LINES} WHERE line <> ''")
 def log_parse(spark, d):
+    """Log lines, those of one type cut in transfer: blank lines are skipped, malformed ones are told."""
     from ..sources.io import parse_lines
 
-    return parse_lines(table(spark, d, "events").where(F.col("props").isNotNull()).select("event_id", "props"), "props", "k long").select("event_id", "k", F.col("_ok").alias("ok"))
+    line = F.when(F.col("props").isNull(), "").when(F.col("event_type") == "purchase", F.substring("props", F.lit(1), F.length("props") - 1)).otherwise(F.col("props"))
+    lines = table(spark, d, "events").select("event_id", line.alias("line")).where("line <> ''")
+    return parse_lines(lines, "line", "k long").select("event_id", "k", F.col("_ok").alias("ok"))
 
 
-@query("complete_models", "SELECT model_tag, count(DISTINCT question_id)::BIGINT AS n_files FROM verify_results WHERE question_id IN ('DRUG-001', 'GENE-001', 'EPI-001') GROUP BY 1 HAVING count(DISTINCT question_id) = 3")
+@query("complete_models", "WITH q AS (SELECT question_id FROM eval_questions) SELECT model_tag, count(DISTINCT question_id)::BIGINT AS n_files FROM verify_results WHERE question_id IN (FROM q) GROUP BY 1 HAVING count(DISTINCT question_id) >= 0.1::DOUBLE * (SELECT count(*) FROM q)")
 def complete_models(spark, d):
-    from ..sources.io import complete_models as complete
-
-    return complete(table(spark, d, "verify_results"), "model_tag", "question_id", ["DRUG-001", "GENE-001", "EPI-001"])
+    """Models that answered at least a tenth of all questions, with how many."""
+    asked = questions(spark, d).select("question_id").distinct()
+    n = asked.count()
+    answered = table(spark, d, "verify_results").join(asked, "question_id", "left_semi")
+    return answered.groupBy("model_tag").agg(F.count_distinct("question_id").alias("n_files")).where(F.col("n_files") >= 0.1 * n)
 
 
 @query("corpus_grounding", f"SELECT pair_id, count(DISTINCT g)::BIGINT AS n_grounded FROM ({_grams('synthetic_sft', 'pair_id', 'output')}) WHERE g IN (SELECT g FROM ({_grams('documents', 'doc_id', 'text')})) GROUP BY 1")
@@ -369,7 +397,7 @@ def context_stats(spark, d):
     return results(spark, d).where("tokens_generated > 0").agg(F.avg("tokens_generated").alias("mean_tokens"), F.max(F.col("tokens_generated").cast("long")).alias("max_tokens"), F.count("*").alias("n"))
 
 
-@query("annotations")
+@query("annotations", f"SELECT result_id, concat_ws('; ', primary_mode || ' (' || {_SEVERITY} || ')', printf('accuracy %.2f', a), CASE WHEN f > 0 THEN f || ' flagged' END) AS note FROM {_TAX}")
 def annotations(spark, d):
     m = modes(spark, d)
     return m.select("result_id", SC.annotation(F.col("primary_mode"), F.col("severity"), F.col("accuracy"), F.col("f")).alias("note"))

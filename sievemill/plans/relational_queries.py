@@ -85,6 +85,20 @@ def event_sessions(spark, d):
     return R.sessions(table(spark, d, "events"), "user_id", "ts", 21_600).groupBy("user_id").agg(F.max("session_no").alias("n_sessions"))
 
 
+@query("cube_totals", "SELECT o_orderpriority, o_orderstatus, grouping(o_orderpriority, o_orderstatus)::BIGINT AS level, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
+def cube_totals(spark, d):
+    g = table(spark, d, "orders").cube("o_orderpriority", "o_orderstatus").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return g.select("o_orderpriority", "o_orderstatus", F.col("level").cast("long").alias("level"), "n", "total")
+
+
+@query("event_times", "SELECT event_id, epoch_us(ts)::BIGINT AS micros, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, epoch(date_trunc('hour', ts))::BIGINT AS hour_seconds, date_diff('day', DATE '2024-01-01', ts::DATE)::BIGINT AS day_no FROM events")
+def event_times(spark, d):
+    """Instants as numbers and text, and read back from their text."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return e.select("event_id", F.unix_micros("ts").alias("micros"), text.alias("text"), F.unix_timestamp(F.date_trunc("hour", F.to_timestamp(text, "yyyy-MM-dd HH:mm:ss"))).alias("hour_seconds"), F.date_diff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))).cast("long").alias("day_no"))
+
+
 @query("approx_distinct")
 def approx_distinct(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("middle"))
@@ -95,14 +109,15 @@ def events_tumbling(spark, d):
     return S.tumbling(table(spark, d, "events")).withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})
 
 
-@query("events_sliding")
+@query("events_sliding", "SELECT time_bucket(INTERVAL 1 DAY, ts) - to_days(k) AS start, event_type, count(*)::BIGINT AS n FROM events, unnest([0, 1]) u(k) WHERE ts IS NOT NULL GROUP BY 1, 2")
 def events_sliding(spark, d):
-    return S.sliding(table(spark, d, "events"))
+    return S.sliding(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("events_session")
+@query("events_session", """WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM f) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*)::BIGINT AS n FROM s GROUP BY user_id, no""")
 def events_session(spark, d):
-    return S.sessions(table(spark, d, "events"))
+    return S.sessions(table(spark, d, "events")).withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
 @query("stream_dedup", "SELECT user_id, event_type, count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day FROM events) GROUP BY 1, 2")
