@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import n_words, occurrences, seeded, sentences, uniform
+from ..functions.words import n_words, occurrences, once, seeded, sentences, uniform
 from .predicates import reference_heavy
 
 # Keywords by topic.
@@ -48,8 +50,8 @@ def passages(df: DataFrame, key: str, text: str, size: int = 400, step: int = 30
     last = F.length(F.col("raw")) - F.instr(F.reverse("raw"), " ")
     open_end = (F.length("t") > 500) & (F.col("start") + size < F.length("t")) & (F.instr("raw", " ") > 0) & (last > size / 2)
     body = F.trim(F.when(open_end, F.substring(F.col("raw"), F.lit(1), last)).otherwise(F.col("raw")))
-    out = cut.withColumn("raw", raw).withColumn("passage", body)
-    on_topic = F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower("passage"), k)) if keywords else F.lit(True)
+    out = once(once(cut, "raw", raw), "passage", body)
+    on_topic = F.lower("passage").rlike("|".join(map(re.escape, keywords))) if keywords else F.lit(True)
     return out.where(on_topic & (F.length("passage") >= least) & (n_words("passage") >= least_words) & ~reference_heavy(F.col("passage"))).select(key, "start", "passage")
 
 

@@ -634,9 +634,9 @@ def symbol_pairs(spark, d):
     return TK.pair_counts(E.word_counts(docs(spark, d), "text"), "word", "n")
 
 
-@query("degraded_terms", f"SELECT word, a, b FROM (SELECT word, ceil(length(word) / 4.0)::BIGINT AS a, (1 + length(word) // 5)::BIGINT AS b FROM {_WORDS}) WHERE b > a")
+@query("degraded_terms", f"SELECT word, a, b FROM (SELECT word, ceil(length(word) / 4.0)::BIGINT AS a, (1 + length(word) // 3)::BIGINT AS b FROM {_WORDS}) WHERE b > a")
 def degraded_terms(spark, d):
-    t = E.word_counts(docs(spark, d), "text").select("word", F.ceil(F.length("word") / 4).alias("a"), (1 + F.floor(F.length("word") / 5)).cast("long").alias("b"))
+    t = E.word_counts(docs(spark, d), "text").select("word", F.ceil(F.length("word") / 4).alias("a"), (1 + F.floor(F.length("word") / 3)).cast("long").alias("b"))
     return TK.degraded(t, "a", "b")
 
 

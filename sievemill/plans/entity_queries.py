@@ -116,11 +116,13 @@ def specific_terms(spark, d):
 
 
 _NOT = _in(E.NOT_CANDIDATES)
-_FOUND_IN = rf"""(SELECT result_id, 'drugs' AS etype, unnest(list_distinct(list_concat(
-    list_filter(regexp_extract_all(t, '\b([\w-]+)\b', 1), lambda x: length(x) BETWEEN 3 AND 30 AND upper(x) NOT IN {_NOT} AND (regexp_matches(x, '^[A-Z][a-z0-9_-]*[a-z][a-z0-9_-]*$') OR regexp_matches(x, '(?i)[\w-](?:{'|'.join(E.CANDIDATE_ENDINGS)})$'))),
-    list_filter(regexp_extract_all(t, '\b([A-Z][a-z]+(?:[ \t\n\r\f]+[A-Z][a-z]+){{1,2}})\b', 1), lambda p: length(p) > 5)))) AS entity FROM (SELECT result_id, coalesce(response, '') AS t FROM {_R})
-  UNION ALL SELECT result_id, 'genes', unnest(list_distinct(list_filter(regexp_extract_all(t, '\b([A-Z][A-Z0-9][A-Za-z0-9-]{{0,8}})\b', 1), lambda g: upper(g) NOT IN {_NOT} AND (regexp_matches(g, '[0-9]') OR upper(g) = g)))) FROM (SELECT result_id, coalesce(response, '') AS t FROM {_R})
-  UNION ALL SELECT result_id, 'trials', unnest(list_distinct(regexp_extract_all(t, '\b(NCT\d{{8}})\b', 1))) FROM (SELECT result_id, coalesce(response, '') AS t FROM {_R}))"""
+_T = f"(SELECT result_id, coalesce(response, '') AS t FROM {_R})"
+_FOUND_IN = f"""(SELECT result_id, 'drugs' AS etype, unnest(list_distinct(list_concat(
+    list_filter(regexp_extract_all(t, '{E.TOKEN}'), lambda x: length(x) BETWEEN 3 AND 30 AND upper(x) NOT IN {_NOT} AND (regexp_matches(x, '{E.CAPITALISED}') OR regexp_matches(x, '{E.ENDING}'))),
+    list_filter(regexp_extract_all(t, '{E.PHRASE}', 1), lambda p: length(p) > 5)))) AS entity FROM {_T}
+  UNION ALL SELECT result_id, 'genes', unnest(list_distinct(list_concat(list_filter(regexp_extract_all(t, '{E.PART}'), lambda g: regexp_matches(g, '{E.GENE_PART}') AND upper(g) NOT IN {_NOT} AND (regexp_matches(g, '[0-9]') OR upper(g) = g)),
+    list_filter(regexp_extract_all(t, '{E.TOKEN}'), lambda g: regexp_matches(g, '{E.GENE_NUMBERED}'))))) FROM {_T}
+  UNION ALL SELECT result_id, 'trials', unnest(list_distinct(list_transform(list_filter(regexp_extract_all(t, '{E.TRIAL}([A-Za-z0-9_]?)'), lambda m: regexp_matches(m, '[0-9]{{8}}$') AND NOT regexp_matches(m, '[0-9]{{9}}$')), lambda m: regexp_extract(m, 'NCT[0-9]{{8}}')))) FROM {_T})"""
 _CANDIDATES = f"""(SELECT c.* FROM {_FOUND_IN} c WHERE NOT EXISTS (SELECT 1 FROM {_NAMES} k WHERE k.name = lower(c.entity) AND k.etype = CASE c.etype WHEN 'drugs' THEN 'genes' WHEN 'genes' THEN 'drugs' END))"""
 
 

@@ -77,7 +77,11 @@ def question_leaks(spark, d):
     return VA.question_leaks(sft, "pair_id", "instruction", "output", questions(spark, d), "question_id", "question", "prompt_template", "verified_answer")
 
 
-@query("trial_candidates", rf"SELECT result_id, unnest(list_distinct(regexp_extract_all(response, '\b(NCT\d{{8}})\b', 1))) AS entity FROM {_R} WHERE response IS NOT NULL")
+def _trials_sql(x: str) -> str:
+    return f"list_distinct(list_transform(list_filter(regexp_extract_all(coalesce({x}, ''), '{E.TRIAL}([A-Za-z0-9_]?)'), lambda m: regexp_matches(m, '[0-9]{{8}}$') AND NOT regexp_matches(m, '[0-9]{{9}}$')), lambda m: regexp_extract(m, 'NCT[0-9]{{8}}')))"
+
+
+@query("trial_candidates", rf"SELECT result_id, unnest({_trials_sql('response')}) AS entity FROM {_R} WHERE response IS NOT NULL")
 def trial_candidates(spark, d):
     return results(spark, d).select("result_id", F.explode(E.trial_candidates(F.col("response"))).alias("entity"))
 
@@ -179,7 +183,7 @@ def capability_gap(spark, d):
 
 
 _TRIALS = f"""(SELECT result_id, count(*)::BIGINT AS n_trials, count(*) FILTER (t NOT IN (SELECT unnest(regexp_extract_all(text, 'NCT[0-9]{{8}}')) FROM documents WHERE text IS NOT NULL))::BIGINT AS n_unknown
-  FROM (SELECT result_id, unnest(list_distinct(regexp_extract_all(coalesce(response, ''), '\\b(NCT[0-9]{{8}})\\b', 1))) AS t FROM {_R}) GROUP BY 1)"""
+  FROM (SELECT result_id, unnest({_trials_sql('response')}) AS t FROM {_R}) GROUP BY 1)"""
 
 
 def trial_flags(spark, d):
@@ -306,10 +310,13 @@ def overfit_class(spark, d):
     return e.groupBy(TL.overfit_class(F.round("gap_ratio", 9)).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("divergence_runs", f"""WITH m AS (SELECT *, coalesce(val_loss > lag(val_loss) OVER w AND train_loss < lag(train_loss) OVER w, false) AS bad, lag(step) OVER w AS before, row_number() OVER w AS r FROM {_EV} WINDOW w AS (PARTITION BY run ORDER BY step)),
+_DV = "(SELECT user_id AS run, event_id AS step, value AS train_loss, 1000 - value AS val_loss FROM events)"
+
+
+@query("divergence_runs", f"""WITH m AS (SELECT *, coalesce(val_loss > lag(val_loss) OVER w AND train_loss < lag(train_loss) OVER w, false) AS bad, lag(step) OVER w AS before, row_number() OVER w AS r FROM {_DV} WINDOW w AS (PARTITION BY run ORDER BY step)),
   i AS (SELECT *, r - row_number() OVER (PARTITION BY run, bad ORDER BY step) AS g FROM m) SELECT run, min(before) AS start_step, max(step) AS end_step, count(*)::BIGINT AS n_steps FROM i WHERE bad GROUP BY run, g HAVING count(*) >= 2""")
 def divergence_runs(spark, d):
-    return TL.divergence(validation(spark, d), "run", "step")
+    return TL.divergence(validation(spark, d).withColumn("val_loss", 1000 - F.col("train_loss")), "run", "step")
 
 
 @query("convergence", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS k FROM {_EV}), p AS (SELECT run, max(val_loss) FILTER (k = 2) AS before, max(val_loss) FILTER (k = 1) AS last FROM r GROUP BY 1) SELECT run, before, last, coalesce((before - last) / nullif(before, 0) > 0.05, false) AS still_improving FROM p")
