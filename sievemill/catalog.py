@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from .plans import corpus_queries, entity_queries, evaluation_queries, relational_queries  # noqa: E402, F401  (they register themselves)
+from .plans import corpus_queries, entity_queries, evaluation_queries, io_queries, relational_queries  # noqa: E402, F401  (they register themselves)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ RAW = "id string, source string, source_category string, title string, text stri
 
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents with file and ord, files that could not be parsed) of a tree of JSON files, one document each."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).select(F.col("value").alias("__json"), F.col("_metadata.file_path").alias("file"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("value").alias("__json"), F.col("_metadata.file_path").alias("file"))
     parsed = parse_lines(files, "__json", RAW)
     return parsed.where("_ok").drop("_ok", "__json").withColumn("ord", F.xxhash64("file")), parsed.where(~F.col("_ok")).select("file")
 
@@ -26,7 +27,7 @@ def read_delimited(spark: SparkSession, path: str, separator: str = SEPARATOR) -
 
 def read_texts(spark: SparkSession, paths: list[str], exclude: list[str] | None = None) -> DataFrame:
     """Whole .txt files of several folders, without the excluded names."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(paths).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"))
+    df = spark.read.option("pathGlobFilter", "*.txt").text(paths, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"))
     return df.where(~F.col("name").isin(exclude)) if exclude else df
 
 
@@ -79,11 +80,12 @@ def write_concatenated(df: DataFrame, path: str, text: str = "text", separator:
     df.select(F.concat(F.col(text), F.lit("\n"), F.lit(separator)).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_rejects(rejects: list[DataFrame], path: str) -> None:
+def write_rejects(rejects: list[DataFrame], path: str, mode: str = "append") -> None:
+    """Rejected rows of all stages as JSON lines, added to what is there."""
     out = rejects[0]
     for r in rejects[1:]:
         out = out.unionByName(r)
-    out.write.mode("overwrite").json(path)
+    out.write.mode(mode).json(path)
 
 
 def write_chunks(chunks: DataFrame, path: str, key: str) -> DataFrame:
@@ -100,9 +102,36 @@ def write_chunks(chunks: DataFrame, path: str, key: str) -> DataFrame:
     return new
 
 
-def write_tokens(df: DataFrame, path: str, ids: str = "ids") -> None:
-    """Token ids as parquet arrays; int because there are no unsigned shorts."""
+def write_tokens(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """Token ids as parquet arrays, int because there are no unsigned shorts; beside them one row of what was written, returned too.
+
+    order_free_hash: the sum of the rows' hashes, which tells two sinks of the same rows apart from others.
+    """
     df.select(F.col(ids).cast("array<int>").alias("ids")).write.mode("overwrite").parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    told = rows.agg(F.count("*").alias("n_rows"), F.sum(F.size("ids").cast("long")).alias("n_tokens"), F.max(F.array_max("ids")).alias("largest_id"), F.sum(F.pmod(F.xxhash64("ids"), F.lit(1 << 32))).alias("order_free_hash"))
+    told.write.mode("overwrite").json(f"{path}-meta")
+    return df.sparkSession.read.schema(told.schema).json(f"{path}-meta")
+
+
+def to_markdown(df: DataFrame, heading: str) -> DataFrame:
+    """A small table, such as statistics, as one Markdown text under a heading; rows in the order of their text."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = f"# {heading}\n\n| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
+    return df.agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("text"))
+
+
+def parse_markdown(texts: DataFrame, heading: str, text: str = "text") -> DataFrame:
+    """Each row of the first table under the heading, as a map from column name to cell."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"row": pd.Series([json.dumps(r) for t in batch[text] if t is not None for r in read_markdown_table(t, heading)], dtype="object")})
+
+    return texts.select(text).mapInPandas(run, "row string").select(F.from_json("row", "map<string,string>").alias("row"))
 
 
 def snapshot(df: DataFrame, path: str, version: str) -> None:

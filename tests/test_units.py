@@ -261,8 +261,12 @@ def test_relational(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": "1", "text": "x"}')
     (tmp_path / "b.json").write_text("{broken")
+    (tmp_path / "d.json").write_text('{\n  "id": "2",\n  "text": "x\\ny"\n}\n')
     good, bad = io.read_documents(spark, str(tmp_path))
-    assert [r["id"] for r in good.collect()] == ["1"] and bad.count() == 1
+    assert sorted(r["id"] for r in good.collect()) == ["1", "2"] and bad.count() == 1
+    (tmp_path / "e.txt").write_text("two\nlines")
+    assert [r["text"] for r in io.read_texts(spark, [str(tmp_path)], []).collect()] == ["two\nlines"]
+    assert io.read_texts(spark, [str(tmp_path)], ["e.txt"]).count() == 0
     (tmp_path / "c.txt").write_text("one\n<|endoftext|>\n two <|endoftext|>\n<|endoftext|>")
     assert [r["text"] for r in io.read_delimited(spark, str(tmp_path / "c.txt")).collect()] == ["one", "two"]
     (tmp_path / "log.jsonl").write_text('{"type": "step", "step": 1}\n\nnot json\n')
