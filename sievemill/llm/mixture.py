@@ -82,9 +82,15 @@ def finish(queues: dict[str, tuple[float, int, int]], tokens: int) -> float:
 
 
 def report(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 20, **columns: str) -> DataFrame:
-    """Per source: its target and actual share of the tokens, rows, most repeats, and whether it came within a tenth of its target."""
+    """Per source: its target and actual share of the tokens, rows, most repeats, and whether it came within a tenth of its target.
+
+    exhausted: every document of the source is in the mixture as often as it may be, so that others take its share.
+    """
+    sized, goal = queued(documents, targets, seed, **columns)
+    held = sized.groupBy("source").agg(F.count("*").alias("n_documents"))
     got = mix(documents, targets, budget, seed, **columns).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_rows"), F.max("repeat_no").alias("most_repeats"))
-    goal = documents.sparkSession.createDataFrame(_targets(targets), _SCHEMA)
-    both = goal.join(got, "source", "left").na.fill(0, ["tokens", "n_rows", "most_repeats"])
-    share = F.col("tokens") / F.greatest(F.sum("tokens").over(Window.partitionBy()), F.lit(1))
-    return both.withColumn("actual_share", share).select("source", "target_share", "actual_share", "max_repeats", "most_repeats", "n_rows", "tokens", (F.abs(F.col("actual_share") - F.col("target_share")) <= 0.1 * F.col("target_share")).alias("met"))
+    both = goal.join(got, "source", "left").join(held, "source", "left").na.fill(0, ["tokens", "n_rows", "most_repeats", "n_documents"])
+    share = F.col("tokens") / F.greatest(F.sum("tokens").over(Window.partitionBy(F.lit(0))), F.lit(1))  # a row per target source
+    met = F.abs(F.col("actual_share") - F.col("target_share")) <= 0.1 * F.col("target_share")
+    told = both.withColumn("actual_share", share)
+    return told.select("source", "target_share", "actual_share", "max_repeats", "most_repeats", "n_documents", "n_rows", "tokens", met.alias("met"), (F.col("n_rows") == F.col("n_documents") * F.col("max_repeats")).alias("exhausted"))

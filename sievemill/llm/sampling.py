@@ -131,11 +131,18 @@ def sample(df: DataFrame, key: str, category: str, targets: DataFrame, share: fl
 
 
 def report(df: DataFrame, key: str, category: str, targets: DataFrame, share: float = 0.5, seed: int = 20) -> DataFrame:
-    """Per category what was asked for, what there is and what was reached; met: the share is within half a row of its target or above a floor that forces it."""
+    """Per category what was asked for, what there is and what was reached, and why a share was missed.
+
+    outcome: met (within one row), shortage (all there is, and less than the target), floor (kept above the target by min_rows),
+    no_target (records of other categories), surplus (takes what others lack) or gives_way (to the floors of others).
+    """
     _, counts = plan(df, key, category, targets, share, seed)
     table = df.sparkSession.createDataFrame(counts, _PLAN)
     size = max(1, sum(c[4] for c in counts))
-    return table.select(
-        "category", "target_share", "min_rows", "available", "sampled", (F.col("sampled") / F.lit(size)).alias("actual_share"),
-        (F.abs(F.col("sampled") - F.col("target_share") * size) <= 1.0).alias("share_met"), (F.col("sampled") >= F.col("min_rows")).alias("floor_met"),
+    goal, n = F.col("target_share") * size, F.col("sampled")
+    met = F.abs(n - goal) <= 1.0
+    outcome = (
+        F.when(met, "met").when((n < goal) & (n == F.col("available")), "shortage").when((n > goal) & (n <= F.col("min_rows")), "floor")
+        .when(F.col("category") == OTHER, "no_target").when(n > goal, "surplus").otherwise("gives_way")
     )
+    return table.select("category", "target_share", "min_rows", "available", "sampled", (n / F.lit(size)).alias("actual_share"), met.alias("share_met"), (n >= F.col("min_rows")).alias("floor_met"), outcome.alias("outcome"))

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 _LONG_SPACE = re.compile(r"\s\s\s|\s\s\Z").search
 #: Words whose encoding a task keeps at most; and the longest that is kept.
 KEPT, KEPT_CHARS = 200_000, 64
+#: Pairs of tokens whose compatibility is kept; when there are as many, all are forgotten.
+PAIRS = 1 << 20
 
 
 def default_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -119,6 +121,8 @@ class Encoder(dict):
                 before, a = a, self.parts[a][1]
             else:
                 before, b = b + 1, self.parts[b][0]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
         self.pairs[left, right] = apart
         return apart
 
