@@ -164,6 +164,13 @@ def mask_pii(text: Column) -> Column:
     return F.regexp_replace(text, r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[IP]")
 
 
+def mask_cards(text: Column) -> Column:
+    """Card numbers as a mark: runs of 13 to 19 figures, with single blanks or hyphens between, whose check digit is right."""
+    runs = F.regexp_extract_all(text, F.lit(r"[0-9](?:[ -]?[0-9]){12,18}"), F.lit(0))
+    cards = F.filter(F.array_distinct(runs), lambda x: F.call_function("luhn_check", F.regexp_replace(x, "[ -]", "")))
+    return F.when(text.isNotNull(), F.aggregate(F.coalesce(cards, F.array().cast("array<string>")), text, lambda t, card: F.replace(t, card, F.lit("[CARD]"))))
+
+
 def canonical_punctuation(text: Column) -> Column:
     for a, b in LIGATURES.items():
         text = F.replace(text, F.lit(a), F.lit(b))
@@ -209,7 +216,8 @@ def clean(df: DataFrame, key: str = "doc_id", strict: bool = False, with_udfs: b
     # branches over one text: each step is computed once, whatever its source
     scientific = F.coalesce(F.col("source_category").isin(SCIENTIFIC_CATEGORIES) | source.isin(SCIENTIFIC_SOURCES), F.lit(False))
     full = once(full, "text", strip_volatile(strip_citations(F.when(scientific, strip_sections(text)).otherwise(text)), strict))
-    full = once(full, "text", F.when(source.isin(TRIAL_SOURCES), strip_trial_status(text)).when(source == "patient_narratives", mask_pii(text)).otherwise(text))
+    full = once(full, "text", F.when(source.isin(TRIAL_SOURCES), strip_trial_status(text)).when(source == "patient_narratives", mask_cards(mask_pii(text))).otherwise(text))
+    full = full.withColumn("title", F.when(source == "patient_narratives", mask_cards(mask_pii(F.col("title")))).otherwise(F.col("title")))
     if with_udfs:
         full = full.withColumn("text", nfc("text"))
     full = once(full, "text", normal_whitespace(rejoin_breaks(canonical_punctuation(text))))

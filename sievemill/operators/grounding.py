@@ -167,13 +167,24 @@ def question_leaks(pairs: DataFrame, key: str, instruction: str, output: str, it
     return found.where(F.col("first").isNotNull()).select(key, F.col("first").alias(item), F.col("first_score").alias("score"))
 
 
-def fact_matches(texts: DataFrame, key: str, text: str, facts: DataFrame, fact: str, on: str, least: float = 80.0) -> DataFrame:
-    """texts x facts of the same item, with score: 100 where the fact stands in the text, else the partial ratio."""
+def fact_matches(texts: DataFrame, key: str, text: str, facts: DataFrame, fact: str, on: str, least: float = 80.0, strict: bool = False) -> DataFrame:
+    """texts x facts of the same item, with score: 100 where the fact stands in the text, else the partial ratio.
+
+    strict: the best over windows of 100 characters, 50 apart, as the original rule has it; a fact that lies across windows is
+    then missed in part.
+    """
     both = texts.select(F.col(key), F.col(on), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t")).join(facts.select(F.col(on), F.col(fact), F.lower(F.col(fact)).alias("__f")), on)
+    if strict:
+        t = F.trim("__t")
+        last = F.greatest(F.ceil((F.length(t) - 100) / 50), F.lit(0)).cast("int")
+        both = both.withColumn("__t", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, i * 50 + 1, F.lit(100)))))
     inside = both.withColumn("__in", F.contains("__t", "__f"))
     hit = inside.where("__in").withColumn("score", F.lit(100.0))
     rest = inside.where("NOT __in").withColumn("score", partial_ratio_80_udf(F.col("__f"), F.col("__t")))
-    return hit.unionByName(rest).select(key, on, fact, F.col("score"), (F.col("score") >= least).alias("found"))
+    scored = hit.unionByName(rest).select(key, on, fact, "score")
+    if strict:
+        scored = scored.groupBy(key, on, fact).agg(F.max("score").alias("score"))
+    return scored.withColumn("found", F.col("score") >= least)
 
 
 def independence(pairs: DataFrame, score: str, total: str, n_items: str) -> DataFrame:

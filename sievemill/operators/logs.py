@@ -44,6 +44,12 @@ def run_summary(df: DataFrame, run: str, step: str, loss: str) -> DataFrame:
     return df.groupBy(run).agg(F.max(step).alias("last_step"), F.max_by(loss, step).alias("last_loss"), F.min(loss).alias("best_loss"), F.min_by(step, F.struct(F.col(loss), F.col(step))).alias("best_step"))
 
 
+def distinct_losses(df: DataFrame, run: str, step: str, loss: str, apart: float = 1e-8) -> DataFrame:
+    """run, step and loss of the rows whose loss differs by apart or more from that of the step before: repeated log lines count once."""
+    before = F.lag(loss).over(Window.partitionBy(run).orderBy(step))
+    return df.where(F.col(loss).isNotNull()).withColumn("__b", before).where(F.col("__b").isNull() | (F.abs(F.col(loss) - F.col("__b")) >= apart)).select(run, step, loss)
+
+
 def continuity(df: DataFrame, order: str, step: str, rate: str, is_resume: Column, tolerance: float = 1e-5) -> DataFrame:
     """Steps logged before and again after a resume, and whether their rates agree. Segments come from sums over ranges of order."""
     g = F.floor(F.col(order) / 10_000)

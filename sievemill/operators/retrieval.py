@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -25,9 +27,14 @@ def overlap_size(size: int) -> int:
     return max(10, int(0.1 * size))
 
 
-def pack_units(text: str, most: int, separator: str = "\n\n") -> list[str]:
-    """Paragraphs packed greedily up to most words; a longer paragraph goes sentence by sentence, a longer sentence stays whole."""
-    import re
+def count_words(text: str) -> int:
+    return len(text.split())
+
+
+def pack_units(text: str, most: int, separator: str = "\n\n", count: Callable[[str], int] = count_words) -> list[str]:
+    """Paragraphs packed greedily up to most tokens, separators included; a longer paragraph goes sentence by sentence, a longer
+    sentence stays whole. count: tokens of a text, by default its words."""
+    between, blank = count(separator), count(" ")
 
     out: list[str] = []
     held: list[str] = []
@@ -43,37 +50,37 @@ def pack_units(text: str, most: int, separator: str = "\n\n") -> list[str]:
     for paragraph in (p.strip() for p in text.split(separator)):
         if not paragraph:
             continue
-        size = len(paragraph.split())
+        size = count(paragraph)
         if size > most:
             flush()
             group: list[str] = []
             m = 0
             for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
-                k = len(sentence.split())
-                if group and m + k > most:
+                k = count(sentence)
+                if group and m + blank + k > most:
                     out.append(" ".join(group))
                     group, m = [], 0
+                m += k + (blank if group else 0)
                 group.append(sentence)
-                m += k
             held.append(" ".join(group))  # the last group opens the next chunk
             n = m
             continue
-        if held and n + size > most:
+        if held and n + between + size > most:
             flush()
+        n += size + (between if held else 0)
         held.append(paragraph)
-        n += size
     flush()
     return out
 
 
-def chunk(df: DataFrame, key: str, text: str, most: int = 200, separator: str = "\n\n") -> DataFrame:
-    """key, chunk_index, total_chunks, chunk and n_tokens; null and blank texts have no chunks."""
+def chunk(df: DataFrame, key: str, text: str, most: int = 200, separator: str = "\n\n", count: Callable[[str], int] = count_words) -> DataFrame:
+    """key, chunk_index, total_chunks, chunk and n_tokens; null and blank texts have no chunks. count: a tokenizer's count."""
     if most <= 0:
         raise ValueError("most must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, i, len(parts), p, len(p.split())) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for parts in [pack_units(t, most, separator)] for i, p in enumerate(parts)]
+            rows = [(k, i, len(parts), p, count(p)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for parts in [pack_units(t, most, separator, count)] for i, p in enumerate(parts)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int32(), pa.string(), pa.int64()), strict=True))], names=[key, "chunk_index", "total_chunks", "chunk", "n_tokens"])
 
@@ -118,12 +125,26 @@ def missing(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return expected.join(found, key, "left_anti")
 
 
-def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 2_000) -> DataFrame:
-    """The k nearest by cosine of each query, exactly; a query is not its own neighbour; ties by key.
+def _best(score: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest scores of each row, ties by own: only what reaches the k-th score is sorted."""
+    low = np.round(score, 9)
+    least = np.partition(low, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+    row, column = np.nonzero((low >= least[:, None]) & np.isfinite(low))
+    order = np.lexsort((own[column], -low[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 2_000, metric: str = "cosine") -> DataFrame:
+    """The k nearest of each query, exactly; a query is not its own neighbour; ties by key.
 
-    Queries go to all rows in blocks of bounded size; each task keeps k per query of its rows, so only these are shuffled.
-    Null and zero vectors have no neighbours.
+    metric: cosine (score is the similarity) or l2 (score is the distance, negative). Queries go to all rows in blocks of
+    bounded size; each task keeps k per query of a batch, so only these are shuffled. Null vectors, and by cosine zero ones,
+    have no neighbours.
     """
+    if metric not in ("cosine", "l2"):
+        raise ValueError(f"unknown metric {metric}")
     spark = base.sparkSession
     rows = base.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
@@ -137,20 +158,22 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
+            size = np.linalg.norm(q, axis=1)
             for batch in batches:
                 own = batch.column("id").to_numpy()
                 if not len(own):
                     continue
                 v = np.stack([np.asarray(x, np.float64) for x in batch.column("v").to_pylist()])
                 norm = np.linalg.norm(v, axis=1)
-                score = q @ (v / np.maximum(norm, 1e-30)[:, None]).T
-                score[:, norm == 0] = -np.inf
+                score = q @ v.T
+                if metric == "cosine":
+                    score /= np.maximum(size, 1e-30)[:, None] * np.maximum(norm, 1e-30)[None, :]
+                    score[:, norm == 0] = score[size == 0] = -np.inf
+                else:
+                    score = -np.sqrt(np.maximum(size[:, None] ** 2 + norm[None, :] ** 2 - 2 * score, 0.0))
                 score[ids[:, None] == own[None, :]] = -np.inf
-                best = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                s = np.take_along_axis(score, best, 1)
-                keep = np.isfinite(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])[keep.ravel()]), pa.array(own[best].ravel()[keep.ravel()]), pa.array(s.ravel()[keep.ravel()])], names=["query", "neighbour", "score"])
+                row, column = _best(score, own, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[column]), pa.array(score[row, column])], names=["query", "neighbour", "score"])
 
         here = rows.mapInArrow(run, "query long, neighbour long, score double")
         out = here if out is None else out.unionByName(here)
@@ -171,6 +194,23 @@ def context_block(chunks: Column) -> Column:
     return F.array_join(F.transform(chunks, lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), c)), "\n\n")
 
 
+# Prompts with retrieved passages.
+TEMPLATES = {
+    "context_only": 'Context:\n{context_block}\n\nUsing only the context above, answer the following question. If the answer is not found in the context, say "Not found in context."\nQuestion: {question}',
+    "combined": "Context:\n{context_block}\n\nUsing the context above and your own knowledge, answer the following question.\nQuestion: {question}",
+}
+
+
+def context_prompt(block: Column, question: Column, template: str = "combined") -> Column:
+    """The prompt of a template by name, or of one's own, which must hold both {context_block} and {question}; nulls are empty."""
+    text = TEMPLATES.get(template, template)
+    if "{context_block}" not in text or "{question}" not in text:
+        raise ValueError("a template needs {context_block} and {question}")
+    parts = re.split(r"(\{context_block\}|\{question\})", text)
+    values = {"{context_block}": F.coalesce(block, F.lit("")), "{question}": F.coalesce(question, F.lit(""))}
+    return F.concat(*[values[x] if x in values else F.lit(x) for x in parts if x])
+
+
 def sweep(spark, sizes: list[int], tops: list[int], models: list[str]) -> DataFrame:
     """All settings of a configuration sweep: three short lists."""
     return spark.createDataFrame(list(product(sizes, tops, models)), "chunk_size int, top_k int, model string")

@@ -143,6 +143,16 @@ def exemplars(df: DataFrame, key: str, order: list[str], predicates: dict[str, C
     return df.select(key, *[c for c in order if c != key], F.explode(marks).alias("pattern")).groupBy("pattern").agg(F.min_by(key, F.struct(*order)).alias(key))
 
 
+def exemplar_rows(df: DataFrame, key: str, order: list[str], predicates: dict[str, Column], n: int) -> DataFrame:
+    """n rows (key and pattern): the first that fits each pattern, in the patterns' order and no row twice, then the first others with no pattern."""
+    place = {name: i for i, name in enumerate(predicates)}
+    rank = F.coalesce(*[F.when(F.col("pattern") == name, i) for name, i in place.items()])
+    once = exemplars(df, key, order, predicates).groupBy(key).agg(F.min_by("pattern", rank).alias("pattern"))  # a row per pattern at most
+    chosen = once.withColumn("__p", rank).orderBy("__p").limit(n)
+    rest = df.select(key, *[c for c in order if c != key]).join(chosen.select(key), key, "left_anti").orderBy(*order).limit(n).select(key, F.lit(None).cast("string").alias("pattern"), F.lit(len(place)).alias("__p"))
+    return chosen.unionByName(rest).orderBy("__p", key).limit(n).drop("__p")
+
+
 def fabrication_of_coherent(rows: DataFrame, looked: DataFrame, key: str) -> DataFrame:
     """Fabrication rate over coherent responses; unknown coherence counts as coherent."""
     ok = rows.where(F.coalesce("is_coherent", F.lit(True))).select(key)

@@ -194,6 +194,18 @@ def pii_mask(spark, d):
     return digest(docs(spark, d), C.mask_pii(F.col("text")))
 
 
+_DIGITS = "regexp_replace(x, '[ -]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN substr({_DIGITS}, i, 1)::INT ELSE (2 * substr({_DIGITS}, i, 1)::INT) // 10 + (2 * substr({_DIGITS}, i, 1)::INT) % 10 END)) % 10 = 0"
+_NUMBERS = "regexp_replace(md5(ext_id || title), '[^0-9]', '', 'g')"
+
+
+@query("card_marks", f"SELECT doc_id, list_reduce(list_prepend(t, list_filter(list_distinct(regexp_extract_all(t, '[0-9](?:[ -]?[0-9]){{12,18}}')), lambda x: {_LUHN})), lambda a, card: replace(a, card, '[CARD]')) AS masked FROM (SELECT doc_id, 'no ' || {_NUMBERS} || ' or 4111 1111 1111 1111' AS t FROM documents)")
+def card_marks(spark, d):
+    """Card numbers masked in a text made of the figures of a digest and a valid number."""
+    t = F.concat(F.lit("no "), F.regexp_replace(F.md5(F.concat("ext_id", "title")), "[^0-9]", ""), F.lit(" or 4111 1111 1111 1111"))
+    return docs(spark, d).select("doc_id", C.mask_cards(t).alias("masked"))
+
+
 @query("english_gate", f"SELECT doc_id, coalesce(list_has_any(list_transform({w('text')}[1:200], lambda x: lower(x)), ['the', 'and', 'of', 'in']), false) AS is_english FROM documents")
 def english_gate(spark, d):
     return docs(spark, d).select("doc_id", C.looks_english(F.col("text")).alias("is_english"))
@@ -485,6 +497,23 @@ def context_block(spark, d):
     return chunks.groupBy("doc_id").agg(F.sha2(RG.context_block(ordered), 256).alias("digest"))
 
 
+def _prompt_sql(name: str) -> str:
+    a, b, c = re.split(r"\{context_block\}|\{question\}", RG.TEMPLATES[name].replace("'", "''"))
+    return f"'{a}' || coalesce(text, '') || '{b}' || coalesce(title, '') || '{c}'"
+
+
+@query("context_prompts", f"SELECT doc_id, sha256({_prompt_sql('context_only')}) AS strict_prompt, sha256({_prompt_sql('combined')}) AS free_prompt FROM documents")
+def context_prompts(spark, d):
+    """The two prompts with a document as context and its title as question."""
+    made = [F.sha2(RG.context_prompt(F.col("text"), F.col("title"), t), 256) for t in ("context_only", "combined")]
+    return docs(spark, d).select("doc_id", made[0].alias("strict_prompt"), made[1].alias("free_prompt"))
+
+
+@query("paragraph_counts", "SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda p: trim(p, ' ') <> ''))::BIGINT AS n_paragraphs FROM documents")
+def paragraph_counts(spark, d):
+    return docs(spark, d).select("doc_id", F.size(RG.paragraphs(F.col("text"))).cast("long").alias("n_paragraphs"))
+
+
 @query("path_metadata", r"""SELECT ext_id, CASE WHEN nullif(regexp_extract(p, '(PMC\d+)', 1), '') IS NOT NULL THEN regexp_extract(p, '(PMC\d+)', 1) WHEN regexp_extract(p, '(NCT\d{8})', 1) <> '' THEN regexp_extract(p, '(NCT\d{8})', 1)
   WHEN regexp_extract(p, '(PMID_?\d+)', 1) <> '' THEN regexp_extract(p, '(PMID_?\d+)', 1) WHEN regexp_extract(p, '([a-z]+_\d+)', 1) <> '' THEN regexp_extract(p, '([a-z]+_\d+)', 1) ELSE regexp_extract(p, '([^/]+?)(?:\.[^./]*)?$', 1) END AS document,
   coalesce(CASE WHEN contains(p, '/pubmed_abstracts/') THEN 'pubmed_abstracts' WHEN contains(p, '/clinical_trials/') THEN 'clinical_trials' WHEN contains(p, '/wikipedia/') THEN 'wikipedia' WHEN contains(p, '/patient_narratives/') THEN 'patient_narratives' WHEN contains(p, '/fda_labels/') THEN 'fda_labels' END, 'unknown') AS kind
@@ -517,6 +546,13 @@ def knn_cosine(spark, d):
     return RG.nearest(e, e.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 10).select("query", "neighbour", F.round("score", 6).alias("score"), "rank")
 
 
+@query("knn_l2", """WITH p AS (SELECT q.vec_id AS query, b.vec_id AS neighbour, list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9), neighbour) AS rank FROM p) SELECT query, neighbour, round(s, 5) AS distance, rank::INT AS rank FROM r WHERE rank <= 10""")
+def knn_l2(spark, d):
+    e = table(spark, d, "embeddings")
+    return RG.nearest(e, e.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 10, metric="l2").select("query", "neighbour", F.round(-F.col("score"), 5).alias("distance"), "rank")
+
+
 @query("knn_label_vote", _KNN + " , v AS (SELECT query, label, count(*) AS n FROM r WHERE rank <= 10 GROUP BY 1, 2) SELECT query, label, n::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, label) AS k FROM v) WHERE k = 1")
 def knn_label_vote(spark, d):
     e = table(spark, d, "embeddings")

@@ -125,6 +125,13 @@ def fuzzy_fact_scores(spark, d):
     return SC.question_scores(results(spark, d).select("result_id", "question_id", "response"), "result_id", "response", facts(spark, d), "question_id", "fact").select("result_id", "n_facts", "n_found", "accuracy", "is_correct")
 
 
+@query("fuzzy_window_scores")
+def fuzzy_window_scores(spark, d):
+    """Key facts by windows of the answers, as the original rule has it."""
+    told = VA.fact_matches(results(spark, d).select("result_id", "question_id", "response"), "result_id", "response", facts(spark, d), "fact", "question_id", strict=True)
+    return told.groupBy("result_id").agg(F.count("*").alias("n_facts"), F.count_if("found").alias("n_found"))
+
+
 @query("score_grouping_sets", f"""SELECT category, difficulty, is_trap, grouping(category, difficulty, is_trap)::BIGINT AS level, count(*)::BIGINT AS n, avg(a) AS mean_accuracy, median(a) AS median_accuracy, sum((a >= 0.5)::INT)::BIGINT AS n_correct
   FROM (SELECT *, n_found::DOUBLE / n_facts AS a FROM {_FACTS}) GROUP BY GROUPING SETS ((), (category), (difficulty), (is_trap))""")
 def score_grouping_sets(spark, d):
@@ -250,6 +257,13 @@ def pattern_exemplars(spark, d):
 _KIND = "CASE WHEN n_found > 0 THEN 'generation_failure' ELSE 'retrieval_failure' END"
 
 
+@query("pattern_rows", f"""WITH p AS (SELECT 'all_agree' AS pattern, 0 AS o, min(sample_id) AS sample_id FROM {_C} WHERE n_modes = 1 HAVING count(*) > 0 UNION ALL SELECT 'all_differ', 1, min(sample_id) FROM {_C} WHERE n_modes >= 3 HAVING count(*) > 0 UNION ALL SELECT 'any', 2, min(sample_id) FROM {_C} HAVING count(*) > 0),
+  c AS (SELECT sample_id, arg_min(pattern, o) AS pattern, min(o) AS o FROM p GROUP BY 1), r AS (SELECT sample_id, NULL::VARCHAR AS pattern, 3 AS o FROM (SELECT DISTINCT sample_id FROM {_C}) WHERE sample_id NOT IN (SELECT sample_id FROM c)) SELECT sample_id, pattern FROM (SELECT * FROM c UNION ALL SELECT * FROM r) ORDER BY o, sample_id LIMIT 5""")
+def pattern_rows(spark, d):
+    items = long_report(spark, d).groupBy("sample_id", "category").agg(F.count_distinct("mode").alias("n_modes"))
+    return SC.exemplar_rows(items, "sample_id", ["sample_id"], {"all_agree": F.col("n_modes") == 1, "all_differ": F.col("n_modes") >= 3, "any": F.lit(True)}, 5)
+
+
 @query("failure_decomposition", f"SELECT CASE WHEN grouping(c) = 1 THEN '(all)' ELSE c END AS category, CASE WHEN grouping(k) = 1 THEN '(all)' ELSE k END AS failure, count(*)::BIGINT AS n FROM (SELECT coalesce(category, 'unknown') AS c, {_KIND} AS k FROM {_FACTS} WHERE n_found::DOUBLE / n_facts < 0.5) GROUP BY ROLLUP (c, k)")
 def failure_decomposition(spark, d):
     wrong = exact_scores(spark, d).where("is_correct = 0").select(F.coalesce("category", F.lit("unknown")).alias("category"), "n_found")
@@ -313,6 +327,17 @@ def overfit_class(spark, d):
 _DV = "(SELECT user_id AS run, event_id AS step, value AS train_loss, 1000 - value AS val_loss FROM events)"
 
 
+@query("log_perplexities", f"SELECT step, run, least(exp(train_loss), 1e5::DOUBLE) AS train_perplexity, least(exp(val_loss), 1e5::DOUBLE) AS val_perplexity, val_loss - train_loss AS gap FROM {_EV}")
+def log_perplexities(spark, d):
+    return TL.enriched(validation(spark, d)).select("step", "run", "train_perplexity", "val_perplexity", "gap")
+
+
+@query("loss_changes", "SELECT user_id, count(*)::BIGINT AS n FROM (SELECT user_id, round(value) AS v, lag(round(value)) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events WHERE value IS NOT NULL) WHERE b IS NULL OR abs(v - b) >= 1e-8 GROUP BY 1")
+def loss_changes(spark, d):
+    rounded = table(spark, d, "events").select("user_id", "event_id", F.round("value").alias("loss"))
+    return TL.distinct_losses(rounded, "user_id", "event_id", "loss").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 @query("divergence_runs", f"""WITH m AS (SELECT *, coalesce(val_loss > lag(val_loss) OVER w AND train_loss < lag(train_loss) OVER w, false) AS bad, lag(step) OVER w AS before, row_number() OVER w AS r FROM {_DV} WINDOW w AS (PARTITION BY run ORDER BY step)),
   i AS (SELECT *, r - row_number() OVER (PARTITION BY run, bad ORDER BY step) AS g FROM m) SELECT run, min(before) AS start_step, max(step) AS end_step, count(*)::BIGINT AS n_steps FROM i WHERE bad GROUP BY run, g HAVING count(*) >= 2""")
 def divergence_runs(spark, d):

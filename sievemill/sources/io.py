@@ -71,7 +71,11 @@ def safe_id(column: Column) -> Column:
     return F.regexp_replace(column, r"[^a-zA-Z0-9_\-.]", "_")
 
 
-def write_documents(df: DataFrame, path: str, directory: str) -> None:
+def write_documents(df: DataFrame, path: str, directory: str, folders: dict[str, str] | None = None) -> None:
+    """One folder per value of the column directory; folders: names of folders by value, others keep theirs."""
+    if folders:
+        mapped = F.coalesce(*[F.when(F.col(directory) == k, F.lit(v)) for k, v in folders.items()], F.col(directory))
+        df = df.withColumn(directory, mapped)
     df.write.mode("overwrite").partitionBy(directory).parquet(path)
 
 
