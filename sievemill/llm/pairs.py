@@ -229,12 +229,13 @@ def is_refusal(answer: str) -> bool:
     return refused
 
 
-_PEOPLE = {"patients", "panel", "people", "study", "participants", "caregivers", "carriers", "board", "trial", "clinic", "families", "committee", "although"}
+# Words for the speaker, the reader and the request; a sentence without any of them reports what others did.
+_SPEAKERS = set("i we me us my our you your this that here request requests question questions topic assistant model bot system policy policies guidelines instructions rules programming answer reply response comment advice sorry ich wir je nous yo lo no não non leider dazu darauf".split())
 
 
 def _reports(words: list[str]) -> bool:
     """A sentence about what others could not do."""
-    return words[0] in {"patients", "people", "participants", "although", "most", "many", "several"} or (len(words) > 1 and words[0] in {"the", "a", "some"} and words[1] in _PEOPLE)
+    return _SPEAKERS.isdisjoint(words)
 
 
 @lru_cache(maxsize=4096)
