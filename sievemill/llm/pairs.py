@@ -91,17 +91,17 @@ SENTENCE = re.compile(r"[^.!?;。]+[.!?;。]*")
 # Frequent small words by language, and the scripts that name a language by themselves.
 FUNCTION_WORDS = {
     "en": "the of and in to a is was that for with as by on are were from at be this which or an had it not have after but than their before has who what how when why does do would should can could may about between into during without you your my they we there its his her these most only such more if next within any all also no yes will explain describe list compare tell give true false outline summarise summarize name state define discuss",
-    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn wer was wie warum welche welcher ich wir unter bevor nahm meist durch gegen während wochen monaten jahren personen fällen etwa innerhalb",
-    "fr": "le la les de des du et en un une est que qui dans pour pas sur plus par au aux avec ce il sont se ne ou mais comme été être cette son ses leur ont nous vous je elle à a d l s chez après avant selon environ malgré mois ans jour jours semaines vers lors autour chaque quel quelle quels comment pourquoi où puis souvent afin sans sous",
-    "es": "el la los las de del y en un una que es por con para no se lo al como más su sus o pero ha fue son entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante según tras qué cómo cuál cuándo antes cada meses años semanas días personas pacientes casos este esta unos les ser años al",
-    "it": "il lo la i gli le di del della dei delle da dal in nel nella un una che è e per con non si su al alla come più ma sono ha anche dopo prima ogni questo questa tra fra chi cosa quando perché quale ore secondo sotto se nei dalla dal ai sono stati mesi anni settimane persone casi nonostante intorno fino",
-    "pt": "o a os as de do da dos das e em no na nos nas um uma que é por com para não se ao à como mais foi são mas seu sua entre quando muito sem até também pelo pela ou já após antes cada segundo foram durante meses anos semanas dias pessoas casos apesar quem qual quais porque sobre depois dizem",
-    "nl": "de het een en van in op te dat die is voor met zijn niet aan er om ook als bij door naar uit nog maar werd worden heeft hebben was over tot per na wie wat hoe waarom welke wanneer aldus volgens tegen tijdens maanden weken mensen jaar ondanks meer minder dan deze dit waren jaar werden kan",
+    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn wer was wie warum welche welcher ich wir unter bevor nahm meist durch gegen während etwa innerhalb",
+    "fr": "le la les de des du et en un une est que qui dans pour pas sur plus par au aux avec ce il sont se ne ou mais comme été être cette son ses leur ont nous vous je elle à a d l s chez après avant selon environ malgré vers lors autour chaque quel quelle quels comment pourquoi où puis souvent afin sans sous",
+    "es": "el la los las de del y en un una que es por con para no se lo al como más su sus o pero ha fue son entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante según tras qué cómo cuál cuándo antes cada este esta unos les ser al",
+    "it": "il lo la i gli le di del della dei delle da dal in nel nella un una che è e per con non si su al alla come più ma sono ha anche dopo prima ogni questo questa tra fra chi cosa quando perché quale secondo sotto se nei dalla dal ai sono stati nonostante intorno fino",
+    "pt": "o a os as de do da dos das e em no na nos nas um uma que é por com para não se ao à como mais foi são mas seu sua entre quando muito sem até também pelo pela ou já após antes cada segundo foram durante apesar quem qual quais porque sobre depois dizem",
+    "nl": "de het een en van in op te dat die is voor met zijn niet aan er om ook als bij door naar uit nog maar werd worden heeft hebben was over tot per na wie wat hoe waarom welke wanneer aldus volgens tegen tijdens ondanks meer minder dan deze dit waren werden kan",
     "sv": "och i att det som en på är av för med till den har de inte om ett var men sig från vid när kan efter under hur vad vilka eller så",
     "da": "og i at det som en på er af for med til den har de ikke om et var men sig fra ved når kan efter under hvordan hvad eller så",
     "no": "og i å det som en på er av for med til den har de ikke om et var men seg fra ved når kan etter under hvordan hva eller så",
-    "pl": "w i na z się nie do to że o jak za od po przez jest dla przy są co po ale oraz czy był była który która które lub ma u roku",
-    "tr": "ve bir bu da de için ile olarak olan daha çok gibi sonra kadar göre en ne mi hasta yıl her ya",
+    "pl": "w i na z się nie do to że o jak za od po przez jest dla przy są co po ale oraz czy był była który która które lub ma u",
+    "tr": "ve bir bu da de için ile olarak olan daha çok gibi sonra kadar göre en ne mi her ya",
     "ro": "și în de la cu pe un o este nu se din că pentru mai ale ai a au sau după fost prin sunt cei cele",
     "cs": "a v na se je že o s z do i ve k pro za by po od jako který která které nebo při byl byla jsou",
     "fi": "ja on ei se että oli hän mutta kun ovat joka tai niin kuin myös vain noin jälkeen ennen mukaan",
