@@ -239,3 +239,9 @@ def survival(before: DataFrame, after: DataFrame, key: str, text: str = "text")
     found = [F.when(F.col("raw").rlike(rf"(?i)\b(?:{v})\b"), F.struct(F.lit(n).alias("term"), F.contains("clean", F.lit(n)).alias("there"))) for n, _, v in ABBREVIATIONS]
     hits = both.select(F.explode(F.array_compact(F.array(*found))).alias("x"))
     return hits.groupBy("x.term").agg(F.count("*").alias("n_checked"), F.sum(F.col("x.there").cast("long")).alias("n_survived"))
+
+
+def survival_verdict(survived: DataFrame) -> DataFrame:
+    """verdict over the rows of survival: 0 if every term survived, 1 if one was lost, 2 if no record had any term to check."""
+    lost, checked = F.sum(F.col("n_checked") - F.col("n_survived")), F.coalesce(F.sum("n_checked"), F.lit(0))
+    return survived.agg(checked.alias("n_checked"), F.coalesce(lost, F.lit(0)).alias("n_lost"), F.when(checked == 0, 2).when(lost > 0, 1).otherwise(0).alias("verdict"))

@@ -63,6 +63,23 @@ def continuity(df: DataFrame, order: str, step: str, rate: str, is_resume: Colum
     return a.join(b, ["segment", step]).withColumn("agrees", off <= tolerance)
 
 
+def continuity_across(df: DataFrame, order: str, rate: str, is_resume: Column, tolerance: float = 0.10) -> DataFrame:
+    """Each resume with the last rate before it and the first after it, and whether they agree within the wider tolerance, for logs
+    that repeat no step. Rows are cut into ranges of order, so that no log is sorted in one task."""
+    g = F.floor(F.col(order) / 10_000)
+    rows = df.select(F.col(order).alias("o"), F.col(rate).alias("r"), is_resume.alias("m"), g.alias("g"))
+    w = Window.partitionBy("g").orderBy("o")
+    at = F.when(~F.col("m"), F.struct("o", "r"))
+    near = rows.withColumn("before", F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first(at, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # a range's own ends, for resumes at the edge of one: as many rows as there are ranges
+    ends = rows.where("NOT m").groupBy("g").agg(F.max(F.struct("o", "r")).alias("last"), F.min(F.struct("o", "r")).alias("first"))
+    v = Window.partitionBy(F.lit(0)).orderBy("g")
+    beside = rows.select("g").distinct().join(ends, "g", "left").select("g", F.last("last", True).over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", True).over(v.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    told = near.where("m").join(beside, "g").select(F.col("o").alias(order), F.coalesce("before", "earlier")["r"].alias("rate_before"), F.coalesce("after", "later")["r"].alias("rate_after"))
+    off = F.when(F.col("rate_before") == 0, F.abs("rate_after")).otherwise(F.abs(F.col("rate_after") - F.col("rate_before")) / F.abs("rate_before"))
+    return told.withColumn("agrees", F.coalesce(off <= tolerance, F.lit(False)))
+
+
 def coverage(df: DataFrame, columns: list[str], least: float = 0.9) -> DataFrame:
     """Share of rows in which each field is there."""
     one = df.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in columns])

@@ -77,10 +77,28 @@ def drafts(df: DataFrame, key: str, text: str, seed: int = 42, limit: int | None
     return out.orderBy(seeded(seed, key), key).limit(limit) if limit is not None else out
 
 
-def quality(df: DataFrame, category: str, output: str, target: int = 250, thin: int = 50) -> DataFrame:
+# Abbreviations whose stop ends no sentence.
+ABBREVIATIONS = ["Dr.", "Mr.", "Ms.", "Mrs.", "Prof.", "Jr.", "Sr.", "vs.", "et al.", "e.g.", "i.e.", "Fig.", "No.", "Vol."]
+
+
+def n_sentences(text: Column) -> Column:
+    """Sentences by stops before white space, those of abbreviations not counted; at least one."""
+    safe = F.coalesce(text, F.lit(""))
+    for x in ABBREVIATIONS:
+        safe = F.replace(safe, F.lit(x), F.lit(x.replace(".", "\u0002")))
+    return F.greatest(F.size(F.filter(F.split(F.regexp_replace(safe, r"[.][ \t\n\r\f]+", "\u0001"), "\u0001"), lambda s: F.trim(s) != "")), F.lit(1)).cast("long")
+
+
+def quality(df: DataFrame, category: Column, output: Column, target: int = 250, thin: int = 50) -> DataFrame:
     """Per category: pairs, shortfall against the target, thinness, and words and sentences of the outputs."""
-    rows = df.select(F.coalesce(category, F.lit("unknown")).alias("category"), n_words(output).alias("w"), F.size(sentences(F.coalesce(output, F.lit("")))).cast("long").alias("s"))
+    rows = df.select(F.coalesce(category, F.lit("unknown")).alias("category"), n_words(output).alias("w"), n_sentences(output).alias("s"))
     return rows.groupBy("category").agg(
         F.count("*").alias("n_pairs"), F.greatest(F.lit(target) - F.count("*"), F.lit(0)).alias("shortfall"), (F.count("*") < thin).alias("is_thin"),
         F.sum("w").alias("n_words"), F.min("w").alias("min_words"), F.max("w").alias("max_words"), F.sum("s").alias("n_sentences"),
     )
+
+
+def type_shares(df: DataFrame, kind: Column) -> DataFrame:
+    """Pairs by question type, and their percentage with one decimal."""
+    one = df.groupBy(F.coalesce(kind, F.lit("unknown")).alias("question_type")).agg(F.count("*").alias("n"))
+    return one.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 1))  # a row per type

@@ -11,6 +11,13 @@ def win_loss(counts: DataFrame, a: str, b: str) -> DataFrame:
     return counts.withColumn("winner", F.when(F.col(a) < F.col(b), "a").when(F.col(a) > F.col(b), "b").otherwise("tie"))
 
 
+def largest_differences(counts: DataFrame, name: str, a: str, b: str, k: int = 10) -> DataFrame:
+    """The k terms each side wins most tokens on: winner, term and how many it saves; ties by term."""
+    saved = win_loss(counts, a, b).where("winner <> 'tie'").withColumn("saved", F.abs(F.col(a) - F.col(b)))
+    parts = [saved.where(F.col("winner") == side).orderBy(F.desc("saved"), name).limit(k) for side in ("a", "b")]
+    return parts[0].unionByName(parts[1]).select("winner", name, "saved")
+
+
 def ratios(df: DataFrame, tokens: str, words: str, chars: str) -> DataFrame:
     return df.agg((F.sum(tokens) / F.sum(words)).alias("fertility"), (F.sum(chars) / F.sum(tokens)).alias("compression"))
 
@@ -23,9 +30,12 @@ def degraded(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.where(F.col(new) > F.col(old))
 
 
-def winner(df: DataFrame, name: str, single: str, mean: str) -> DataFrame:
-    """Most terms as single tokens, then the lowest mean."""
-    return df.agg(F.max_by(name, F.struct(F.col(single), -F.col(mean))).alias("winner"))
+def winner(df: DataFrame, name: str, single: str, mean: str, terms: str | None = None, least: float = 0.5) -> DataFrame:
+    """Most terms as single tokens, then the lowest mean. terms: a column with the number of all terms; is_enough then tells whether
+    the winner has the least share of them as single tokens, or a larger vocabulary should be tried."""
+    best = F.struct(F.col(single), -F.col(mean))
+    enough = [(F.max_by(single, best) >= least * F.max_by(terms, best)).alias("is_enough")] if terms else []
+    return df.agg(F.max_by(name, best).alias("winner"), *enough)
 
 
 def min_max(column: str, low: float, high: float, higher_is_better: bool) -> Column:

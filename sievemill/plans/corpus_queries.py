@@ -263,6 +263,11 @@ def abbrev_normalize(spark, d):
     return digest(docs(spark, d), C.abbreviations("text"))
 
 
+@query("survival_verdict")
+def survival_verdict(spark, d):
+    return C.survival_verdict(term_survival(spark, d))
+
+
 @query("term_survival")
 def term_survival(spark, d):
     df = docs(spark, d)
@@ -389,9 +394,21 @@ def pair_format(spark, d):
     return sft(spark, d).select("pair_id", PR.pair_format(F.col("instruction"), F.col("output")).alias("is_valid"))
 
 
+def _safe(x: str) -> str:
+    x = f"coalesce({x}, '')"
+    for a in P.ABBREVIATIONS:
+        x = f"replace({x}, '{a}', '{a.replace('.', chr(2))}')"
+    return x
+
+
+@query("type_shares", "SELECT coalesce(metadata.question_type, 'unknown') AS question_type, count(*)::BIGINT AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 1) AS pct FROM synthetic_sft GROUP BY 1")
+def type_shares(spark, d):
+    return P.type_shares(sft(spark, d), F.col("metadata.question_type"))
+
+
 @query("quality_report", f"""SELECT coalesce(metadata.category, 'unknown') AS category, count(*)::BIGINT AS n_pairs, greatest(250 - count(*), 0)::BIGINT AS shortfall, count(*) < 50 AS is_thin,
   sum(len({w('output')}))::BIGINT AS n_words, min(len({w('output')}))::BIGINT AS min_words, max(len({w('output')}))::BIGINT AS max_words,
-  sum(len(list_filter(string_split(regexp_replace(coalesce(output, ''), '([.!?]){BLANK}', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '')))::BIGINT AS n_sentences FROM synthetic_sft GROUP BY 1""")
+  sum(greatest(len(list_filter(string_split(regexp_replace({_safe('output')}, '[.]{BLANK}', chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '')), 1))::BIGINT AS n_sentences FROM synthetic_sft GROUP BY 1""")
 def quality_report(spark, d):
     return P.quality(sft(spark, d), F.col("metadata.category"), F.col("output"))
 
@@ -676,12 +693,19 @@ def degraded_terms(spark, d):
     return TK.degraded(t, "a", "b")
 
 
-@query("best_tokenizer", f"""WITH t AS (SELECT ceil(length(word) / 4.0) AS a, 1 + length(word) // 5 AS b FROM {_WORDS}), c AS (SELECT 'a' AS name, sum((a = 1)::INT) AS s, avg(a) AS m FROM t UNION ALL SELECT 'b', sum((b = 1)::INT), avg(b) FROM t)
-  SELECT name AS winner FROM c ORDER BY s DESC, m LIMIT 1""")
+@query("best_tokenizer", f"""WITH t AS (SELECT ceil(length(word) / 4.0) AS a, 1 + length(word) // 5 AS b FROM {_WORDS}), c AS (SELECT 'a' AS name, sum((a = 1)::INT) AS s, avg(a) AS m, count(*) AS n FROM t UNION ALL SELECT 'b', sum((b = 1)::INT), avg(b), count(*) FROM t)
+  SELECT name AS winner, s >= 0.5::DOUBLE * n AS is_enough FROM c ORDER BY s DESC, m LIMIT 1""")
 def best_tokenizer(spark, d):
     t = E.word_counts(docs(spark, d), "text").select(F.ceil(F.length("word") / 4).alias("a"), (1 + F.floor(F.length("word") / 5)).cast("long").alias("b"))
-    each = t.unpivot([], ["a", "b"], "name", "n").groupBy("name").agg(F.sum((F.col("n") == 1).cast("long")).alias("s"), F.avg("n").alias("m"))
-    return TK.winner(each, "name", "s", "m")
+    each = t.unpivot([], ["a", "b"], "name", "n").groupBy("name").agg(F.sum((F.col("n") == 1).cast("long")).alias("s"), F.avg("n").alias("m"), F.count("*").alias("terms"))
+    return TK.winner(each, "name", "s", "m", "terms")
+
+
+@query("largest_differences", f"""WITH t AS (SELECT word, ceil(length(word) / 4.0)::BIGINT AS a, (1 + length(word) // 5)::BIGINT AS b FROM {_WORDS}) (SELECT 'a' AS winner, word, b - a AS saved FROM t WHERE a < b ORDER BY saved DESC, word LIMIT 10)
+  UNION ALL (SELECT 'b', word, a - b FROM t WHERE b < a ORDER BY a - b DESC, word LIMIT 10)""")
+def largest_differences(spark, d):
+    t = E.word_counts(docs(spark, d), "text").select("word", F.ceil(F.length("word") / 4).alias("a"), (1 + F.floor(F.length("word") / 5)).cast("long").alias("b"))
+    return TK.largest_differences(t, "word", "a", "b")
 
 
 @query("file_digests")

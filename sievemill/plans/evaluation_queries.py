@@ -367,6 +367,12 @@ def resume_continuity(spark, d):
     return TL.continuity(e, "event_id", "step", "value", F.col("event_type") == "purchase")
 
 
+@query("resume_rates", """WITH m AS (SELECT *, event_type = 'purchase' AS m FROM events), n AS (SELECT event_id, m, last_value(CASE WHEN NOT m THEN value END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(CASE WHEN NOT m THEN value END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM m)
+  SELECT event_id, b AS rate_before, a AS rate_after, coalesce(CASE WHEN b = 0 THEN abs(a) ELSE abs(a - b) / abs(b) END <= 0.1::DOUBLE, false) AS agrees FROM n WHERE m""")
+def resume_rates(spark, d):
+    return TL.continuity_across(table(spark, d, "events"), "event_id", "value", F.col("event_type") == "purchase")
+
+
 @query("field_coverage", "SELECT * FROM (SELECT n, unnest(['text', 'lang', 'source', 'published_at']) AS field, unnest([a, b, c, e]) AS n_present FROM (SELECT count(*)::BIGINT AS n, count(text)::BIGINT AS a, count(lang)::BIGINT AS b, count(source)::BIGINT AS c, count(published_at)::BIGINT AS e FROM documents)), LATERAL (SELECT n_present >= 0.9::DOUBLE * n AS is_covered)")
 def field_coverage(spark, d):
     return TL.coverage(table(spark, d, "documents"), ["text", "lang", "source", "published_at"])
