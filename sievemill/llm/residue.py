@@ -24,8 +24,9 @@ from ._words import Words, chunks, hash_word, mix
 #: Records from which trusted and unlabelled passages are taken to fit the model, at most; features of the model; EM rounds.
 TRUSTED_RECORDS, UNLABELLED_RECORDS, FEATURES, ROUNDS = 15_000, 4_000, 1 << 21, 12
 #: The largest weight of a feature, and of a passage's shape; what each wording of residue that shows it allows; counts that smooth; the prior share of residue among passages and among slots; that of residue
-#: among trusted examples; the log odds from which a passage or slot is a case; the label below which an example counts as content.
-CLIP, SHAPED, WORDING, SMOOTH, PRIOR, SLOT_PRIOR, TRUST, ODDS, FAINT = 4.0, 2.0, 1.5, 0.1, 0.01, 0.5, 0.95, 0.0, 0.1
+#: among trusted examples; the log odds from which a passage or slot is a case; the label below which an example counts as content; what
+#: an unlabelled example keeps of its own copies as evidence for content.
+CLIP, SHAPED, WORDING, SMOOTH, PRIOR, SLOT_PRIOR, TRUST, ODDS, FAINT, KEEP = 4.0, 2.0, 1.5, 0.1, 0.01, 0.5, 0.95, 0.0, 0.1, 0.3
 #: Unlabelled examples of different wording that make a feature known; steps of the share of unknown features and of the length.
 KNOWN, SHARES, LENGTHS = 3, 6, 4
 #: Words before and after a slot that are its context.
@@ -256,7 +257,7 @@ def learn(trusted: list[bytes], unlabelled: list[bytes], prior: float, known: np
     """Log odds of each feature for residue against content, by EM; examples are the bytes of their features.
 
     A feature that residue never showed counts against it only as far as its absence is surprising. In the expectation step
-    an unlabelled example and its copies are left out of the counts it is judged by, but for one that counts as content.
+    an unlabelled example and its copies are left out of the counts it is judged by, but for a part of one that counts as content.
     """
     if not trusted:
         return np.zeros(FEATURES, np.float32)
@@ -278,7 +279,7 @@ def learn(trusted: list[bytes], unlabelled: list[bytes], prior: float, known: np
     def counted(label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
         own_yes, own_no = (copies * label)[example], (copies * (1 - label))[example]
         yes, no = (np.bincount(f, weights=x, minlength=FEATURES) for x in (own_yes, own_no))
-        own_yes, own_no = np.where(sure[example], 0.0, own_yes), np.where(sure[example], 0.0, np.maximum(own_no - 1.0, 0.0))
+        own_yes, own_no = np.where(sure[example], 0.0, own_yes), np.where(sure[example], 0.0, np.maximum(own_no - KEEP, 0.0))
         return yes, no, own_yes, own_no, max((copies * (1 - label)).sum(), 1.0) / max((copies * label).sum(), 1.0)
 
     def odds(yes: np.ndarray, no: np.ndarray, ratio: float, most: np.ndarray) -> np.ndarray:
