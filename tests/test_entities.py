@@ -94,6 +94,14 @@ def test_lookup_equals_brute_force(spark):
     rng = random.Random(5)
     known = ["".join(rng.choices("abcdeinorst", k=rng.randint(3, 12))) for _ in range(60)]
     asked = known[:10] + ["".join([*k[:2], rng.choice("xyz"), *k[3:]]) for k in known[10:40]] + [k + "ne" for k in known[40:]] + ["", "q"]
+    for k in known:  # letters dropped and added anywhere
+        w = list(k)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", k[0]])
+        asked.append("".join(w))
+    known += ["a", "ab", "x" * 40]
+    asked += ["x" * 33, "x" * 30, "ab", "ba", "b"]
     names = spark.createDataFrame([("drugs", k) for k in known] + [("trials", "nct1")], "etype string, name string")
     found = spark.createDataFrame([(i, "drugs", a.upper()) for i, a in enumerate(asked)] + [(900, "trials", "NCT2"), (901, "genes", asked[0])], "k long, etype string, entity string")
     got = {r["k"]: (r["best_score"], r["flagged"]) for r in E.lookup(found, names).collect()}
