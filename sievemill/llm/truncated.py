@@ -228,9 +228,10 @@ def judge(rows: DataFrame, text_col: str = "text", corpus: DataFrame | None = No
 
     rows: one value per row, with any further columns; source: those that name its source, none for a single one. corpus: the
     same values in a column text, where they are cheaper to read than rows. Null, blank and placeholder values are not cut. A
-    loop of repeated words is cut unless it ends with a full stop. Repeated rows stay.
+    loop of repeated words is cut unless it ends with a full stop. Repeated rows stay. Columns with the names of the results are
+    replaced.
     """
-    keep = [c for c in rows.columns if c != text_col]
+    keep = [c for c in rows.columns if c not in (text_col, "cut", "broken", "at_limit")]
     texts = rows.select(*keep, F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
     ends = materialize(texts.mapInArrow(_endings, f"{schema}, __ends string, __key string, __length int"), "cut-endings")
@@ -242,16 +243,16 @@ def judge(rows: DataFrame, text_col: str = "text", corpus: DataFrame | None = No
     place = F.concat_ws("\1", F.lit(""), *by)
     open_ = ends.where(F.col("__ends").isin("cut", "word", "item", "label")).groupBy(place.alias("__place"), "__length").agg(F.count("*").alias("same"))
     all_open = open_.groupBy("__place").agg(F.sum("same").alias("all"))
-    limits = open_.join(all_open, "__place").where((F.col("same") >= LIMIT) & (F.col("same") * LIMIT_SHARE >= F.col("all"))).select("__place", "__length", F.lit(True).alias("at_limit"))
+    limits = open_.join(all_open, "__place").where((F.col("same") >= LIMIT) & (F.col("same") * LIMIT_SHARE >= F.col("all"))).select("__place", "__length", F.lit(True).alias("__at"))
     limits = materialize(limits, "cut-limits")
-    placed = ends.withColumn("__place", place).join(limits, ["__place", "__length"], "left").drop("__place", "__length").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
+    placed = ends.withColumn("__place", place).join(limits, ["__place", "__length"], "left").drop("__place", "__length").withColumn("__at", F.coalesce("__at", F.lit(False)))
 
     # what is asked: the distinct last words, items and number endings; then which of the unknown ones begin something known
-    asks = F.col("__ends").isin("item", "number", "word", "label") | ((F.col("__ends") == "whole") & (F.col("__key") != "") & F.col("at_limit"))
+    asks = F.col("__ends").isin("item", "number", "word", "label") | ((F.col("__ends") == "whole") & (F.col("__key") != "") & F.col("__at"))
     kind = F.when(F.col("__ends").isin("item", "number"), F.col("__ends")).otherwise("word")
-    asking, rest = placed.where(asks).withColumn("kind", kind), placed.where(~asks)
+    asking, rest = placed.where(asks).withColumn("__kind", kind), placed.where(~asks)
     word_of = F.lower(F.regexp_extract("key", r"(\p{L}+)$", 1))
-    asked = asking.select("kind", F.col("__key").alias("key")).distinct()
+    asked = asking.select(F.col("__kind").alias("kind"), F.col("__key").alias("key")).distinct()
     both = asked.unionByName(asked.where("kind = 'item'").select(F.lit("word").alias("kind"), word_of.alias("key"))).distinct()
     unknown = both.join(known.select("kind", "key").hint("merge"), ["kind", "key"], "left_anti").where(F.col("kind").isin("word", "item") & (F.length("key") > 0))
     lengths = F.sequence(F.lit(1), F.length("key") - 1)
@@ -264,21 +265,22 @@ def judge(rows: DataFrame, text_col: str = "text", corpus: DataFrame | None = No
         .join(broken.withColumn("is_broken", F.lit(True)), ["kind", "key"], "left")
         .join(broken.where("kind = 'word'").select(F.col("key").alias("word"), F.lit(True).alias("breaks")), "word", "left")
         .join(decimal, ["kind", "key"], "left")
-        .select("kind", F.col("key").alias("__key"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_known", "is_broken", "breaks", "is_decimal")])
+        .select(F.col("kind").alias("__kind"), F.col("key").alias("__key"), *[F.coalesce(c, F.lit(False)).alias(f"__{c}") for c in ("is_known", "is_broken", "breaks", "is_decimal")])
     )
     # many values may end on one word: they are dealt to parts, and what is known of the word is sent to each
-    dealt = asking.withColumn("__part", F.pmod(F.xxhash64(*keep), F.lit(PARTS)))
-    told = dealt.join(facts.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).hint("merge"), ["kind", "__key", "__part"], "left")
-    is_broken = F.col("is_broken") | ((F.col("kind") == "item") & F.col("breaks") & ~F.col("is_known"))
+    dealt = asking.withColumn("__part", F.pmod(F.xxhash64(F.lit(0), *[c for c in keep if "map<" not in rows.schema[c].dataType.simpleString()]), F.lit(PARTS)))
+    told = dealt.join(facts.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).hint("merge"), ["__kind", "__key", "__part"], "left")
+    is_known, at = F.col("__is_known"), F.col("__at")
+    is_broken = F.col("__is_broken") | ((F.col("__kind") == "item") & F.col("__breaks") & ~is_known)
     cut = (
         F.when(F.col("__ends") == "word", True)
-        .when(F.col("__ends") == "label", is_broken | F.col("at_limit"))
-        .when(F.col("__ends") == "item", is_broken | (~F.col("is_known") & F.col("at_limit")))
-        .when(F.col("__ends") == "number", ~F.col("is_known") & F.col("is_decimal"))
-        .otherwise(is_broken & F.col("at_limit"))
+        .when(F.col("__ends") == "label", is_broken | at)
+        .when(F.col("__ends") == "item", is_broken | (~is_known & at))
+        .when(F.col("__ends") == "number", ~is_known & F.col("__is_decimal"))
+        .otherwise(is_broken & at)
     )
-    judged = told.select(*keep, cut.alias("cut"), (is_broken & (F.col("__ends") != "number")).alias("broken"), "at_limit")
-    return judged.unionByName(rest.select(*keep, (F.col("__ends") == "cut").alias("cut"), F.lit(False).alias("broken"), "at_limit"))
+    judged = told.select(*keep, cut.alias("cut"), (is_broken & (F.col("__ends") != "number")).alias("broken"), at.alias("at_limit"))
+    return judged.unionByName(rest.select(*keep, (F.col("__ends") == "cut").alias("cut"), F.lit(False).alias("broken"), at.alias("at_limit")))
 
 
 def rates(judged: DataFrame, group: list[str]) -> DataFrame:

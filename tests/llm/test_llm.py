@@ -179,6 +179,11 @@ def test_cut_items_and_rates(spark):
     assert sorted(r["row_id"] for r in judged.where("cut").collect()) == [2, 3, 5, 6]
     assert {r["source"]: (r["n_values"], r["n_cut"]) for r in truncated.rates(judged, ["source"]).collect()} == {"m": (5, 3), None: (1, 1)}
     assert truncated.judge(df.limit(0)).count() == 0
+    assert truncated.judge(df.select("text").union(df.select("text"))).where("cut").count() == 8
+    assert truncated.judge(df.withColumn("m", F.create_map(F.lit(1), F.lit(2)))).where("cut").count() == 4
+    clash = df.withColumns({c: F.lit(7) for c in ("kind", "key", "word", "cut", "broken", "at_limit", "n", "is_known", "same", "part", "__x")})
+    again = truncated.judge(clash)
+    assert sorted(r["row_id"] for r in again.where("cut").collect()) == [2, 3, 5, 6] and {r["kind"] for r in again.collect()} == {7}
 
 
 @pytest.mark.parametrize(
