@@ -233,8 +233,8 @@ def judge(rows: DataFrame, text_col: str = "text", corpus: DataFrame | None = No
     """
     keep = [c for c in rows.columns if c not in (text_col, "cut", "broken", "at_limit")]
     texts = rows.select(*keep, F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
-    ends = materialize(texts.mapInArrow(_endings, f"{schema}, __ends string, __key string, __length int"), "cut-endings")
+    schema = ", ".join([*(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep), "__ends string, __key string, __length int"])
+    ends = materialize(texts.mapInArrow(_endings, schema), "cut-endings")
     known = (texts if corpus is None else corpus).select("text").mapInArrow(_knowledge, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     known = materialize(known, "cut-known")
 
