@@ -27,10 +27,10 @@ def divergence(validation: DataFrame, run: str, step: str) -> DataFrame:
 
 
 def converging(validation: DataFrame, run: str, step: str, least: float = 0.05) -> DataFrame:
-    """Whether the last two validation losses still drop by over least."""
+    """Whether the last two validation losses still drop by over least; not from a loss of 0."""
     w = Window.partitionBy(run).orderBy(F.desc(step))
     last = validation.withColumn("__r", F.row_number().over(w)).where("__r <= 2").groupBy(run).agg(F.max(F.when(F.col("__r") == 1, F.col("val_loss"))).alias("last"), F.max(F.when(F.col("__r") == 2, F.col("val_loss"))).alias("before"))
-    return last.select(run, "before", "last", F.coalesce((F.col("before") - F.col("last")) / F.col("before") > least, F.lit(False)).alias("still_improving"))
+    return last.select(run, "before", "last", F.coalesce((F.col("before") - F.col("last")) / F.nullif("before", F.lit(0.0)) > least, F.lit(False)).alias("still_improving"))
 
 
 def resources(df: DataFrame, columns: list[str]) -> DataFrame:

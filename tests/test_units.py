@@ -234,6 +234,11 @@ def test_formatting(spark):
     assert tuple(spark.range(1).select(ids.alias("i"), labels.alias("l")).first()) == ([7, 8, 9, 0], [-100, -100, 9, -100])
 
 
+def test_converging_from_a_loss_of_zero(spark):
+    v = spark.createDataFrame([(1, 1, 0.0), (1, 2, 0.5), (2, 1, 1.0), (2, 2, 0.9), (3, 1, 1.0)], "run int, step int, val_loss double")
+    assert sorted(tuple(r) for r in TL.converging(v, "run", "step").collect()) == [(1, 0.0, 0.5, False), (2, 1.0, 0.9, True), (3, None, 1.0, False)]
+
+
 def test_logs(spark):
     v = spark.createDataFrame([(1, s, t, x) for s, t, x in [(1, 3.0, 3.0), (2, 2.5, 3.1), (3, 2.0, 3.2), (4, 1.9, 3.0), (5, 0.0, 3.0)]], "run int, step int, train_loss double, val_loss double")
     assert [tuple(r) for r in TL.divergence(v, "run", "step").collect()] == [(1, 1, 3, 2)]
