@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import Tokens, most_ratio, partial_ratio, partial_ratio_80_udf, set_ratio_above
+from ..functions.fuzzy import TokenBlocks, Tokens, partial_ratio, partial_ratio_80_udf
 from ..functions.words import runs, words
 from .dedup import hashed
 from .entities import candidates, lookup
@@ -126,20 +126,17 @@ def similarities(pairs: DataFrame, key: str, instruction: str, output: str, item
     pair meets every item: the items are few and go to all tasks. Instructions are compared once per task.
     """
     rows = items.select(item, question, prompt, answer).sort(item).collect()
-    floor = [float(np.nextafter(least, 0.0))] * len(rows)
-    columns = [[Tokens((r[c] or "").lower()) for r in rows] for c in (question, prompt, answer)]
-    slots = [np.array([y.slots for y in c]) for c in columns]
-    sizes = [np.array([y.size for y in c]) for c in columns]
+    floor = np.full(len(rows), np.nextafter(least, 0.0))
+    columns = [TokenBlocks([Tokens((r[c] or "").lower()) for r in rows]) for c in (question, prompt, answer)] if rows else []
 
-    def compared(text: str, sides: list[int], least: list[float]) -> list[float]:
-        x, best = Tokens(text), least
+    def compared(text: str, sides: list[int], best: np.ndarray) -> np.ndarray:
+        x = Tokens(text)
         for side in sides:
-            most = most_ratio(x, slots[side], sizes[side])
-            best = [set_ratio_above(x, y, m, b) for y, m, b in zip(columns[side], most, best, strict=True)]
+            best = columns[side].above(x, best)
         return best
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, list[float]] = {}
+        seen: dict[str, np.ndarray] = {}
         for batch in batches:
             best = []
             for x, o in zip(batch["x"], batch["o"], strict=True):
@@ -147,7 +144,7 @@ def similarities(pairs: DataFrame, key: str, instruction: str, output: str, item
                     if len(seen) >= 10_000:
                         seen.clear()
                     seen[x] = compared(x, [1, 0], floor)
-                best.append(compared(o, [2], seen[x]))
+                best.append(compared(o, [2], seen[x]).tolist())
             hits = [next((i for i, score in enumerate(b) if score >= least), None) for b in best]
             first = pd.Series([None if i is None else rows[i][item] for i in hits], dtype="object")
             at = [None if i is None else b[i] for i, b in zip(hits, best, strict=True)]

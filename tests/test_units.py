@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +240,18 @@ def test_converging_from_a_loss_of_zero(spark):
     assert sorted(tuple(r) for r in TL.converging(v, "run", "step").collect()) == [(1, 0.0, 0.5, False), (2, 1.0, 0.9, True), (3, None, 1.0, False)]
 
 
+def test_token_blocks_compare_a_text_with_all_at_once(monkeypatch):
+    rng, some = random.Random(3), ["a", "ab", "be", "é", "x1", "the", "of", "dose"]
+    for _ in range(200):
+        texts = [" ".join(rng.choices(some, k=rng.randrange(6))) for _ in range(7)]
+        blocks, x = fuzzy.TokenBlocks([fuzzy.Tokens(t) for t in texts], 3), " ".join(rng.choices(some, k=rng.randrange(6)))
+        assert blocks.above(fuzzy.Tokens(x), np.zeros(7)).tolist() == [fuzzy.token_set_ratio(x, t) for t in texts]
+    texts = [" ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(20)) for _ in range(40)]
+    one_by_one = [fuzzy.token_set_ratio(texts[0][::-1], t) for t in texts]
+    monkeypatch.setattr(fuzzy, "_common", None)  # no search of single pairs
+    assert fuzzy.TokenBlocks([fuzzy.Tokens(t) for t in texts]).above(fuzzy.Tokens(texts[0][::-1]), np.zeros(40)).tolist() == one_by_one
+
+
 def test_logs(spark):
     v = spark.createDataFrame([(1, s, t, x) for s, t, x in [(1, 3.0, 3.0), (2, 2.5, 3.1), (3, 2.0, 3.2), (4, 1.9, 3.0), (5, 0.0, 3.0)]], "run int, step int, train_loss double, val_loss double")
     assert [tuple(r) for r in TL.divergence(v, "run", "step").collect()] == [(1, 1, 3, 2)]
