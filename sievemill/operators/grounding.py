@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import TokenBlocks, Tokens, partial_ratio, partial_ratio_80_udf
+from ..functions.fuzzy import TokenBlocks, Tokens, Windows, partial_ratio, partial_ratio_80_udf
 from ..functions.words import runs, words
 from .dedup import hashed
 from .entities import candidates, lookup
@@ -88,14 +88,18 @@ def partial_leaks(pairs: DataFrame, key: str, instruction: str, output: str, ite
     asked = [(r[item], kind, (r[c] or "").lower()) for r in rows for kind, c in (("instruction_vs_question", question), ("instruction_vs_prompt", prompt))]
     told = [(r[item], "output_vs_key_fact", f.lower()) for r in rows for f in dict.fromkeys(r[facts] or []) if f is not None and len(f) >= least_fact]
 
+    asked = [x for x in asked if x[2]]
+
     def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        windows = [Windows([other for _, _, other in side], least) for side in (asked, told)]
         seen: dict[tuple[int, str], list[tuple]] = {}
 
         def of(side: int, text: str) -> list[tuple]:
             if (side, text) not in seen:
                 if len(seen) >= 10_000:
                     seen.clear()
-                scored = ((i, kind, partial_ratio(text, other, least)) for i, kind, other in (asked, told)[side] if text and other)
+                near = [(asked, told)[side][i] for i in windows[side].near(text)] if text else []
+                scored = ((i, kind, partial_ratio(text, other, least)) for i, kind, other in near)
                 seen[side, text] = [x for x in scored if x[2] >= least]
             return seen[side, text]
 

@@ -252,6 +252,22 @@ def test_token_blocks_compare_a_text_with_all_at_once(monkeypatch):
     assert fuzzy.TokenBlocks([fuzzy.Tokens(t) for t in texts]).above(fuzzy.Tokens(texts[0][::-1]), np.zeros(40)).tolist() == one_by_one
 
 
+def test_windows_leave_out_only_texts_below_the_ratio():
+    rng = random.Random(5)
+    for least in (60.0, 80.0, 95.0):
+        texts = ["".join(rng.choices("abcde ", k=rng.choice((1, 7, 40, 90, 150)))) for _ in range(60)]
+        windows = fuzzy.Windows(texts, least)
+        for i in range(120):
+            y = rng.choice(texts)
+            at = rng.randrange(len(y))
+            x = "".join(c for c in y[at : at + rng.randrange(1, 70)] if rng.random() > 0.15) + rng.choice(("", "e", "abc")) if i % 4 else "".join(rng.choices("abcde ", k=rng.randrange(1, 200)))
+            if x:
+                near = windows.near(x)
+                assert {k for k, t in enumerate(texts) if fuzzy.partial_ratio(x, t) >= least} <= set(near)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrst", k=300)) for _ in range(50)]
+    assert fuzzy.Windows(texts, 80.0).near(texts[7][100:170]) == [7]  # the others are not searched
+
+
 def test_logs(spark):
     v = spark.createDataFrame([(1, s, t, x) for s, t, x in [(1, 3.0, 3.0), (2, 2.5, 3.1), (3, 2.0, 3.2), (4, 1.9, 3.0), (5, 0.0, 3.0)]], "run int, step int, train_loss double, val_loss double")
     assert [tuple(r) for r in TL.divergence(v, "run", "step").collect()] == [(1, 1, 3, 2)]
