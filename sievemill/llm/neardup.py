@@ -34,8 +34,8 @@ SAMPLE, SLOTS = 20_000, 1 << 21
 #: Members a region may be expected to have before it is split by a further pivot, times the sample must have seen such a
 #: region, and levels of splits (each is a table of SLOTS small integers that goes to all tasks).
 REGION, SEEN, LEVELS = 600, 3, 8
-#: Records per task of the join of regions.
-TASK_RECORDS = 50_000
+#: Records per task of the join of regions: each has some 36 replicas, which are sorted on both sides.
+TASK_RECORDS = 16_000
 #: Bits of a shingle's hash that are kept, below them of the pivot order.
 BITS = np.uint64(44)
 _LOW = np.uint64((1 << 44) - 1)
@@ -268,6 +268,10 @@ def _slots(counted: DataFrame) -> np.ndarray:
     return out
 
 
+def join_tasks(records: int, least: int) -> int:
+    return max(least, -(-records // TASK_RECORDS))
+
+
 def similar_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, k: int = 5, least_words: int = 5, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """All pairs of different texts at or above the Jaccard similarity, and the classes of equal ones.
 
@@ -297,7 +301,7 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float =
 
     postings = over(rows, _postings, "key long, cid long, p0 long, p1 long, nr long")
     # as many tasks as the records need: a task's share does not grow with the data
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_RECORDS))
+    tasks = join_tasks(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
     side = postings.repartition(tasks, "key")
     a, b = (side.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "p0", "p1", "nr")]) for x in "ab")
     n, reach = ([cut(F.col(f"nr_{x}")).cast("int") for x in "ab"] for cut in (lambda c: F.shiftrightunsigned(c, 40), lambda c: F.shiftright(c, 24).bitwiseAND(F.lit(REACHES))))

@@ -367,3 +367,9 @@ def test_queries_run(spark, data):
         assert df.columns == keys
         rows = [tuple(r) for r in df.collect()]
         assert rows and len(rows) == len(set(rows))
+
+
+def test_a_task_of_the_join_gets_no_more_records_as_tables_grow():
+    assert neardup.join_tasks(10_000, 12) == 12
+    for records in (200_000, 20_000_000):
+        assert records / neardup.join_tasks(records, 610 if records > 1_000_000 else 12) <= 17_000
