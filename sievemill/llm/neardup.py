@@ -8,9 +8,11 @@ pivots here are single shingles, in one global order from rare to common, and
 * a record that misses i pivots before a shared one is at least i / |x u y| away from its neighbour (triangle inequality with
   what is shared); so a record is replicated into the regions of its next pivots only while this bound is within r, and two
   records meet in a region only if their windows around the pivot still leave room for the similarity;
-* regions expected to be large are split again by the next pivot of their records, and so on: a linked pair meets in exactly
-  the sub-region of its first few common pivots, within a window one wider at each level. A pair may share no more pivots
-  than the level of a split region; then both sets are so small that either can tell, and both stay in a closing region.
+* the smaller set of a pair may miss fewer pivots than the larger one; so only records whose window is that narrow stand on
+  the side of the smaller sets, the others meet them, but not each other;
+* regions expected to be large are split by size: each record goes to the parts of its own and those sizes that a neighbour
+  which it first meets there can have. Splits by further pivots would multiply the replicas at each level and save nothing, as
+  the pivots of large regions come together, in set phrases.
 
 Every bound is a necessary condition, so no link is lost, and a last check on the whole sets makes the result exact.
 The order and the splits come from a sample; they decide the cost, never the result.
@@ -31,9 +33,9 @@ from ._words import Words, chunks, mix, shingles
 
 #: Records in the sample that orders the pivots and plans the splits, and slots of the tables made from it.
 SAMPLE, SLOTS = 20_000, 1 << 21
-#: Members a region may be expected to have before it is split by a further pivot, times the sample must have seen such a
-#: region, and levels of splits (each is a table of SLOTS small integers that goes to all tasks).
-REGION, SEEN, LEVELS = 600, 3, 8
+#: Members on the side of the smaller sets that a region may be expected to have before it is split by size, times the sample
+#: must have seen such a region, and the ratio of the sizes of neighbouring parts.
+REGION, SEEN, RATIO = 3_000, 3, 1.4
 #: Records per task of the join of regions: each has some 36 replicas, which are sorted on both sides.
 TASK_RECORDS = 16_000
 #: Bits of a shingle's hash that are kept, below them of the pivot order.
@@ -41,8 +43,10 @@ BITS = np.uint64(44)
 _LOW = np.uint64((1 << 44) - 1)
 #: Bits of the parity sketch that goes into the regions, and words of the one that candidates are compared by next.
 NARROW, WIDE = 128 + 24, 16
-#: What a record's size and reach are told up to, in 24 and 16 bits; larger ones exclude nothing.
-SIZES, REACHES = (1 << 24) - 1, (1 << 16) - 1
+#: What a record's size and reach are told up to, in 22 and 16 bits; larger ones exclude nothing.
+SIZES, REACHES = (1 << 22) - 1, (1 << 16) - 1
+#: Sides on which a record stands in a region, told in the 2 bits above its size.
+BOTH, SMALLER, LARGER = 0, 1, 2
 #: Bits, per class and at most, of the set that tells which records occur in a candidate pair; beyond the most it lets more through.
 FILTER_BITS, FILTER = 16, 1 << 28
 #: Members of one class that are paired by one task.
@@ -51,7 +55,7 @@ MEMBERS = 1_000
 
 @dataclass
 class Join:
-    """What the tasks need; order: by slot how often the sample has the shingle; split: by level and slot whether a region is split."""
+    """What the tasks need; order: by slot how often the sample has the shingle; split: at most one table, by slot whether a region is split."""
 
     k: int
     least_words: int
@@ -88,35 +92,41 @@ def _parity(s: np.ndarray, start: np.ndarray, bits: int, seed: int) -> np.ndarra
     return np.stack([np.bitwise_xor.reduceat(np.where(at == np.uint64(w), bit, zero), start) for w in range(-(-bits // 64))], axis=1)
 
 
-def _regions(s: np.ndarray, start: np.ndarray, size: np.ndarray, job: Join) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]]:
-    """key, row of start, rank of the last pivot and level of every region a record is replicated into, and whether these are closing regions."""
-    # x and y are linked only if |x n y| >= s/(1+s) (|x|+|y|) and |y| >= s |x|: so at least ceil(s |x|) of x are shared.
-    shared = np.ceil(job.similarity * size - 1e-9).astype(np.int64)
+def _edges(most: int) -> np.ndarray:
+    """The least sizes of the parts, up to that of the size most."""
+    edges = [1]
+    while edges[-1] <= most:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * RATIO)))
+    return np.array(edges)
+
+
+def _regions(s: np.ndarray, start: np.ndarray, size: np.ndarray, job: Join) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]]:
+    """key, row of start, rank of the pivot, 1 (the pivots that are shared up to there) and side, of every region a record is replicated into."""
+    # x and y are linked only if |x n y| >= s/(1+s) (|x|+|y|) and |y| >= s |x|: so at least ceil(s |x|) of x are shared, and
+    # ceil(2s/(1+s) |x|) if x is not the larger one.
+    shared, t = np.ceil(job.similarity * size - 1e-9).astype(np.int64), job.similarity / (1 + job.similarity)
     window = size - shared  # pivots of x that may be missed
+    narrow = size - np.ceil(2 * t * size - 1e-6).astype(np.int64)
     doc = np.repeat(np.arange(len(start)), window + 1)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(window + 1) - (window + 1), window + 1)
-    key, level = s[start[doc] + at], 1
-    while True:
-        if level > len(job.split):
-            yield key, doc, at, level, False
-            return
-        hot = job.split[level - 1][(key % np.uint64(SLOTS)).astype(np.int64)]
-        yield key[~hot], doc[~hot], at[~hot], level, False
-        if not hot.any():
-            return
-        key, doc, at = key[hot], doc[hot], at[hot]
-        # a pair that shares just these pivots consists of two sets that need not share more
-        small = shared[doc] <= level
-        if small.any():
-            yield mix(key[small] ^ np.uint64(level)), doc[small], at[small], level, True
-        # the next common pivot: level pivots are shared already, so ranks up to window + level are within reach, if the set has them
-        more = np.minimum(window[doc] + level, size[doc] - 1) - at
-        row = np.repeat(np.arange(len(key)), more)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more) + 1
-        prior, doc, at = key[row], doc[row], at[row] + step
-        with np.errstate(over="ignore"):
-            key = mix(prior * np.uint64(0x9E3779B97F4A7C15) + s[start[doc] + at])
-        level += 1
+    key, side = s[start[doc] + at], np.where(at <= narrow[doc], BOTH, LARGER)
+    hot = job.split[0][(key % np.uint64(SLOTS)).astype(np.int64)] if job.split else np.zeros(len(key), bool)
+    yield key[~hot], doc[~hot], at[~hot], 1, side[~hot]
+    if not hot.any():
+        return
+    key, doc, at, side = key[hot], doc[hot], at[hot], side[hot]
+    # sizes of a neighbour y with this first common pivot: |y| >= s |x|, |x| >= s |y| and |x| - at >= s/(1+s) (|x|+|y|)
+    own = size[doc]
+    least, most = np.ceil(job.similarity * own - 1e-6), np.floor(np.minimum(own / job.similarity, (own - at) / t - own) + 1e-6)
+    edges = _edges(int(own.max() / job.similarity) + 1)
+    low, high, own = (np.searchsorted(edges, x, "right") - 1 for x in (least, most, own))
+    n = np.maximum(high - low + 1, 0)
+    row = np.repeat(np.arange(len(key)), n)
+    other, own = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), own[row]
+    with np.errstate(over="ignore"):
+        parts = np.minimum(own, other).astype(np.uint64) << np.uint64(32) | np.maximum(own, other).astype(np.uint64)
+        key = mix(mix(parts + np.uint64(1)) + key[row])
+    yield key, doc[row], at[row], 1, np.where(own < other, SMALLER, np.where(own > other, LARGER, side[row]))
 
 
 def _lower(batch: pa.RecordBatch) -> list[str]:
@@ -124,10 +134,9 @@ def _lower(batch: pa.RecordBatch) -> list[str]:
 
 
 def _sampler(job: Join):
-    """Counts by slot of what the sample has of each shingle, if there is no order yet, or of each region of the level after the known splits."""
+    """Counts by slot of what the sample has of each shingle, if there is no order yet, or else of each region's side of the smaller sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = len(job.split) + 1
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for words in chunks(_lower(batch)):
@@ -138,8 +147,7 @@ def _sampler(job: Join):
                     keys = s
                 else:
                     start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                    found = _regions(s, start, np.diff(np.append(start, len(doc))), job)
-                    keys = np.concatenate([np.zeros(0, np.uint64), *(key for key, _, _, at_level, closing in found if at_level == level and not closing)])
+                    keys = np.concatenate([key[side != LARGER] for key, _, _, _, side in _regions(s, start, np.diff(np.append(start, len(doc))), job)])
                 total += np.bincount((keys % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int64()), "n": pa.array(total[slot], pa.int64())})
@@ -163,10 +171,10 @@ def _postings(job: Join):
                     continue
                 parity = _parity(s, start, NARROW, 1)[fresh]
                 start, size, cid = start[fresh], size[fresh], cid[fresh]
-                for key, row, at, level, _ in _regions(s, start, size, job):
+                for key, row, at, level, side in _regions(s, start, size, job):
                     if len(key):
-                        # nr: the set's size, the pivots it can share at most, given the rank of the last one, and the sketch's last bits
-                        told = np.minimum(size[row], SIZES).astype(np.uint64) << np.uint64(40) | np.minimum(size[row] - at + level - 1, REACHES).astype(np.uint64) << np.uint64(24) | parity[row, 2]
+                        # nr: the side, the set's size, the pivots it can share at most, given the rank of the last one, and the sketch's last bits
+                        told = side.astype(np.uint64) << np.uint64(62) | np.minimum(size[row], SIZES).astype(np.uint64) << np.uint64(40) | np.minimum(size[row] - at + level - 1, REACHES).astype(np.uint64) << np.uint64(24) | parity[row, 2]
                         columns = (key, cid[row], np.ascontiguousarray(parity[row, 0]), np.ascontiguousarray(parity[row, 1]), told)
                         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["key", "cid", "p0", "p1", "nr"])
 
@@ -283,17 +291,15 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float =
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     job = Join(k, least_words, similarity, np.zeros(SLOTS, np.uint8))
-    total = df.count()
+    total, texts = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("text"))).first()
     share = min(1.0, SAMPLE / max(1, total))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1) if share < 1 else rows
     job.order = np.minimum(_slots(sample.mapInArrow(_sampler(job), "slot long, n long")), 255).astype(np.uint8)
-    # levels are sampled as far as regions of the sample need a split
-    while total > REGION and len(job.split) < LEVELS and job.order.any():
+    if total > REGION and job.order.any():
         counts = _slots(sample.mapInArrow(_sampler(job), "slot long, n long"))
         hot = (counts / share > REGION) & ((counts >= SEEN) | (share == 1))
-        if not hot.any():
-            break
-        job.split.append(hot)
+        if hot.any():
+            job.split.append(hot)
     shared = spark.sparkContext.broadcast(job)
 
     def over(frame: DataFrame, make, schema: str) -> DataFrame:
@@ -303,13 +309,18 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float =
     # as many tasks as the records need: a task's share does not grow with the data
     tasks = join_tasks(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
     side = postings.repartition(tasks, "key")
-    a, b = (side.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "p0", "p1", "nr")]) for x in "ab")
-    n, reach = ([cut(F.col(f"nr_{x}")).cast("int") for x in "ab"] for cut in (lambda c: F.shiftrightunsigned(c, 40), lambda c: F.shiftright(c, 24).bitwiseAND(F.lit(REACHES))))
+    if 2 * texts < total:  # each task sends its own copies
+        side = side.distinct()
+    # the sides are told apart by what is not known before it runs: so that both read the same exchange, and Python runs once
+    stands = F.when(F.spark_partition_id() >= 0, F.shiftrightunsigned("nr", 62))
+    a, b = (side.where(stands != none).select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "p0", "p1", "nr")]) for x, none in (("a", LARGER), ("b", SMALLER)))
+    n, reach = ([cut(F.col(f"nr_{x}")).cast("int") for x in "ab"] for cut in (lambda c: F.shiftrightunsigned(c, 40).bitwiseAND(F.lit(SIZES)), lambda c: F.shiftright(c, 24).bitwiseAND(F.lit(REACHES))))
     both, least_reach, t = n[0] + n[1], F.least(*reach), similarity / (1 + similarity)
     apart = F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))) + F.bit_count(F.col("p1_a").bitwiseXOR(F.col("p1_b"))) + F.bit_count(F.col("nr_a").bitwiseXOR(F.col("nr_b")).bitwiseAND(F.lit((1 << 24) - 1)))
-    near = (F.col("cid_a") < F.col("cid_b")) & ((least_reach == REACHES) | (least_reach >= t * both - 1e-6)) & ((F.greatest(*n) == SIZES) | (apart <= (1 - 2 * t) * both + 1e-6))
+    ordered = (n[0] < n[1]) | ((n[0] == n[1]) & (F.col("cid_a") < F.col("cid_b"))) | ((n[0] == SIZES) & (n[1] == SIZES) & (F.col("cid_a") != F.col("cid_b")))
+    near = ordered & ((least_reach == REACHES) | (least_reach >= t * both - 1e-6)) & ((F.greatest(*n) == SIZES) | (apart <= (1 - 2 * t) * both + 1e-6))
     met = a.join(b.hint("merge"), "key").where(near)
-    candidates = materialize(met.select(F.col("cid_a").alias("ca"), F.col("cid_b").alias("cb")).distinct(), "near-candidates")
+    candidates = materialize(met.select(F.least("cid_a", "cid_b").alias("ca"), F.greatest("cid_a", "cid_b").alias("cb")).distinct(), "near-candidates")
 
     def with_content(pairs: DataFrame, whole: bool) -> DataFrame:
         """The pairs with what is needed of both records, whose classes are found in the text again by a bit set of fixed size."""

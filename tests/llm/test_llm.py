@@ -80,6 +80,29 @@ def test_small_sets_lose_no_link_however_regions_are_split(similarity, levels):
         assert linked <= pairs
 
 
+def test_replicas_stay_few_however_many_regions_are_large():
+    """With all regions split, as over millions of records, a set has some replicas for each of its first pivots and no more."""
+    sets = [np.sort(np.random.default_rng(i).choice(200, 40, replace=False)) for i in range(20)]
+    s, size = np.concatenate(sets).astype(np.uint64), np.full(20, 40)
+    job = neardup.Join(3, 1, 0.6, np.zeros(neardup.SLOTS, np.uint8), [np.ones(neardup.SLOTS, bool)] * 4)
+    assert sum(len(key) for key, *_ in neardup._regions(s, np.cumsum(size) - size, size, job)) <= 20 * 17 * 5
+
+
+@pytest.mark.parametrize("region", [0, 3_000])
+def test_links_of_sets_of_unequal_sizes(spark, monkeypatch, region):
+    """Texts and their own beginnings, repeated: the smaller and the larger set of a pair stand on different sides."""
+    monkeypatch.setattr(neardup, "REGION", region)
+    rng = random.Random(11)
+    texts = []
+    for i in range(12):
+        base = [f"w{rng.randrange(60)}" for _ in range(60)]
+        texts += [(100 * i + j, " ".join(base[:n])) for j, n in enumerate((60, 60, 55, 48, 40, 37, 30))]
+    copies = [(10_000 * c + i, t) for c in range(3) for i, t in texts]
+    df = spark.createDataFrame(copies, "id long, text string").repartition(4)
+    got = {(r["a"], r["b"]) for r in neardup.id_pairs(*neardup.similar_pairs(df, "id", "text", similarity=0.6, k=3, least_words=10)).collect()}
+    assert got == brute(copies, 3, 10, 0.6)
+
+
 def test_looping_texts_and_large_classes(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 1)
     monkeypatch.setattr(neardup, "MEMBERS", 3)
