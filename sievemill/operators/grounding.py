@@ -61,10 +61,13 @@ def entity_verdicts(pairs: DataFrame, key: str, text: str, names: DataFrame, lea
 
 
 def corpus_support(pairs: DataFrame, key: str, text: str, corpus: DataFrame, doc: str, doc_text: str, k: int = 8) -> DataFrame:
-    """key and support: how many distinct runs of k words of the text the corpus holds. An equi-join of hashes: no corpus is too large."""
+    """key and support: how many distinct runs of k words of the text the corpus holds. An equi-join of hashes: no corpus is too large.
+
+    Spark takes exploded texts for as small as the columns they come from, so the joins say that nothing is broadcast.
+    """
     held = _grams(corpus, doc, doc_text, k).select("g").distinct()
-    found = _grams(pairs, key, text, k).join(held, "g", "left_semi").groupBy(key).agg(F.count("*").alias("support"))
-    return pairs.select(key).join(found, key, "left").na.fill(0, ["support"])
+    found = _grams(pairs, key, text, k).join(held.hint("merge"), "g", "left_semi").groupBy(key).agg(F.count("*").alias("support"))
+    return pairs.select(key).hint("merge").join(found.hint("merge"), key, "left").na.fill(0, ["support"])
 
 
 def validated(pairs: DataFrame, key: str, entities: DataFrame, support: DataFrame, leaks: DataFrame, item: str, least_support: int = 1) -> tuple[DataFrame, DataFrame]:

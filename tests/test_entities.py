@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sievemill import catalog
 from sievemill.functions import fuzzy
 from sievemill.operators import dedup as D
 from sievemill.operators import entities as E
@@ -190,3 +191,9 @@ def test_splits_and_ranks_by_parts(spark):
     ranked = TK.weighted_rank(df.select(F.col("k").alias("name"), (F.col("k") % 17).alias("x"), (F.col("k") * 7 % 31).alias("y")), "name", [("x", 0.6, True), ("y", 0.4, False)]).collect()
     order = sorted(ranked, key=lambda r: (-r["score"], r["name"]))
     assert [r["rank"] for r in order] == list(range(1, 303))
+
+
+def test_runs_of_the_corpus_are_not_broadcast(spark, data):
+    """Spark takes exploded texts for small: with its own threshold it would send the corpus to the driver."""
+    plan = catalog.QUERIES["corpus_grounding"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
