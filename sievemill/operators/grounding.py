@@ -56,7 +56,7 @@ def entity_verdicts(pairs: DataFrame, key: str, text: str, names: DataFrame, lea
     """
     looked = lookup(candidates(pairs, key, text, names), names, least)
     per = looked.groupBy(key).agg(F.count("*").alias("n_entities"), F.count_if("flagged").alias("n_unknown"))
-    told = pairs.select(key).join(per, key, "left").na.fill(0, ["n_entities", "n_unknown"])
+    told = pairs.select(key).join(per.hint("merge"), key, "left").na.fill(0, ["n_entities", "n_unknown"])
     return told.withColumn("grounded", F.col("n_unknown") == 0)
 
 
@@ -73,9 +73,10 @@ def corpus_support(pairs: DataFrame, key: str, text: str, corpus: DataFrame, doc
 def validated(pairs: DataFrame, key: str, entities: DataFrame, support: DataFrame, leaks: DataFrame, item: str, least_support: int = 1) -> tuple[DataFrame, DataFrame]:
     """(kept, rejected with reason): unknown entities, then no support in the corpus, then wording of the benchmark; the first failure counts.
 
-    entities: of entity_verdicts; support: of corpus_support; leaks: key and item of question_leaks.
+    entities: of entity_verdicts; support: of corpus_support; leaks: key and item of question_leaks. All have as many rows as the
+    pairs may have; none is broadcast.
     """
-    told = pairs.join(entities.select(key, "n_unknown", "grounded"), key).join(support, key).join(leaks.select(key, item), key, "left")
+    told = pairs.join(entities.select(key, "n_unknown", "grounded").hint("merge"), key).join(support.hint("merge"), key).join(leaks.select(key, item).hint("merge"), key, "left")
     checks = told.withColumns({"__e": F.col("grounded"), "__s": F.col("support") >= least_support, "__l": F.col(item).isNull()})
     kept, rejected = cascade(checks, [("__e", "unknown_entities"), ("__s", "no_corpus_support"), ("__l", "benchmark_leakage")])
     return kept.drop("__e", "__s", "__l"), rejected.drop("__e", "__s", "__l")

@@ -197,3 +197,12 @@ def test_runs_of_the_corpus_are_not_broadcast(spark, data):
     """Spark takes exploded texts for small: with its own threshold it would send the corpus to the driver."""
     plan = catalog.QUERIES["corpus_grounding"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_verdicts_of_the_cascade_are_not_broadcast(spark, data):
+    """Support by the corpus and the verdicts grow with the tables: the driver takes none of them."""
+    pairs, corpus = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("synthetic_sft", "documents"))
+    verdicts = pairs.select("pair_id", F.lit(0).alias("n_unknown"), F.lit(True).alias("grounded"))
+    support = VA.corpus_support(pairs, "pair_id", "output", corpus, "doc_id", "text")
+    for part in VA.validated(pairs, "pair_id", verdicts, support, pairs.select("pair_id", F.lit("Q").alias("item")), "item"):
+        assert "Broadcast" not in part._jdf.queryExecution().executedPlan().toString()
